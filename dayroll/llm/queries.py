@@ -9,17 +9,66 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .pieces import encode_pieces
+from .sharding import shard_documents
 from .token_counts import count_tokens
+from .warc import BREAKS, REFERENCES, UNSEEN, derivatives, responses
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), 24)
+
+
+CRAWLED = "2024-01-01T00:00:00Z"
+
+
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivatives(responses(table(spark, sf_dir, "pages"), CRAWLED))
+
+
+def _op7_sql() -> str:
+    text = r"regexp_replace(payload, '(?s)<!--.*?-->', '', 'g')"
+    for tag in UNSEEN:
+        text = rf"regexp_replace({text}, '(?is)<{tag}[^>]*>.*?</{tag}\s*>', '', 'g')"
+    text = rf"regexp_replace({text}, '(?i)</?({BREAKS})(\s[^>]*)?/?>', chr(10), 'g')"
+    text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
+    n = "regexp_extract(x, '^([0-9]{1,7});', 1)"
+    text = f"""array_to_string(list_transform(string_split({text}, '&#'), lambda x, i: CASE WHEN i = 1 THEN x
+        WHEN try_cast({n} AS BIGINT) BETWEEN 1 AND 55295 OR try_cast({n} AS BIGINT) BETWEEN 57344 AND 1114111
+        THEN chr(try_cast({n} AS INTEGER)) || substr(x, length({n}) + 2) ELSE '&#' || x END), '')"""
+    for name, char in REFERENCES.items():
+        text = f"replace({text}, '&{name};', '{char.replace(chr(39), chr(39) * 2)}')"
+    text = rf"regexp_replace({text}, '[ \t\r\f]+', ' ', 'g')"
+    text = rf"trim(regexp_replace({text}, ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
+    rid = lambda kind, *parts: f"(SELECT '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' FROM (SELECT md5(concat_ws(chr(10), '{kind}', {', '.join(parts)})) AS h))"
+    line = lambda name, value: f"coalesce('{name}: ' || {value} || nl, '')"
+    return rf"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload, chr(13) || chr(10) AS nl FROM pages),
+r AS (SELECT *, {rid("response", "coalesce(page_id::VARCHAR, '')", "coalesce(url, '')")} AS refers_to,
+  'HTTP/1.1 200 OK' || nl || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || strlen(payload) || nl AS http FROM p),
+o AS (SELECT *, 'sha256:' || sha256(http || nl || payload) AS source_digest, 'sha256:' || sha256(payload) AS payload_digest,
+  {rid("conversion", "refers_to")} AS c_id, {rid("metadata", "refers_to")} AS m_id, {text} AS body,
+  regexp_extract_all(payload, '(?i)<a\s[^>]*?href\s*=\s*"([^"]*)"', 1) AS links,
+  regexp_replace(regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title\s*>', 1), '[\r\n]+', ' ', 'g') AS title FROM r),
+f AS (SELECT *, 'title: ' || title || nl || 'source-payload-digest: ' || payload_digest || nl || 'conversion: ' || c_id || nl
+  || array_to_string(list_transform(list_filter(string_split(http, nl), lambda x: x <> ''), lambda x: 'source-header: ' || x || nl), '')
+  || array_to_string(list_transform(links, lambda x: 'outlink: ' || regexp_replace(x, '[\r\n]+', '', 'g') || ' L a/@href' || nl), '') AS fields FROM o),
+k AS (SELECT page_id, 'metadata' AS record_type, m_id AS record_id, refers_to, url AS target_uri, 'application/warc-fields' AS content_type, source_digest, payload_digest, fields AS block, nl FROM f
+  UNION ALL SELECT page_id, 'conversion', c_id, refers_to, url, 'text/plain', source_digest, payload_digest, body, nl FROM f),
+d AS (SELECT *, '{CRAWLED}' AS warc_date, strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest FROM k)
+SELECT page_id, record_type, record_id, refers_to, target_uri, warc_date, content_type, content_length, block_digest, source_digest, payload_digest,
+  'WARC/1.1' || nl || {line("WARC-Type", "record_type")} || {line("WARC-Record-ID", "record_id")} || {line("WARC-Refers-To", "refers_to")} || {line("WARC-Target-URI", "target_uri")}
+  || {line("WARC-Date", "warc_date")} || {line("WARC-Block-Digest", "block_digest")} || {line("WARC-Source-Block-Digest", "source_digest")} || {line("Content-Type", "content_type")}
+  || {line("Content-Length", "content_length")} AS headers, block FROM d"""
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 512)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_pieces, op8_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_pieces, op6_shards, op7_warc_derivatives, op8_token_counts)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_warc_derivatives": _op7_sql()}
