@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import MASKS, SHARE, WINDOW, leaks
 from .pieces import encode_pieces
 from .sharding import shard_documents
 from .token_counts import count_tokens
@@ -69,6 +70,26 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 512)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_pieces, op6_shards, op7_warc_derivatives, op8_token_counts)}
+def op9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
-ORACLE_SQL: dict[str, str] = {"op7_warc_derivatives": _op7_sql()}
+
+def _op9_sql(documents: str = "documents") -> str:
+    words = lambda: "list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+    seed = lambda m: "concat_ws(' ', " + ", ".join(f"w[p + {k}]" for k, c in enumerate(m) if c == "1") + ")"
+    seeds = lambda t: " UNION ALL ".join(f"SELECT *, {i} AS mask, {seed(m)} AS seed FROM (SELECT *, unnest(range(1, len(w) - {len(m)} + 2)) AS p FROM {t})" for i, m in enumerate(MASKS))
+    return f"""
+WITH d AS (SELECT doc_id, {words()} AS w FROM {documents}), b AS (SELECT DISTINCT item_id, {words()} AS w FROM benchmark),
+ds AS ({seeds("d")}), bs AS ({seeds("b")}),
+h AS (SELECT DISTINCT ds.doc_id, bs.item_id, ds.w AS dw, bs.w AS bw, ds.p - bs.p AS doc_offset FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed),
+e AS (SELECT *, list_transform(range(1, len(bw) + 1), lambda p: CASE WHEN p + doc_offset >= 1 AND p + doc_offset <= len(dw) AND dw[p + doc_offset] = bw[p] THEN 1 ELSE 0 END) AS eq,
+  least({WINDOW}, len(bw)) AS width FROM h),
+v AS (SELECT doc_id, item_id, doc_offset, len(bw) AS item_tokens, list_sum(eq) AS matched, width,
+  list_max(list_transform(range(1, len(bw) - width + 2), lambda s: list_sum(eq[s : s + width - 1]))) AS best FROM e)
+SELECT doc_id, item_id, best::BIGINT AS best, matched::BIGINT AS matched, item_tokens::BIGINT AS item_tokens, doc_offset::BIGINT AS doc_offset FROM v WHERE best >= ceil(width * {SHARE})
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY best DESC, matched DESC, doc_offset) = 1"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_pieces, op6_shards, op7_warc_derivatives, op8_token_counts, op9_leaks)}
+
+ORACLE_SQL: dict[str, str] = {"op7_warc_derivatives": _op7_sql(), "op9_leaks": _op9_sql()}
