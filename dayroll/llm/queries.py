@@ -31,9 +31,7 @@ def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op7_sql() -> str:
-    text = r"regexp_replace(payload, '(?s)<!--.*?-->', '', 'g')"
-    for tag in UNSEEN:
-        text = rf"regexp_replace({text}, '(?is)<{tag}[^>]*>.*?</{tag}\s*>', '', 'g')"
+    text = f"regexp_replace(payload, '{UNSEEN}', '', 'g')"
     text = rf"regexp_replace({text}, '(?i)</?({BREAKS})(\s[^>]*)?/?>', chr(10), 'g')"
     text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
     n = "regexp_extract(x, '^([0-9]{1,7});', 1)"
@@ -42,7 +40,7 @@ def _op7_sql() -> str:
         THEN chr(try_cast({n} AS INTEGER)) || substr(x, length({n}) + 2) ELSE '&#' || x END), '')"""
     for name, char in REFERENCES.items():
         text = f"replace({text}, '&{name};', '{char.replace(chr(39), chr(39) * 2)}')"
-    text = rf"regexp_replace({text}, '[ \t\r\f]+', ' ', 'g')"
+    text = rf"regexp_replace({text}, '[ \t\r\f]{{2,}}|[\t\r\f]', ' ', 'g')"
     text = rf"trim(regexp_replace({text}, ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
     rid = lambda kind, *parts: f"(SELECT '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' FROM (SELECT md5(concat_ws(chr(10), '{kind}', {', '.join(parts)})) AS h))"
     line = lambda name, value: f"coalesce('{name}: ' || {value} || nl, '')"

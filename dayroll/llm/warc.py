@@ -13,7 +13,7 @@ CRLF = "\r\n"
 #: Named character references that are decoded, in this order, the ampersand last.
 REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "middot": "·", "hellip": "…", "ndash": "–", "mdash": "—", "amp": "&"}
 #: Elements whose content is no text, and those that end a line.
-UNSEEN = ("script", "style", "noscript", "template")
+UNSEEN = "(?s)<!--.*?-->|" + "|".join(rf"(?i:<{x}[^>]*>).*?(?i:</{x})\s*>" for x in ("script", "style", "noscript", "template"))
 BREAKS = "p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|main|title|blockquote|pre"
 
 
@@ -29,9 +29,7 @@ def digest(x: Column) -> Column:
 
 def plain_text(html: Column) -> Column:
     """Text of an HTML page: no comments, scripts or styles; a line for each block; decimal and the listed named references decoded; runs of blanks joined."""
-    t = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for tag in UNSEEN:
-        t = F.when(F.instr(F.lower(t), f"<{tag}") > 0, F.regexp_replace(t, rf"(?is)<{tag}[^>]*>.*?</{tag}\s*>", "")).otherwise(t)
+    t = F.regexp_replace(html, UNSEEN, "")
     t = F.regexp_replace(t, rf"(?i)</?({BREAKS})(\s[^>]*)?/?>", "\n")
     t = F.regexp_replace(t, r"<[^>]*>", "")
     number = lambda x: F.regexp_extract(x, "^([0-9]{1,7});", 1)
@@ -41,7 +39,7 @@ def plain_text(html: Column) -> Column:
     t = F.when(F.instr(t, "&#") > 0, F.array_join(F.transform(F.split(t, "&#"), one), "")).otherwise(t)
     for name, char_ in REFERENCES.items():
         t = F.replace(t, F.lit(f"&{name};"), F.lit(char_))
-    t = F.regexp_replace(t, "[ \t\r\f]+", " ")
+    t = F.regexp_replace(t, "[ \t\r\f]{2,}|[\t\r\f]", " ")
     t = F.regexp_replace(t, " ?\n[ \n]*", "\n")
     return F.btrim(t, F.lit(" \n"))
 
