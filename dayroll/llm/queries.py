@@ -10,11 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import MASKS, SHARE, WINDOW, leaks
 from .pieces import encode_pieces
+from .quality import fit_quality, score_quality
 from .sharding import shard_documents
 from .token_counts import count_tokens
+from .toxicity import fit_toxicity, score_toxicity
 from .warc import BREAKS, REFERENCES, UNSEEN, derivatives, responses
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -88,6 +95,11 @@ SELECT doc_id, item_id, best::BIGINT AS best, matched::BIGINT AS matched, item_t
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY best DESC, matched DESC, doc_offset) = 1"""
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_pieces, op6_shards, op7_warc_derivatives, op8_token_counts, op9_leaks)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality, op5_pieces, op6_shards, op7_warc_derivatives, op8_token_counts, op9_leaks, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {"op7_warc_derivatives": _op7_sql(), "op9_leaks": _op9_sql()}
