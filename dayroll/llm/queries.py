@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import MASKS, SHARE, WINDOW, leaks
+from .neighbours import near_duplicates
 from .pieces import encode_pieces
 from .quality import fit_quality, score_quality
 from .sharding import shard_documents
@@ -17,6 +18,22 @@ from .toxicity import fit_toxicity, score_toxicity
 from .warc import BREAKS, REFERENCES, UNSEEN, derivatives, responses
 
 
+def op3_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+_OP3_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+  AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  AND list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.93),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x), n AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT v.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON c.x = v.vec_id LEFT JOIN n ON n.x = v.vec_id"""
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -100,6 +117,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality, op5_pieces, op6_shards, op7_warc_derivatives, op8_token_counts, op9_leaks, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_embedding_duplicates, op4_quality, op5_pieces, op6_shards, op7_warc_derivatives, op8_token_counts, op9_leaks, op10_toxicity)}
 
-ORACLE_SQL: dict[str, str] = {"op7_warc_derivatives": _op7_sql(), "op9_leaks": _op9_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_duplicates": _OP3_SQL, "op7_warc_derivatives": _op7_sql(), "op9_leaks": _op9_sql()}
