@@ -20,7 +20,7 @@ from .bytewords import BLANK, Block, blocks, mix
 from .common import release_shuffles, written
 
 #: Lines in the rolling window of each rule.
-RULES = (1, 1, 2, 2)
+RULES = (1, 1, 1, 2, 2, 2)
 #: A line of so many words is a chunk of its own under every rule.
 ALONE = 40
 #: Runs of marked lines go if they have SEVERAL lines and ENOUGH words, or LONG words.
@@ -84,7 +84,6 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(cut, f"id {kind}, th long, rule int, line int, lines int, words int, h long").where("words > 0")
 
 
-@F.pandas_udf("struct<text string, n_lines long, removed_lines long>")
 def without(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
     """Texts without the runs of marked lines that are long enough. spans: first line * 2**32 + lines, for each marked chunk."""
     out = []
@@ -146,6 +145,6 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
         bad = texts.join(unequal, "h", "left_semi").select("h").distinct().agg(F.collect_set("h").alias("_bad"))
         joined = joined.join(F.broadcast(bad))
         good = F.filter("_spans", lambda s: ~s["first"] & ~F.array_contains("_bad", s["h"]))
-    cleaned = joined.withColumn("_r", without(F.col(text_col), F.transform(good, lambda s: s["span"])))
+    cleaned = joined.withColumn("_r", F.pandas_udf(without, "text string, n_lines long, removed_lines long")(F.col(text_col), F.transform(good, lambda s: s["span"])))
     order = [c for c in docs.columns]
     return cleaned.select(*[F.col("_r.text").alias(c) if c == text_col else F.col(c) for c in order], F.col("_r.n_lines").alias("n_lines"), F.col("_r.removed_lines").alias("removed_lines"))
