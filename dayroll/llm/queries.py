@@ -14,11 +14,16 @@ from .neighbours import near_duplicates
 from .pieces import encode_pieces
 from .quality import fit_quality, score_quality
 from .sharding import shard_documents
+from .similarity import similar
 from .token_counts import count_tokens
 from .toxicity import fit_toxicity, score_toxicity
 from .warc import BREAKS, REFERENCES, UNSEEN, derivatives, responses
 
 
+def op1_similar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar(table(spark, sf_dir, "documents")).drop("node")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -122,6 +127,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_line_dedup, op3_embedding_duplicates, op4_quality, op5_pieces, op6_shards, op7_warc_derivatives, op8_token_counts, op9_leaks, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_similar_texts, op2_line_dedup, op3_embedding_duplicates, op4_quality, op5_pieces, op6_shards, op7_warc_derivatives, op8_token_counts, op9_leaks, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {"op3_embedding_duplicates": _OP3_SQL, "op7_warc_derivatives": _op7_sql(), "op9_leaks": _op9_sql()}
