@@ -41,10 +41,11 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n + 1 powers of R and of its inverse; those for usual blocks are kept."""
-    if n > 4 * TOGETHER:
+    most = TOGETHER + TOGETHER // 4
+    if n > most:
         return powers(n, R), powers(n, R_INVERSE)
     if not _powers:
-        _powers.update(up=powers(4 * TOGETHER, R), down=powers(4 * TOGETHER, R_INVERSE))
+        _powers.update(up=powers(most, R), down=powers(most, R_INVERSE))
     return _powers["up"], _powers["down"]
 
 
@@ -82,12 +83,12 @@ class Block:
         return mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def blocks(texts: pa.Array) -> Iterator[tuple[int, int, Block]]:
-    """(first, end, block) of the texts of a batch, about TOGETHER bytes each."""
+def blocks(texts: pa.Array, together: int = TOGETHER) -> Iterator[tuple[int, int, Block]]:
+    """(first, end, block) of the texts of a batch, about so many bytes each."""
     lengths = texts.cast(pa.large_binary())
     offsets = np.frombuffer(lengths.buffers()[1], np.int64)[lengths.offset : lengths.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     first = 0
     while first < len(texts):
-        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + TOGETHER, "right")) - 1)
+        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + together, "right")) - 1)
         yield first, end, Block(texts.slice(first, end - first))
         first = end

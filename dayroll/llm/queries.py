@@ -21,7 +21,7 @@ from .warc import BREAKS, REFERENCES, UNSEEN, derivatives, responses
 
 
 def op1_similar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar(table(spark, sf_dir, "documents")).drop("node")
+    return similar(table(spark, sf_dir, "documents")).drop("node", "text_hash")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

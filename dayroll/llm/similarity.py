@@ -63,20 +63,22 @@ class Shingles:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """For each row of docs (id, text): kind 0, id, size and node of its set. For each block of rows and shingle that many of them share: kind 1, its key as node, its count as size."""
+    """For each row of docs (id, text, th): kind 0, id, th, size and node of its set. For each block of rows and shingle that many of them share: kind 1, its key as node, its count as size."""
+
+    names = ["kind", "id", "th", "size", "node"]
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, block in blocks(b.column(1)):
                 s = Shingles(block)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int32)), b.column(0).slice(i, j - i), pa.array(s.size.astype(np.int64)), pa.array(s.node)], ["kind", "id", "size", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int32)), b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(s.size.astype(np.int64)), pa.array(s.node)], names)
                 keys, count = np.unique(s.hash >> np.uint64(16), return_counts=True)
                 many = count >= max(4, (j - i) / (2 * HEAVY))
                 if many.any():
                     n = int(many.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, b.column(0).type), pa.array(count[many].astype(np.int64)), pa.array(keys[many].view(np.int64))], ["kind", "id", "size", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, b.column(0).type), pa.nulls(n, pa.int64()), pa.array(count[many].astype(np.int64)), pa.array(keys[many].view(np.int64))], names)
 
-    return docs.mapInArrow(one, f"kind int, id {docs.schema['id'].dataType.simpleString()}, size long, node long")
+    return docs.mapInArrow(one, f"kind int, id {docs.schema['id'].dataType.simpleString()}, th long, size long, node long")
 
 
 def _packed(docs: DataFrame, buckets: int, heavy: np.ndarray) -> DataFrame:
@@ -205,16 +207,16 @@ def links(known: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id, n_shingles, component_id, node (of its set; equal sets have equal nodes).
+    """One row for each row of docs: id, n_shingles, component_id, node (of its set; equal sets have equal nodes), text_hash.
 
     Null and empty texts, and those of blanks alone, have 0 shingles and link with nothing: their component is their own id.
     Rows with equal texts link, whatever their ids; a null id stays null and its component is the least id that is not null
     among those it reaches (null if there is none). Other columns are ignored.
     """
     spark = docs.sparkSession
-    own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("th"))
     found = written(sets(own), "sets")
-    rows = found.where("kind = 0").select("id", "size", "node")
+    rows = found.where("kind = 0").select("id", "th", "size", "node")
     total = rows.count()
     # bounded: their counts sum to total x mean size, and each has total / HEAVY at least
     heavy = sorted((r[0], r[1]) for r in found.where("kind = 1").groupBy("node").agg(F.sum("size").alias("n")).where(F.col("n") * HEAVY >= total).collect())
@@ -230,4 +232,23 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     placed = rows.join(joined, "node", "left").withColumn("c", F.coalesce("component", "node"))
     least = placed.where("size > 0").groupBy("c").agg(F.min("id").alias("least"))
     out = placed.join(least, "c", "left")
-    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"), "node")
+    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"), "node", F.col("th").alias("text_hash"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group of similar texts, that of the least id; all columns stay.
+
+    Texts without words stay. Of rows alike in id and text one stays. A document with a null id goes if a similar one has an
+    id; documents similar only to others without ids stay.
+    """
+    found = similar(docs, id_col, text_col)
+    gone = found.where((F.col("n_shingles") > 0) & F.col("component_id").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("component_id")))
+    gone = gone.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th")).distinct()
+    th = F.xxhash64(docs[text_col])
+    kept = docs.join(gone, docs[id_col].eqNullSafe(F.col("_id")) & (th == F.col("_th")), "left_anti")
+    # rows alike in id and text: their digests alone tell which there are
+    again = found.where("n_shingles > 0").groupBy(id_col, "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if again.isEmpty():
+        return kept
+    blank = F.coalesce(F.regexp_replace(text_col, r"[\x20\x09-\x0D]", ""), F.lit("")) == ""
+    return kept.where(blank).unionByName(kept.where(~blank).dropDuplicates([id_col, text_col]))

@@ -22,6 +22,8 @@ SPAN = 2 * STRIDE
 HIDDEN, ATTENTION, INPUTS = 8, 6, 5
 TABLE_BITS = 18
 GRAMS = (3, 4, 5)
+#: Bytes of text worked on at once where the driver fits the model.
+LESS = 400_000
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -65,7 +67,7 @@ class Tables:
     def __init__(self, texts: pa.Array, toxic: np.ndarray):
         size = 1 << TABLE_BITS
         seen = np.zeros((2, 2, size), np.float64)
-        for first, end, block in blocks(texts):
+        for first, _, block in blocks(texts, LESS):
             w = Words(block)
             for kind, (text, bucket) in enumerate(((w.text, w.word), self._grams(w))):
                 both = np.unique(text.astype(np.int64) << TABLE_BITS | bucket)
@@ -243,7 +245,7 @@ class Model:
             model.network.p["c"] *= 0
             model.network.p["d"][:] = np.log((np.sum(toxic == 1) + 0.5) / (np.sum(toxic == 0) + 0.5))
             return model
-        held = [model.windows(block, toxic[i:j]) for i, j, block in blocks(texts)]
+        held = [model.windows(block, toxic[i:j]) for i, j, block in blocks(texts, LESS)]
         m1, m2, t = {}, {}, 0
         for r in range(rounds):
             picked = []
@@ -298,3 +300,14 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
     out = own.mapInArrow(score, f"{id_col} {kind}, held_out boolean, score double, predicted int, windows long{extra}")
     return out.select(id_col, "held_out", "score", "predicted", "windows", *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)])
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """docs without those whose score reaches the threshold; all columns stay."""
+
+    def score(texts):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.Series(model.scores(pa.array(texts, pa.string()))[0])
+
+    return docs.where(F.pandas_udf(score, "double")(F.coalesce(docs[text_col], F.lit(""))) < threshold)
