@@ -16,17 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import BLANK, Block, blocks, mix
-from .common import release_shuffles, written
+from .bytewords import BLANK, Block, blocks, mix, powers
+from .common import forget, release_shuffles, written
 
 #: Lines in the rolling window of each rule.
-RULES = (1, 1, 1, 2, 2, 2)
+RULES = (1, 1, 1, 1, 1, 2, 2, 2, 2)
 #: A line of so many words is a chunk of its own under every rule.
 ALONE = 40
 #: Runs of marked lines go if they have SEVERAL lines and ENOUGH words, or LONG words.
 SEVERAL, ENOUGH, LONG = 2, 25, 50
-NOT_NEWLINE = np.ones(256, bool)
-NOT_NEWLINE[10] = False
+#: An odd multiplier for hashes of runs of lines, and its inverse modulo 2**64.
+LINE = np.uint64(0xD1342543DE82EF95)
+LINE_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 
 
 def line_table(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,16 +42,16 @@ def line_table(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return block.hashes(block.bytes, begins, ends), words[ends] - words[begins], text
 
 
-def chunks(hashes: np.ndarray, words: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each rule: (rule, first line of each chunk, its lines, its hash), lines numbered through the block."""
+def chunks(hashes: np.ndarray, words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First line of each chunk, its lines and its hash, lines numbered through the block. What several rules cut alike is one chunk."""
     n = len(hashes)
     if not n:
-        return
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     new = np.diff(text, prepend=-1) != 0
     alone = words >= ALONE
-    forced = np.zeros(n, bool)  # a chunk begins here whatever the rule
-    forced |= new | alone
+    forced = new | alone  # a chunk begins here whatever the rule
     forced[1:] |= alone[:-1]
+    cuts = []
     for rule, window in enumerate(RULES):
         rolling = hashes.copy()
         for k in range(1, window):
@@ -59,15 +60,16 @@ def chunks(hashes: np.ndarray, words: np.ndarray, text: np.ndarray) -> Iterator[
         begin = forced.copy()
         begin[1:] |= cut[:-1]
         first = np.flatnonzero(begin)
-        count = np.diff(first, append=n)
-        place = np.arange(n) - np.repeat(first, count)
-        mixed = mix(hashes + mix(place.astype(np.uint64) + np.uint64(17)))
-        total = np.add.reduceat(mixed, first)
-        yield rule, first, count, mix(total + count.astype(np.uint64))
+        cuts.append(first << 32 | np.diff(first, append=n))
+    all_cuts = np.unique(np.concatenate(cuts))
+    first, count = all_cuts >> 32, all_cuts & 0xFFFFFFFF
+    up = powers(n, LINE)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * up[:n])])
+    return first, count, mix((sums[first + count] - sums[first]) * powers(n, LINE_INVERSE)[first] + count.astype(np.uint64))
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """(id, th, rule, line, lines, words, h) of every chunk of docs (id, th, text); a null text has none."""
+    """(id, th, line, lines, words, h) of every chunk of docs (id, th, text); a null text has none."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -75,13 +77,13 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 hashes, words, text = line_table(block)
                 start = np.searchsorted(text, np.arange(block.n))
                 sums = np.concatenate([[0], np.cumsum(words)])
-                for rule, first, count, h in chunks(hashes, words, text):
-                    at = pa.array(text[first] + first_text)
-                    cols = [b.column(0).take(at), b.column(1).take(at), pa.array(np.full(len(first), rule, np.int32)), pa.array((first - start[text[first]]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array((sums[first + count] - sums[first]).astype(np.int32)), pa.array(h.view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(cols, ["id", "th", "rule", "line", "lines", "words", "h"])
+                first, count, h = chunks(hashes, words, text)
+                at = pa.array(text[first] + first_text)
+                cols = [b.column(0).take(at), b.column(1).take(at), pa.array((first - start[text[first]]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array((sums[first + count] - sums[first]).astype(np.int32)), pa.array(h.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "th", "line", "lines", "words", "h"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(cut, f"id {kind}, th long, rule int, line int, lines int, words int, h long").where("words > 0")
+    return docs.mapInArrow(cut, f"id {kind}, th long, line int, lines int, words int, h long").where("words > 0")
 
 
 def without(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -124,14 +126,19 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     docs = docs.drop("n_lines", "removed_lines")
     th = F.xxhash64(docs[text_col])
     found = written(chunk_rows(docs.select(docs[id_col].alias("id"), th.alias("th"), docs[text_col].alias("text"))), "chunks")
-    keys = ["rule", "h"]
+    keys = ["h"]
     repeated = found.groupBy(*keys).agg(F.min(F.struct("id", "th", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     repeated = written(repeated.select(*keys, F.col("first.id").alias("id0"), F.col("first.th").alias("th0"), F.col("first.line").alias("line0")), "repeated")
     here = F.col("id").eqNullSafe(F.col("id0")) & (F.col("th") == F.col("th0")) & (F.col("line") == F.col("line0"))
     marked = found.join(repeated, keys).select("id", "th", "h", (F.col("line").cast("long") * (1 << 32) + F.col("lines")).alias("span"), here.alias("first"))
     spans = marked.groupBy("id", "th").agg(F.collect_set(F.struct("h", "span", "first")).alias("_spans")).withColumnsRenamed({"id": "_id", "th": "_th"})
+    spans = written(spans, "spans")
+    forget(found)
+    forget(repeated)
+    release_shuffles(docs.sparkSession)
     joined = docs.join(spans, docs[id_col].eqNullSafe(F.col("_id")) & (th == F.col("_th")), "left").drop("_id", "_th")
     joined = written(joined, "marked-documents")
+    forget(spans)
     release_shuffles(docs.sparkSession)
     # byte comparison: all texts of a hash are equal if the least and the greatest are
     lines = F.split(F.col(text_col), "\n")
