@@ -150,14 +150,18 @@ def _needed(a: Column, b: Column) -> Column:
     return F.ceil((a + b) * NUMERATOR / (NUMERATOR + DENOMINATOR))
 
 
-def _possible(rows: DataFrame) -> DataFrame:
-    """Pairs (x, y with size, alone: shingles of no other node, place in the prefix) that pass the length and the positional filter."""
-    a, b = "x", "y"
+def _possible(rows: DataFrame, first: bool = False) -> DataFrame:
+    """Pairs (x, y with size, alone: shingles of no other node, i: place in the prefix) that pass the length and the
+    positional filter. With first, rows carry prefixes, and a pair counts at its first common shingle alone, where the
+    positional bound is tightest and the pair comes once."""
     size = lambda s: F.col(f"{s}.size")
-    length = F.least(size(a), size(b)) * DENOMINATOR >= F.greatest(size(a), size(b)) * NUMERATOR
-    before = F.least(F.col("x.i"), F.col("y.i"))  # shared ones only: the others match nothing
-    after = F.least(size(a) - F.col("x.alone") - F.col("x.i"), size(b) - F.col("y.alone") - F.col("y.i"))
-    return rows.where(length & (before + after >= _needed(size(a), size(b)))).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    length = F.least(size("x"), size("y")) * DENOMINATOR >= F.greatest(size("x"), size("y")) * NUMERATOR
+    before = F.lit(0) if first else F.least(F.col("x.i"), F.col("y.i"))  # shared ones only: the others match nothing
+    after = F.least(size("x") - F.col("x.alone") - F.col("x.i"), size("y") - F.col("y.alone") - F.col("y.i"))
+    test = length & (before + after >= _needed(size("x"), size("y")))
+    if first:
+        test &= ~F.arrays_overlap(F.slice("x.prefix", F.lit(1), F.col("x.i")), F.slice("y.prefix", F.lit(1), F.col("y.i")))
+    return rows.where(test).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -188,10 +192,12 @@ def links(known: DataFrame) -> DataFrame:
             pairs = _possible(apart.join(hubs, "g").where("component <> other").select(p.alias("x"), "y"))
         else:
             mixed = apart.groupBy("g").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("g")
-            rest = written(apart.join(mixed, "g", "left_semi"), "rest")
-            left = rest.select("g", F.col("component").alias("c"), p.alias("x"))
-            right = rest.select("g", F.col("component").alias("d"), p.alias("y"))
-            pairs = _possible(left.join(right, "g").where("c < d").select("x", "y"))
+            prefixes = known.where(prefix > 0).select("node", F.slice("shared", F.lit(1), F.least(prefix, F.size("shared")).cast("int")).alias("prefix"))
+            rest = written(apart.join(mixed, "g", "left_semi").join(prefixes, "node"), "rest")
+            whole = F.struct("node", "size", "alone", "i", "prefix")
+            left = rest.select("g", F.col("component").alias("c"), whole.alias("x"))
+            right = rest.select("g", F.col("component").alias("d"), whole.alias("y"))
+            pairs = _possible(left.join(right, "g").where("c < d").select("x", "y"), first=True)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
