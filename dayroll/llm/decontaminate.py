@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 MASKS = ("1111111", "111101111", "1110111011", "11011011011")
 #: An alignment is a leak if some WINDOW neighbouring tokens of the item (all of a shorter one) have at least SHARE of them equal.
 WINDOW, SHARE = 13, 0.75
-#: Benchmark seeds are broadcast up to so many rows (24 bytes each); beyond that the join shuffles.
+#: Benchmark seeds are broadcast, so many rows at once (24 bytes each); a larger benchmark is split by item, and each part
+#: takes a pass over the documents. Seeds of documents are never shuffled: each would have to take its document along.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -57,13 +58,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("doc_i
     items = benchmark.select(F.col(item_col).alias("item_id"), hashed(F.col(item_text_col)).alias("h")).distinct()
     seeds = _seeds(items).select("item_id", F.col("at").alias("item_at"), F.col("mask").alias("item_mask"), "seed", F.col("h").alias("item_h"))
     seeds = seeds.withColumn("before", _before(F.col("item_h"), F.col("item_at"), F.col("item_mask"))).drop("item_h")
-    if small := seeds.count() <= BROADCAST_ROWS:
-        seeds = F.broadcast(seeds)
-    own = docs.select(*[docs[k].alias(f"k{i}") for i, k in enumerate(keys)], hashed(docs[text_col]).alias("h"))
-    hits = _seeds(own).join(seeds, "seed").where(F.col("mask") == F.col("item_mask"))
-    hits = hits.where(~_before(F.col("h"), F.col("at"), F.col("mask")).eqNullSafe(F.col("before")))
-    items = items.select("item_id", F.col("h").alias("item_h"))
-    hits = hits.join(F.broadcast(items) if small else items, "item_id").withColumn("doc_offset", F.col("at") - F.col("item_at"))
+    own = _seeds(docs.select(*[docs[k].alias(f"k{i}") for i, k in enumerate(keys)], hashed(docs[text_col]).alias("h")))
+    parts = max(1, -(-seeds.count() // max(1, BROADCAST_ROWS)))
+    hits = None
+    for part in range(parts):
+        here = lambda t: F.broadcast(t if parts == 1 else t.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part))  # noqa: B023, E731
+        got = own.join(here(seeds), "seed").where(F.col("mask") == F.col("item_mask"))
+        got = got.join(here(items.select("item_id", F.col("h").alias("item_h"))), "item_id")
+        hits = got if hits is None else hits.unionByName(got)
+    # of a run the first: the seeds one place earlier differ, or there are none
+    hits = hits.where(F.coalesce(_before(F.col("h"), F.col("at"), F.col("mask")) != F.col("before"), F.lit(True)))
+    hits = hits.withColumn("doc_offset", F.col("at") - F.col("item_at"))
     n = F.size("item_h")
     equal = F.transform(F.col("item_h"), lambda x, p: F.when((p + F.col("doc_offset") >= 0) & (F.get(F.col("h"), p + F.col("doc_offset")) == x), 1).otherwise(0))
     width = F.least(F.lit(WINDOW), n)
