@@ -155,6 +155,11 @@ class PieceCoder:
         if len(self._known) > MEMO_LIMIT:
             self._known.clear()
 
+    def forget(self) -> None:
+        """Empty the memo tables: a worker that is kept for other stages does not hold them."""
+        self._known.clear()
+        self._apart.clear()
+
     def encode(self, text: str, end: bool = False) -> list[int]:
         cuts = self.cut(text)
         self.learn(cuts)
@@ -252,6 +257,7 @@ def encode_pieces(docs: DataFrame, model: str, end: bool = True, id_col: str = "
             cols = {id_col: b.column(0), "n_tokens": pa.array(n_tokens, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
             cols |= {k: pa.array(ids, pa.list_(pa.int32())) if k == "ids" else pa.array(decoded, pa.string()) for k in keep}
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+        c.forget()
 
     return docs.select(docs[id_col], docs[text_col]).mapInArrow(encode, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {k} {extra[k]}" for k in keep))
 
