@@ -11,7 +11,7 @@ import pyarrow as pa
 R = np.uint64(0x9E3779B97F4A7C15)
 R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes of text worked on at once (a longer text is worked on alone).
-TOGETHER = 2_000_000
+TOGETHER = 700_000
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
