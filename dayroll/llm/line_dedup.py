@@ -1,7 +1,8 @@
 """Line dedup by content-defined chunks of lines.
 
 Rolling hashes over the hashes of a text's lines choose where chunks end, so a passage is cut alike wherever it stands.
-Several such rules cut each text; what one rule joins to its surroundings another cuts off. A chunk that occurs more than
+Several such rules cut each text; what one rule joins to its surroundings another cuts off. Every two neighbouring lines are
+a chunk besides, so that a repeated passage of several lines is marked to its edges whatever stands around it. A chunk that occurs more than
 once in the corpus marks its lines everywhere but at its first occurrence, after its occurrences were compared byte by
 byte; runs of marked lines that are long enough are removed.
 """
@@ -43,7 +44,9 @@ def line_table(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def chunks(hashes: np.ndarray, words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First line of each chunk, its lines and its hash, lines numbered through the block. What several rules cut alike is one chunk."""
+    """First line of each chunk, its lines and its hash, lines numbered through the block. What several rules cut alike is one chunk.
+
+    A line with words and the next one with words in its text, with the blank ones between, are a chunk whatever the rules cut."""
     n = len(hashes)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -61,6 +64,10 @@ def chunks(hashes: np.ndarray, words: np.ndarray, text: np.ndarray) -> tuple[np.
         begin[1:] |= cut[:-1]
         first = np.flatnonzero(begin)
         cuts.append(first << 32 | np.diff(first, append=n))
+    full = np.flatnonzero(words > 0)
+    here, following = full[:-1], full[1:]
+    pair = text[here] == text[following]
+    cuts.append(here[pair] << 32 | (following - here + 1)[pair])
     all_cuts = np.unique(np.concatenate(cuts))
     first, count = all_cuts >> 32, all_cuts & 0xFFFFFFFF
     up = powers(n, LINE)

@@ -108,6 +108,17 @@ def test_line_dedup_keeps_first_occurrences(spark):
     assert line_dedup.remove_repeated_lines(df.limit(0)).count() == 0
 
 
+def test_repeated_passages_go_whole_whatever_stands_around_them(spark):
+    r = random.Random(6)
+    line = lambda n: " ".join(words(r, n))
+    passages = [[line(30), line(30)], [line(20), "", "", "", line(20), "", line(20)], [line(9) for _ in range(7)]]
+    own = [(line(10), line(10)) for _ in range(300)]
+    docs = [(i, "\n".join([a, *passages[i % 3], b])) for i, (a, b) in enumerate(own)]
+    got = {x.doc_id: x.text for x in line_dedup.remove_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [i for i in range(3) if got[i] != docs[i][1]] == []
+    assert [i for i in range(3, 300) if got[i] != "\n".join(own[i])] == []
+
+
 def test_chunks_that_differ_under_one_hash_stay(spark, monkeypatch):
     r = random.Random(4)
     docs = spark.createDataFrame([(i, " ".join(words(r, 60))) for i in range(6)], "doc_id long, text string")
