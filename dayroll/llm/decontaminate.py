@@ -7,11 +7,18 @@ and the alignment is verified token by token with substitutions allowed.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 1 is a token that counts. Substitutions of every fifth, fourth or third token leave a mask that hits.
-MASKS = ("1111111", "111101111", "1110111011", "11011011011")
+#: 1 is a token that counts. Wherever the substitutions of a leak fall, and whatever part of the item a text's
+#: beginning or end cuts off, some mask of the item's class hits it; every mask spans FEWEST tokens at least.
+LONG = ("101001011", "1110011", "110100011")
+SHORT = ("0101110", "1101001", "1000111", "10110001")
+MASKS = LONG + SHORT
+#: Item and document have to have so many tokens side by side.
+FEWEST = min(map(len, MASKS))
 #: An alignment is a leak if some WINDOW neighbouring tokens of the item (all of a shorter one) have at least SHARE of them equal.
 WINDOW, SHARE = 13, 0.75
 #: Benchmark seeds are broadcast, so many rows at once (24 bytes each); a larger benchmark is split by item, and each part
@@ -28,12 +35,11 @@ def _hash(h: Column, at: Column, mask: str) -> Column:
     return F.xxhash64(F.lit(mask), *[F.get(h, at + k) for k, c in enumerate(mask) if c == "1"])
 
 
-def _seeds(rows: DataFrame) -> DataFrame:
-    """rows (with h, the token hashes) times (at, mask, seed), one for each place where a mask fits."""
-    shortest = min(map(len, MASKS))
-    placed = rows.where(F.size("h") >= shortest).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("h") - shortest)))
-    fits = [F.when(F.col("at") + len(m) <= F.size("h"), _hash(F.col("h"), F.col("at"), m)) for m in MASKS]
-    each = F.array(*[F.struct(F.lit(i).alias("mask"), x.alias("seed")) for i, x in enumerate(fits)])
+def _seeds(rows: DataFrame, masks: Sequence[int]) -> DataFrame:
+    """rows (with h, the token hashes) times (at, mask, seed), one for each place where one of these masks fits."""
+    placed = rows.where(F.size("h") >= FEWEST).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("h") - FEWEST)))
+    fits = [F.when(F.col("at") + len(MASKS[i]) <= F.size("h"), _hash(F.col("h"), F.col("at"), MASKS[i])) for i in masks]
+    each = F.array(*[F.struct(F.lit(i).alias("mask"), x.alias("seed")) for i, x in zip(masks, fits)])
     return placed.withColumn("s", F.explode(each)).select(*placed.columns, "s.mask", "s.seed").where(F.col("seed").isNotNull())
 
 
@@ -50,16 +56,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("doc_i
     (equal tokens of the whole alignment), item_tokens, doc_offset (token of the document where the item would begin; it
     is negative if the item's beginning is not there). Of several alignments the best counts, the first of equals.
 
-    Items and documents of fewer than 7 tokens, null or empty texts included, leak nothing. Rows with equal keys count as
-    one document; null keys are a value like others. Other columns are ignored. Work grows with the documents' tokens
-    times the masks; only hits leave the scan, and of a run of hits on one alignment only the first.
+    Items and documents of fewer than 7 tokens, null or empty texts included, leak nothing, nor does an alignment that has
+    fewer than 7 tokens of both side by side; every other alignment is found. Rows with equal keys count as one document;
+    null keys are a value like others. Other columns are ignored. Work grows with the documents' tokens times the masks
+    (those for items of WINDOW tokens or more, those for shorter ones, or both, as the benchmark has them); only hits
+    leave the scan, and of a run of hits on one alignment only the first.
     """
     hashed = lambda text: F.transform(tokens(text), lambda w: F.xxhash64(w))
     items = benchmark.select(F.col(item_col).alias("item_id"), hashed(F.col(item_text_col)).alias("h")).distinct()
-    seeds = _seeds(items).select("item_id", F.col("at").alias("item_at"), F.col("mask").alias("item_mask"), "seed", F.col("h").alias("item_h"))
+    seeds = _seeds(items, range(len(MASKS))).where((F.size("h") >= WINDOW) == (F.col("mask") < len(LONG)))
+    seeds = seeds.select("item_id", F.col("at").alias("item_at"), F.col("mask").alias("item_mask"), "seed", F.col("h").alias("item_h"))
     seeds = seeds.withColumn("before", _before(F.col("item_h"), F.col("item_at"), F.col("item_mask"))).drop("item_h")
-    own = _seeds(docs.select(*[docs[k].alias(f"k{i}") for i, k in enumerate(keys)], hashed(docs[text_col]).alias("h")))
-    parts = max(1, -(-seeds.count() // max(1, BROADCAST_ROWS)))
+    each = dict(seeds.groupBy("item_mask").count().collect())
+    own = _seeds(docs.select(*[docs[k].alias(f"k{i}") for i, k in enumerate(keys)], hashed(docs[text_col]).alias("h")), sorted(each) or range(len(LONG)))
+    parts = max(1, -(-sum(each.values()) // max(1, BROADCAST_ROWS)))
     hits = None
     for part in range(parts):
         here = lambda t: F.broadcast(t if parts == 1 else t.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part))  # noqa: B023, E731

@@ -1,6 +1,8 @@
 """Operators over a whole corpus, against brute force."""
 
 import collections
+import itertools
+import math
 import random
 import re
 
@@ -245,6 +247,43 @@ def test_leaks_against_sql(spark):
     assert decontaminate.decontaminate(d, b.limit(0)).count() == d.count()
 
 
+def test_every_pattern_of_a_leak_hits_a_mask():
+    for n in range(decontaminate.FEWEST, decontaminate.WINDOW + 1):
+        masks = [[k for k, c in enumerate(m) if c == "1"] + [len(m)] for m in (decontaminate.LONG if n >= decontaminate.WINDOW else decontaminate.SHORT)]
+        need = math.ceil(n * decontaminate.SHARE)
+        for m in range(max(need, decontaminate.FEWEST), n + 1):  # tokens of the window that the document has side by side
+            for off in itertools.combinations(range(m), m - need):
+                assert any(not any(s + k in off for k in ones) for *ones, size in masks for s in range(m - size + 1)), (n, m, off)
+
+
+def test_leaks_against_all_alignments(spark):
+    r = random.Random(13)
+    items = [(i, words(r, n)) for i, n in enumerate([7, 8, 9, 10, 11, 12, 13, 13, 14, 16, 20, 25, 59] * 2)]
+    docs = []
+    for _, w in items:
+        for _ in range(12):
+            a = r.choice([0, 0, r.randrange(max(1, len(w) // 3))])
+            x = [y if r.random() > 0.22 else "sub" for y in w[a:]]
+            docs.append((len(docs), r.choice([words(r, 20), []]) + x + r.choice([words(r, 9), []])))
+    w = items[6][1]
+    docs.append((len(docs), words(r, 9) + [y if k not in (3, 6, 10) else "sub" for k, y in enumerate(w)] + words(r, 9)))
+    want = {}
+    for d, t in docs:
+        for i, w in items:
+            n, width = len(w), min(13, len(w))
+            for off in range(7 - n, len(t) - 6):
+                if min(n, len(t) - off) - max(0, -off) < 7:
+                    continue
+                eq = [int(0 <= p + off < len(t) and t[p + off] == w[p]) for p in range(n)]
+                best = max(sum(eq[s : s + width]) for s in range(n - width + 1))
+                if best >= math.ceil(width * 0.75):
+                    want[d, i] = max(want.get((d, i), (0, 0, 0)), (best, sum(eq), -off))
+    rows = lambda x: [(k, " ".join(v)) for k, v in x]
+    got = decontaminate.leaks(spark.createDataFrame(rows(docs), "doc_id long, text string"), spark.createDataFrame(rows(items), "item_id long, text string")).collect()
+    assert len(want) > 80 and (docs[-1][0], 6) in want
+    assert {(x.doc_id, x.item_id): (x.best, x.matched, -x.doc_offset) for x in got} == want
+
+
 def test_large_benchmarks_go_in_parts(spark, monkeypatch):
     docs, items = leak_docs()
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
