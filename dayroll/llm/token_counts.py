@@ -2,7 +2,8 @@
 
 For every prefix of a pre-token the last piece of its encoding is the one piece ending there that stays apart from the
 last piece of the prefix before it; the count of a prefix is one more than the count of that earlier prefix. The counts
-of all prefixes are kept, so that lengths, truncation and budget questions are answered without encoding again.
+at the ends of pre-tokens and inside long ones are kept for lengths, truncation and budget questions; inside a short one
+the last few pre-tokens are encoded again, since a text that ends there may split otherwise.
 
 Vocabulary: a byte-level BPE file of the ``tokenizers`` library (no normaliser, the standard byte-level pattern). Added
 special tokens count as one wherever their text appears, as that library does by default.
@@ -26,6 +27,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Characters of the texts whose new pre-tokens are learnt together.
 TOGETHER = 2_000_000
 
+#: Prefixes of pre-tokens of up to DIRECT characters are encoded when asked for; longer ones keep the counts of theirs,
+#: valid from SURE characters on, where the text's end no longer changes how it splits.
+DIRECT, SURE = 16, 4
+
 
 def byte_characters() -> dict[str, int]:
     """The printable character that stands for each byte in byte-level vocabularies: itself where it is printable, else 256 and up in order."""
@@ -128,25 +133,48 @@ class PrefixCounter:
 
 
 class PrefixIndex:
-    """Counts of all prefixes of one text: cumulated at the ends of pre-tokens, and by the kept counts of one pre-token between them."""
+    """Counts of all prefixes of one text: cumulated at the ends of pre-tokens, and by the kept counts of long pre-tokens between them."""
 
-    def __init__(self, counter: PrefixCounter, text: str):
+    def __init__(self, counter: PrefixCounter, text: str, words: list[str] | None = None):
         self.counter, self.text = counter, text
-        words = counter.pretokens(text)
+        words = counter.pretokens(text) if words is None else words
+        self._kept: dict[int, list[int]] = {}
         self.ends = [0, *accumulate(map(len, words))]
         self.tokens = [0, *accumulate(counter.counts(words))]
 
     def count(self, chars: int) -> int:
         """Tokens of text[:chars]. The last pre-tokens may split otherwise once the text ends there, so they alone are looked at again."""
-        at = bisect_right(self.ends, chars) - 1
         if chars >= self.ends[-1]:
             return self.tokens[-1]
+        at = bisect_right(self.ends, chars) - 1
+        inside = self._inside(at)
+        if inside and chars - self.ends[at] >= SURE:
+            return self.tokens[at] + inside[chars - self.ends[at]]
         at = max(0, at - 2)
         return self.tokens[at] + self.counter.count(self.text[self.ends[at] : chars])
 
+    def _inside(self, at: int) -> list[int] | None:
+        """The kept counts of all prefixes of a long pre-token, by characters; None of others, whose prefixes may split otherwise."""
+        word = self.text[self.ends[at] : self.ends[at + 1]]
+        if len(word) <= DIRECT or word in self.counter.added:
+            return None
+        if at not in self._kept:
+            counts = next(self.counter.prefixes([word.encode()]))
+            self._kept[at] = [counts[i] for i in accumulate((len(c.encode()) for c in word), initial=0)]
+        return self._kept[at]
+
     def fit(self, budget: int) -> int:
-        """Characters of the longest prefix ending with a whole pre-token that has at most budget tokens."""
-        return self.ends[bisect_right(self.tokens, budget) - 1]
+        """Characters of the longest prefix that has at most budget tokens, wherever it ends."""
+        if self.tokens[-1] <= budget:
+            return self.ends[-1]
+        # what a prefix shares with the text goes up to two pre-tokens before its end at least, so none is longer
+        whole = bisect_right(self.tokens, budget) - 1
+        most = self.ends[min(whole + 3, len(self.ends) - 1)]
+        return next((k for k in range(most, self.ends[whole], -1) if self.count(k) <= budget), self.ends[whole])
+
+    def all_counts(self) -> list[int]:
+        """Tokens of text[:0], text[:1], ... and the whole text."""
+        return [self.count(k) for k in range(len(self.text) + 1)]
 
     def truncate(self, budget: int) -> str:
         return self.text[: self.fit(budget)]
@@ -180,8 +208,8 @@ def with_pretokens(c: PrefixCounter, column: pa.Array) -> Iterator[tuple[str, li
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int, id_col: str = "doc_id", text_col: str = "text", keep_prefixes: bool = False) -> DataFrame:
-    """One row for each row of docs: id, n_bytes, n_tokens, over_limit, fit_chars (characters of the longest prefix of
-    whole pre-tokens within limit) and, with keep_prefixes, the arrays prefix_chars and prefix_tokens.
+    """One row for each row of docs: id, n_bytes, n_tokens, over_limit, fit_chars (characters of the longest prefix
+    within limit, wherever it ends) and, with keep_prefixes, the arrays prefix_chars and prefix_tokens of all prefixes.
 
     A null text counts as empty (0 tokens, not over the limit); a null id stays null; repeated rows stay; other columns
     are ignored, whatever their names. A narrow pass: no shuffle, memory bounded by a batch and the worker's memo table.
@@ -198,13 +226,13 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int, id_col: str = "do
                 if keep_prefixes:
                     x = c.index(text)
                     n, fit = x.tokens[-1], x.fit(limit)
-                    chars.append(x.ends)
-                    tokens.append(x.tokens)
+                    chars.append(list(range(len(text) + 1)))
+                    tokens.append(x.all_counts())
                 else:
                     each = c.counts(words)
                     n, fit = sum(each), len(text)
                     if n > limit:
-                        fit = sum(map(len, words[: bisect_right([*accumulate(each)], limit)]))
+                        fit = PrefixIndex(c, text, words).fit(limit)
                 n_tokens.append(n)
                 fits.append(fit)
             cols = [b.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_()), pa.array(fits, pa.int64())]
@@ -218,7 +246,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int, id_col: str = "do
 
 
 def truncate_tokens(docs: DataFrame, vocabulary: str, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' ids with their texts cut after the last whole pre-token within budget (null: null)."""
+    """docs' ids with their texts cut to the longest prefix within budget, wherever it ends (null: null)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,6 +56,15 @@ def test_every_prefix_has_its_exact_count(text):
         assert x.count(k) == len(lib.encode(text[:k], add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("text", ["x" * 900, "日本語のとても長い文" * 40, "a " + " " * 300 + "b", "a!!!<|endoftext|>" * 30, "it's extraordinarily\n\n  incomprehensible " * 9, "'" + "!?-" * 90, "ab12" * 60])
+def test_budgets_end_inside_pretokens(text):
+    lib, x = Tokenizer.from_file(BYTES), token_counts.counter(BYTES).index(text)
+    want = [len(e.ids) for e in lib.encode_batch([text[:k] for k in range(len(text) + 1)], add_special_tokens=False)]
+    assert x.all_counts() == want
+    for budget in (0, 1, 2, 5, 7, 20, 31, 64):
+        assert x.fit(budget) == max(k for k, n in enumerate(want) if n <= budget)
+
+
 def test_pieces_are_the_library_s(spark):
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
