@@ -80,7 +80,7 @@ def _op7_sql() -> str:
     line = lambda name, value: f"coalesce('{name}: ' || {value} || nl, '')"
     return rf"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload, chr(13) || chr(10) AS nl FROM pages),
-r AS (SELECT *, {rid("response", "coalesce(page_id::VARCHAR, '')", "coalesce(url, '')")} AS refers_to,
+r AS (SELECT *, {rid("response", "coalesce(page_id::VARCHAR, '')", "coalesce(url, '')", "'sha256:' || sha256(payload)")} AS refers_to,
   'HTTP/1.1 200 OK' || nl || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || strlen(payload) || nl AS http FROM p),
 o AS (SELECT *, 'sha256:' || sha256(http || nl || payload) AS source_digest, 'sha256:' || sha256(payload) AS payload_digest,
   {rid("conversion", "refers_to")} AS c_id, {rid("metadata", "refers_to")} AS m_id, {text} AS body,
@@ -93,7 +93,7 @@ k AS (SELECT page_id, 'metadata' AS record_type, m_id AS record_id, refers_to, u
   UNION ALL SELECT page_id, 'conversion', c_id, refers_to, url, 'text/plain', source_digest, payload_digest, body, nl FROM f),
 d AS (SELECT *, '{CRAWLED}' AS warc_date, strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest FROM k)
 SELECT page_id, record_type, record_id, refers_to, target_uri, warc_date, content_type, content_length, block_digest, source_digest, payload_digest,
-  'WARC/1.1' || nl || {line("WARC-Type", "record_type")} || {line("WARC-Record-ID", "record_id")} || {line("WARC-Refers-To", "refers_to")} || {line("WARC-Target-URI", "target_uri")}
+  'WARC/1.1' || nl || {line("WARC-Type", "record_type")} || {line("WARC-Record-ID", "record_id")} || {line("WARC-Refers-To", "refers_to")} || {line("WARC-Target-URI", "replace(replace(target_uri, chr(13), '%0D'), chr(10), '%0A')")}
   || {line("WARC-Date", "warc_date")} || {line("WARC-Block-Digest", "block_digest")} || {line("WARC-Source-Block-Digest", "source_digest")} || {line("Content-Type", "content_type")}
   || {line("Content-Length", "content_length")} AS headers, block FROM d"""
 

@@ -1,10 +1,12 @@
 """Operators over a whole corpus, against brute force."""
 
 import collections
+import gzip
 import itertools
 import math
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -213,6 +215,59 @@ def test_warc_records(spark, tmp_path):
     assert warc.derivatives(warc.responses(pages.limit(0), "d")).count() == 0
 
 
+def test_warc_headers_and_identifiers(spark):
+    rows = [(None, "http://a/\r\nEvil: 1", "<p>one"), (None, "http://a/\r\nEvil: 1", "<p>two"), (None, "http://a/\r\nEvil: 1", "<p>two")]
+    out = warc.derivatives(warc.responses(spark.createDataFrame([(*x, "h", "b", "l", "t") for x in rows], "page_id long, url string, html string, headers string, block string, length string, text string"), "d")).collect()
+    assert len({x.record_id for x in out}) == 4 and all("\r\nEvil" not in x.headers and "%0D%0AEvil: 1\r\n" in x.headers for x in out)
+
+
+def test_unclosed_tags_cost_linear_time():
+    began = time.time()
+    for unit in ("<!-- a ", "<a x ", "<a href= ", '<a href="', "<script ", "<script>", "</script ", "<p ", "<", "<title", "<title>"):
+        for page in (unit * (1_000_000 // len(unit)), unit * (1_000_000 // len(unit)) + ">"):
+            warc.page_text(page), warc.page_title(page), warc.page_links(page)
+    assert time.time() - began < 20
+
+
+def test_page_parts_against_regular_expressions():
+    r = random.Random(8)
+    units = ["<!--", "-->", "<script>", "<script a=b>", "</script >", "<STYLE>", "</style>", "<p>", "<br/>", "</div\n>", "<b <p>", "<pq>", "<", ">", "text", " ", "\t \t", "\n", "&lt;", "&amp;lt;", "&#65;", "&#0;", "&#55296;", "<title>", "</title>", "<a href='x'", '<a x href = "u>v"', ' href="w"', "<a ", '"', "é"]
+    flags = re.A
+    for _ in range(4000):
+        page = "".join(r.choice(units) for _ in range(r.randrange(25)))
+        t = re.sub(r"(?is)<!--.*?-->|" + "|".join(rf"<{x}[^>]*>.*?</{x}\s*>" for x in warc.HIDDEN), "", page, flags=flags)
+        t = re.sub(rf"(?i)</?({warc.BREAKS})(\s[^>]*)?/?>", "\n", t, flags=flags)
+        t = re.sub("<[^>]*>", "", t)
+        t = re.sub("&#([0-9]{1,7});", lambda m: chr(int(m[1])) if 0 < int(m[1]) < 0xD800 else m[0], t)
+        for name, char in warc.REFERENCES.items():
+            t = t.replace(f"&{name};", char)
+        t = re.sub(" ?\n[ \n]*", "\n", re.sub("[ \t\r\f]{2,}|[\t\r\f]", " ", t)).strip(" \n")
+        assert warc.page_text(page) == t, page
+        m = re.search(r"(?is)<title[^>]*>(.*?)</title\s*>", page, flags)
+        assert warc.page_title(page) == (m[1] if m else ""), page
+        assert warc.page_links(page) == re.findall(r'(?i)<a\s[^>]*?href\s*=\s*"([^"]*)"', page, flags), page
+
+
+def test_responses_are_read_from_files(spark, tmp_path):
+    http = "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n"
+    body = "<title>é</title>\r\n\r\n<p>WARC/1.1 is no record"
+    records = []
+    for kind, block in (("warcinfo", "software: x\r\n"), ("response", f"{http}\r\n{body}"), ("request", "GET / HTTP/1.1\r\n\r\n"), ("response", f"{http}\r\n")):
+        records.append(f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{len(records)}>\r\nWARC-Target-URI: http://a/{len(records)}\r\nWARC-Date: d\r\ncontent-length: {len(block.encode())}\r\n\r\n{block}\r\n\r\n")
+    (tmp_path / "a.warc").write_bytes("".join(records).encode())
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(x.encode()) for x in records))
+    for name in ("a.warc", "b.warc.gz"):
+        got = {x.record_id: x for x in warc.read_responses(spark, str(tmp_path / name)).collect()}
+        assert set(got) == {"<urn:1>", "<urn:3>"} and all(x.whole for x in got.values())
+        assert (got["<urn:1>"].http_headers, got["<urn:1>"].payload, got["<urn:1>"].target_uri) == (http, body, "http://a/1")
+        assert (got["<urn:3>"].http_headers, got["<urn:3>"].payload) == (http, "")
+    out = warc.derivatives(warc.read_responses(spark, str(tmp_path / "a.warc"))).collect()
+    assert len(out) == 4 and any("title: é\r\n" in x.block and "source-header: Content-Type: text/html\r\n" in x.block for x in out)
+    assert "WARC-Refers-To: <urn:1>\r\n" in next(x for x in out if x.refers_to == "<urn:1>").headers
+    (tmp_path / "c.warc").write_bytes("".join(records).encode()[:-20])
+    assert [x.whole for x in warc.read_responses(spark, str(tmp_path / "c.warc")).where("record_id = '<urn:3>'").collect()] == [False]
+
+
 def leak_docs():
     r = random.Random(9)
     items = [(i, " ".join(words(r, n))) for i, n in enumerate([15, 20, 30, 59, 9, 7, 6, 0])] + [(20, None), (21, "Ein Satz: mit, Satzzeichen; und GROSSEN Wörtern, die (fast) alle hier stehen.")]
