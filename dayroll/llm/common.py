@@ -17,11 +17,26 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     found = found or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="llm-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns beside those of df, which differ from all of them in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation beyond the table."""
     spark = df.sparkSession

@@ -67,18 +67,49 @@ def groups(n, linked):
 
 def test_similar_texts_against_all_pairs(spark):
     rows = texts()
-    docs = spark.createDataFrame([(i, t, 7, "c") for i, t in enumerate(rows)], "doc_id long, text string, node int, component_id string")
+    docs = spark.createDataFrame([(i, t, 7, "c", 1, 2) for i, t in enumerate(rows)], "doc_id long, text string, node int, component_id string, _ID int, _hash int")
     s = [sets_of(t) for t in rows]
     linked = [(i, j) for j in range(len(s)) for i in range(j) if s[i] and s[j] and 100 * len(s[i] & s[j]) >= 80 * len(s[i] | s[j])]
-    want = groups(len(rows), linked)
+    want, links = groups(len(rows), linked), collections.Counter(x for p in linked for x in p)
     got = {r.doc_id: r for r in similarity.similar(docs).collect()}
     assert len(got) == len(rows) and len({*want}) < len(rows) - 60
     for i in range(len(rows)):
-        assert (got[i].n_shingles, got[i].component_id) == (len(s[i]), want[i]), i
-    kept = {r.doc_id for r in similarity.one_of_each(docs.drop("node", "component_id")).collect()}
+        assert (got[i].n_shingles, got[i].component_id, got[i].n_links) == (len(s[i]), want[i], links[i]), i
+    kept = {r.doc_id for r in similarity.one_of_each(docs).collect()}
     assert kept == {want[i] for i in range(len(rows)) if s[i]} | {i for i in range(len(rows)) if not s[i]}
 
 
+def test_links_are_counted_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "MEET_NODES", 7)
+    monkeypatch.setattr(similarity, "MEET_VALUES", 500)
+    monkeypatch.setattr(similarity, "BUCKET_KEYS", 300)
+    monkeypatch.setattr(similarity, "HUBS", 1)
+    test_similar_texts_against_all_pairs(spark)
+
+
+def test_components_that_meet_after_the_hubs(spark):
+    # chains of texts in which each shares enough with the next alone, and whose hubs see few of them
+    r = random.Random(12)
+    rows = []
+    for n in (40, 25):
+        w = words(r, 60 + 4 * n)
+        rows += [" ".join(w[4 * i : 4 * i + 60]) for i in range(n)]
+    s = [sets_of(t) for t in rows]
+    linked = [(i, j) for j in range(len(s)) for i in range(j) if 100 * len(s[i] & s[j]) >= 80 * len(s[i] | s[j])]
+    want, links = groups(len(rows), linked), collections.Counter(x for p in linked for x in p)
+    got = similarity.similar(spark.createDataFrame([*enumerate(rows)], "doc_id long, text string")).collect()
+    assert len(linked) > 60 and {(x.doc_id, x.component_id, x.n_links) for x in got} == {(i, want[i], links[i]) for i in range(len(rows))}
+
+
+def test_common_shingles_of_long_texts_are_found():
+    r = np.random.default_rng(3)
+    c = similarity.Common()
+    for _ in range(200):
+        keys = np.unique(np.concatenate([[5, 7], r.integers(100, 1 << 40, 500)]).astype(np.uint64))
+        c.add(keys, np.ones(len(keys), np.int64), 2000)
+    assert {5, 7} <= set(c.keys.tolist()) and len(c.keys) <= 2000 and c.counts[c.keys == 5][0] >= 200 - 200 * 502 / 2000
+
+
 def test_similar_texts_of_odd_tables(spark):
     schema = "doc_id long, text string"
     assert similarity.similar(spark.createDataFrame([], schema)).count() == 0
