@@ -57,24 +57,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("doc_i
     is negative if the item's beginning is not there). Of several alignments the best counts, the first of equals.
 
     Items and documents of fewer than 7 tokens, null or empty texts included, leak nothing, nor does an alignment that has
-    fewer than 7 tokens of both side by side; every other alignment is found. Rows with equal keys count as one document;
-    null keys are a value like others. Other columns are ignored. Work grows with the documents' tokens times the masks
+    fewer than 7 tokens of both side by side; every other alignment is found. Rows with equal keys count as one document,
+    items with equal ids as one item that several texts stand for; null keys and ids are a value like others. Other columns are ignored. Work grows with the documents' tokens times the masks
     (those for items of WINDOW tokens or more, those for shorter ones, or both, as the benchmark has them); only hits
     leave the scan, and of a run of hits on one alignment only the first.
     """
     hashed = lambda text: F.transform(tokens(text), lambda w: F.xxhash64(w))
     items = benchmark.select(F.col(item_col).alias("item_id"), hashed(F.col(item_text_col)).alias("h")).distinct()
+    items = items.withColumn("item", F.xxhash64(F.col("item_id").cast("string"), "h"))  # null and repeated ids are items of their own
     seeds = _seeds(items, range(len(MASKS))).where((F.size("h") >= WINDOW) == (F.col("mask") < len(LONG)))
-    seeds = seeds.select("item_id", F.col("at").alias("item_at"), F.col("mask").alias("item_mask"), "seed", F.col("h").alias("item_h"))
+    seeds = seeds.select("item", F.col("at").alias("item_at"), F.col("mask").alias("item_mask"), "seed", F.col("h").alias("item_h"))
     seeds = seeds.withColumn("before", _before(F.col("item_h"), F.col("item_at"), F.col("item_mask"))).drop("item_h")
     each = dict(seeds.groupBy("item_mask").count().collect())
     own = _seeds(docs.select(*[docs[k].alias(f"k{i}") for i, k in enumerate(keys)], hashed(docs[text_col]).alias("h")), sorted(each) or range(len(LONG)))
     parts = max(1, -(-sum(each.values()) // max(1, BROADCAST_ROWS)))
     hits = None
     for part in range(parts):
-        here = lambda t: F.broadcast(t if parts == 1 else t.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part))  # noqa: B023, E731
+        here = lambda t: F.broadcast(t if parts == 1 else t.where(F.pmod(F.col("item"), F.lit(parts)) == part))  # noqa: B023, E731
         got = own.join(here(seeds), "seed").where(F.col("mask") == F.col("item_mask"))
-        got = got.join(here(items.select("item_id", F.col("h").alias("item_h"))), "item_id")
+        got = got.join(here(items.select("item", "item_id", F.col("h").alias("item_h"))), "item")
         hits = got if hits is None else hits.unionByName(got)
     # of a run the first: the seeds one place earlier differ, or there are none
     hits = hits.where(F.coalesce(_before(F.col("h"), F.col("at"), F.col("mask")) != F.col("before"), F.lit(True)))
