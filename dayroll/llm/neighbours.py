@@ -1,28 +1,35 @@
 """Embedding near-duplicates by randomised-rotation binary codes.
 
-Unit vectors are padded and rotated at random; a vector's code is the signs of its rotated coordinates, and its stored
-correction is the inner product of the vector with its code. The inner product of one vector's code with another vector,
-divided by the correction, is an unbiased estimate of their cosine; only pairs whose confidence bound reaches the
-threshold are computed again, exactly, in double precision.
-
-Vectors of a label are dealt to blocks of bounded size by a hash, and each pair of blocks is one group's work. A group
+Unit vectors are rotated at random into twice their dimension. What is stored of a vector are the signs of its rotated
+coordinates, packed as bits; the correction, which is the inner product of the vector with its code; and, for the other side
+of an estimate, the rotated coordinates in four bits each, rounded at random so that they are right on average. A code
+against another vector's levels, by AND and bit counts, divided by the correction, is an unbiased estimate of the cosine.
+
+Codes alone are shuffled to find the pairs whose confidence bound reaches the threshold: vectors of a label are dealt to
+blocks of bounded size, each two blocks are one group's work, and a group tells which of its vectors have such a pair. These
+vectors alone then meet with their components, and the pairs are computed again, exactly, in double precision. A group
 returns no pairs: for each vector the number of its links and the least vector it reaches there, so dense groups of copies
 give as many rows as they have vectors.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .bytewords import mix
+from .common import forget, written
 from .components import components
 
-#: Vectors of a block (the mean), bits of a code as a multiple of the dimension, and the half width of the confidence
-#: bound in standard errors.
-BLOCK, BITS, WIDTH = 1024, 2, 4.5
+#: Vectors of a block of codes and of a block of exact products (the means), bits of a code as a multiple of the dimension,
+#: and the half width of the confidence bound in standard errors.
+CODES, BLOCK, BITS, WIDTH = 4096, 1024, 2, 4.5
+#: Bits of a rotated coordinate on the other side.
+LEVELS = 4
 
 
 def rotation(dimension: int, seed: int = 11) -> np.ndarray:
@@ -30,18 +37,78 @@ def rotation(dimension: int, seed: int = 11) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(seed).normal(size=(BITS * dimension, dimension)))[0]
 
 
-def encode(unit: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rotated vectors, their codes (signs over the root of their number) and corrections."""
-    turned = unit @ turn.T
-    code = np.where(turned >= 0, 1, -1) / np.sqrt(turned.shape[1])
-    return turned.astype(np.float32), code.astype(np.float32), np.maximum(np.sum(turned * code, axis=1), 1e-6)
-
-
-def candidates(turned: np.ndarray, code: np.ndarray, correction: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of code, row of turned) whose bound reaches the threshold."""
-    error = WIDTH * np.sqrt((1 - correction**2).clip(0) / correction**2 / (code.shape[1] - 1))
-    estimate = code @ turned.T
-    return np.nonzero(estimate >= ((threshold - error) * correction).astype(np.float32)[:, None])
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of 64-bit words."""
+    words = -(-bits.shape[-1] // 64)
+    full = np.zeros((*bits.shape[:-1], words * 64), bool)
+    full[..., : bits.shape[-1]] = bits
+    return np.packbits(full, axis=-1, bitorder="little").view(np.uint64)
+
+
+class Codes:
+    """Of some vectors: words (signs), correction, planes (bits of the levels, least first), low and step of the levels."""
+
+    def __init__(self, words: np.ndarray, correction: np.ndarray, planes: np.ndarray, low: np.ndarray, step: np.ndarray, bits: int):
+        self.words, self.correction, self.planes, self.low, self.step, self.bits = words, correction, planes, low, step, bits
+
+    @classmethod
+    def of(cls, unit: np.ndarray, turn: np.ndarray, seeds: np.ndarray) -> Codes:
+        """seeds: what a vector's rounding follows from, so that a task run again gives the same codes."""
+        turned = unit @ turn.T
+        bits = turned.shape[1]
+        sign = turned >= 0
+        correction = np.maximum(np.abs(turned).sum(axis=1) / np.sqrt(bits), 1e-6)
+        low, high = turned.min(axis=1), turned.max(axis=1)
+        step = np.maximum((high - low) / ((1 << LEVELS) - 1), 1e-12)
+        dither = mix(seeds.astype(np.uint64)[:, None] + np.arange(1, bits + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)) / 2.0**64
+        level = np.clip(np.floor((turned - low[:, None]) / step[:, None] + dither), 0, (1 << LEVELS) - 1).astype(np.int64)
+        planes = packed(np.stack([(level >> k & 1).astype(bool) for k in range(LEVELS)], axis=1))
+        return cls(packed(sign), correction, planes, low, step, bits)
+
+    def bytes_of(self) -> list[bytes]:
+        """Each vector's words, planes, correction, low and step."""
+        numbers = np.stack([self.correction, self.low, self.step], axis=1)
+        rows = np.concatenate([self.words, self.planes.reshape(len(self.words), -1), numbers.view(np.uint64)], axis=1)
+        return [x.tobytes() for x in rows]
+
+    @classmethod
+    def read(cls, column: pa.Array, dimension: int) -> Codes:
+        bits = BITS * dimension
+        n = -(-bits // 64)
+        rows = np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+        numbers = np.ascontiguousarray(rows[:, n * (1 + LEVELS) :]).view(np.float64)
+        return cls(rows[:, :n], numbers[:, 0], rows[:, n : n * (1 + LEVELS)].reshape(-1, LEVELS, n), numbers[:, 1], numbers[:, 2], bits)
+
+    def take(self, at: np.ndarray | slice) -> Codes:
+        return Codes(self.words[at], self.correction[at], self.planes[at], self.low[at], self.step[at], self.bits)
+
+    def estimates(self, other: Codes) -> np.ndarray:
+        """Unbiased estimates of the cosines of these vectors (by their codes) with others (by their levels)."""
+        shared = np.zeros((len(self.words), len(other.words)), np.int32)
+        for w in range(self.words.shape[1]):
+            for k in range(LEVELS):
+                shared += np.bitwise_count(self.words[:, w, None] & other.planes[None, :, k, w]).astype(np.int32) << k
+        ones = np.bitwise_count(self.words).sum(axis=1, dtype=np.int64)
+        levels = sum(np.bitwise_count(other.planes[:, k]).sum(axis=1, dtype=np.int64) << k for k in range(LEVELS))
+        # the inner product of +1/-1 with low + step * level is twice that over the ones less that over all
+        over_ones = other.low * ones[:, None] + other.step * shared
+        over_all = other.low * self.bits + other.step * levels
+        return (2 * over_ones - over_all) / (np.sqrt(self.bits) * self.correction[:, None])
+
+    def errors(self, other: Codes) -> np.ndarray:
+        """Standard errors of these estimates at most: of the code, and of the rounding of the levels."""
+        code = (1 - self.correction**2).clip(0) / (self.bits - 1)
+        rounding = other.step**2 / 4
+        return np.sqrt(code[:, None] + rounding[None, :]) / self.correction[:, None]
+
+    def candidates(self, other: Codes, threshold: float) -> np.ndarray:
+        """Which pairs' bound reaches the threshold."""
+        return self.estimates(other) + WIDTH * self.errors(other) >= threshold
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -57,30 +124,75 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
         least = new
 
 
-def link_blocks(unit_left: np.ndarray, left: np.ndarray, unit_right: np.ndarray, right: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], same: bool, threshold: float, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, links and reached ids of the vectors of two blocks (or of one with itself) that link."""
-    _, code, correction = encode(unit_left, turn)
-    turned = (unit_right @ turn.T).astype(np.float32)
+def paired(left: Codes, right: Codes, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which vectors of the left and of the right side have a candidate on the other."""
+    has_left, has_right = np.zeros(len(left.words), bool), np.zeros(len(right.words), bool)
+    for k in range(0, len(has_left), 512):
+        found = left.take(slice(k, k + 512)).candidates(right, threshold)
+        if same:
+            i = np.arange(len(found))
+            found[i, i + k] = False
+        has_left[k : k + 512] = found.any(axis=1)
+        has_right |= found.any(axis=0)
+    return has_left, has_right
+
+
+def link_blocks(unit: tuple[np.ndarray, np.ndarray], codes: tuple[Codes, Codes], ids: tuple[np.ndarray, np.ndarray], sizes: tuple[np.ndarray, np.ndarray], same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, links and reached ids of the vectors of two blocks (or of one with itself) that link: candidates are computed again, exactly."""
     kept: list[tuple[np.ndarray, np.ndarray]] = []
-    for k in range(0, len(code), 256):
-        i, j = candidates(turned, code[k : k + 256], correction[k : k + 256], threshold)
+    for k in range(0, len(unit[0]), 256):
+        i, j = np.nonzero(codes[0].take(slice(k, k + 256)).candidates(codes[1], threshold))
         i = i + k
         if same:
             i, j = i[i < j], j[i < j]
         for s in range(0, len(i), 65536):
             a, b = i[s : s + 65536], j[s : s + 65536]
-            ok = np.einsum("nd,nd->n", unit_left[a], unit_right[b]) >= threshold
+            ok = np.einsum("nd,nd->n", unit[0][a], unit[1][b]) >= threshold
             kept.append((a[ok], b[ok]))
     if not kept:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     i, j = (np.concatenate(x) for x in zip(*kept))
     if same:
-        ids, size = left, sizes[0]
+        all_ids, size = ids[0], sizes[0]
     else:
-        ids, size, j = np.concatenate([left, right]), np.concatenate(sizes), j + len(left)
-    links = np.bincount(i, size[j], len(ids)) + np.bincount(j, size[i], len(ids))
+        all_ids, size, j = np.concatenate(ids), np.concatenate(sizes), j + len(ids[0])
+    links = np.bincount(i, size[j], len(all_ids)) + np.bincount(j, size[i], len(all_ids))
     on = np.flatnonzero(links)
-    return ids[on], links[on].astype(np.int64), _roots(len(ids), i, j, ids)[on]
+    return all_ids[on], links[on].astype(np.int64), _roots(len(all_ids), i, j, all_ids)[on]
+
+
+def with_codes(rows: DataFrame) -> DataFrame:
+    """rows (v, d, h) with code: what is stored of each vector beside it."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns: dict[int, np.ndarray] = {}
+        for b in batches:
+            d, h = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("d", "h"))
+            vectors = b.column(b.schema.get_field_index("v"))
+            code = np.empty(len(d), object)
+            for k in np.unique(d):
+                at = np.flatnonzero(d == k)
+                x = unit_rows(vectors.take(pa.array(at)).flatten().to_numpy().reshape(len(at), k))
+                if k not in turns:
+                    turns[k] = rotation(int(k))
+                code[at] = Codes.of(x, turns[k], h[at].view(np.uint64)).bytes_of()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(code, pa.binary())], [*b.schema.names, "code"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(encode, f"{kinds}, code binary")
+
+
+def _block_pairs(rows: DataFrame, size: int) -> DataFrame:
+    """rows once for each block of their label and dimension that their own block meets: a and b, the two blocks, and at, the own one."""
+    per = rows.groupBy("l", "d").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
+    dealt = rows.join(per, ["l", "d"]).withColumn("at", F.pmod("h", F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"a": F.least("at", "other"), "b": F.greatest("at", "other")}).drop("other", "blocks")
+
+
+def _sides(group: pa.Table) -> tuple[bool, np.ndarray, np.ndarray]:
+    at, a, b = group["at"].to_numpy(), group["a"][0].as_py(), group["b"][0].as_py()
+    return a == b, np.flatnonzero(at == a), np.flatnonzero(at == b)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -91,32 +203,41 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     and they are kept). Vectors of different lengths don't link. Equal vectors of a label are one class, whose members link
     with each other. Rows with equal ids are one node of the graph, whose links they share, but each counts as a vector. Other columns are ignored.
 
-    Work is quadratic in a label's distinct vectors, in blocks of bounded size; what is shuffled is each distinct vector once
-    for each block of its label, and nothing grows with the number of links.
+    Work is quadratic in a label's distinct vectors, in blocks of bounded size. Each code (a bit for each of BITS times the
+    dimension, as many four-bit levels, and three numbers) is shuffled once for each CODES vectors of its label; components
+    are shuffled only of vectors that have a candidate. Nothing grows with the number of links. A link whose estimate lies
+    more than WIDTH standard errors below its cosine is missed: fewer than one in a hundred thousand.
     """
     v = F.col("v")
     fine = F.col("l").isNotNull() & F.col("id").isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(vectors[id_col].alias("id"), F.transform(vectors[vector_col], lambda x: x.cast("double")).alias("v"), vectors[label_col].alias("l"))
     rows = rows.select("id", F.when(fine, v).alias("v"), F.when(fine, F.col("l")).alias("l"))
     # many exact copies of one vector meet as a count and a least id
-    classes = written(rows.where(F.col("v").isNotNull()).groupBy("l", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "vectors")
-    per = classes.groupBy("l", F.size("v").alias("d")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = classes.withColumn("d", F.size("v")).join(per, ["l", "d"]).withColumn("at", F.pmod(F.xxhash64("rep", "v"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("l", "d", F.least("at", "other").alias("a"), F.greatest("at", "other").alias("b"), "at", "rep", "n", "v")
+    classes = rows.where(F.col("v").isNotNull()).groupBy("l", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    classes = classes.select("l", "v", F.col("rep").cast("long").alias("rep"), "n", F.size("v").alias("d"), F.xxhash64("rep", "v").alias("h"))
+    classes = written(with_codes(classes), "vectors")
+
+    def pair(group: pa.Table) -> pa.Table:
+        same, first, second = _sides(group)
+        codes, h = Codes.read(group["code"].combine_chunks(), group["d"][0].as_py()), group["h"].to_numpy()
+        has = paired(codes.take(first), codes.take(second), same, threshold)
+        found = np.unique(np.concatenate([h[first][has[0]], h[second][has[1]]]))
+        return pa.table({"h": pa.array(found, pa.int64())})
+
+    some = _block_pairs(classes.select("l", "d", "h", "code"), CODES).groupBy("l", "d", "a", "b").applyInArrow(pair, "h long").distinct()
 
     def link(group: pa.Table) -> pa.Table:
-        x = np.asarray(group["v"].combine_chunks().flatten()).reshape(group.num_rows, -1)
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        at, ids, n = (group[c].to_numpy() for c in ("at", "rep", "n"))
-        first = at == group["a"][0].as_py()
-        same = group["a"][0].as_py() == group["b"][0].as_py()
-        second = first if same else ~first
-        found = link_blocks(x[first], ids[first], x[second], ids[second], (n[first], n[second]), same, threshold, rotation(x.shape[1]))
+        same, first, second = _sides(group)
+        d = group["d"][0].as_py()
+        x = unit_rows(group["v"].combine_chunks().flatten().to_numpy().reshape(group.num_rows, d))
+        codes, ids, n = Codes.read(group["code"].combine_chunks(), d), group["rep"].to_numpy(), group["n"].to_numpy()
+        both = lambda c: (c[first], c[second])
+        found = link_blocks(both(x), (codes.take(first), codes.take(second)), both(ids), both(n), same, threshold)
         return pa.table({"rep": pa.array(found[0], pa.int64()), "links": pa.array(found[1], pa.int64()), "reach": pa.array(found[2], pa.int64())})
 
-    linked = written(dealt.withColumn("rep", F.col("rep").cast("long")).groupBy("l", "d", "a", "b").applyInArrow(link, "rep long, links long, reach long"), "links")
+    near = written(classes.join(some, "h", "left_semi"), "near-vectors")
+    linked = written(_block_pairs(near, BLOCK).groupBy("l", "d", "a", "b").applyInArrow(link, "rep long, links long, reach long"), "links")
+    forget(near)
     joined = components(linked.select(F.col("rep").alias("a"), F.col("reach").alias("b")))
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     own = classes.join(links, "rep", "left").select("l", "v", "rep", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
@@ -125,4 +246,3 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "rep", "id").cast("long").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("component", "rep", "id"), F.lit(True)).alias("kept"),
     )
-

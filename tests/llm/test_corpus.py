@@ -10,6 +10,7 @@ import time
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,17 +187,25 @@ def test_near_vectors_against_all_pairs(spark):
 
 def test_blocks_of_one_label_meet(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 8)
+    monkeypatch.setattr(neighbours, "CODES", 16)
     test_near_vectors_against_all_pairs(spark)
 
 
-def test_estimates_are_unbiased_and_bounded():
+@pytest.mark.parametrize("dimension", [24, 64, 100])
+def test_estimates_are_unbiased_and_bounded(dimension):
     r = np.random.default_rng(0)
-    x = r.normal(size=(300, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    turned, code, correction = neighbours.encode(x, neighbours.rotation(64))
-    off = (code @ turned.T) / correction[:, None] - x @ x.T
-    error = np.sqrt((1 - correction**2) / correction**2 / (code.shape[1] - 1))
-    assert abs(off.mean()) < 0.003 and (np.abs(off) <= neighbours.WIDTH * error[:, None]).mean() > 0.9999
+    x = neighbours.unit_rows(r.normal(size=(300, dimension)))
+    y = neighbours.unit_rows(x + r.normal(size=x.shape) * 0.25 / np.sqrt(dimension))
+    turn = neighbours.rotation(dimension)
+    a, b = (neighbours.Codes.of(z, turn, np.arange(300) + k) for k, z in ((0, x), (999, y)))
+    back = neighbours.Codes.read(pa.array(a.bytes_of(), pa.binary()), dimension)
+    assert (back.estimates(b) == a.estimates(b)).all()
+    # the code's inner product with the levels, by definition
+    bit = lambda w: np.unpackbits(np.ascontiguousarray(w).view(np.uint8), axis=-1, bitorder="little")[..., : a.bits]
+    sign, level = 2.0 * bit(a.words) - 1, sum(bit(b.planes[:, k]).astype(int) << k for k in range(neighbours.LEVELS))
+    assert np.allclose(sign @ (b.low[:, None] + b.step[:, None] * level).T / np.sqrt(a.bits) / a.correction[:, None], a.estimates(b))
+    off = a.estimates(b) - x @ y.T
+    assert abs(off.mean()) < 0.003 and abs(np.diag(off).mean()) < 0.02 and (np.abs(off) <= neighbours.WIDTH * a.errors(b)).mean() > 0.9999
 
 
 def test_components(spark):
