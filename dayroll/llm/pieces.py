@@ -228,6 +228,7 @@ def with_cuts(c: PieceCoder, column: pa.Array) -> Iterator[tuple[str, list[str]]
     for _, cuts in some:
         c.learn(cuts)
     yield from some
+    c.trim()
 
 
 def encode_pieces(docs: DataFrame, model: str, end: bool = True, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -1,9 +1,10 @@
 """Token counts by prefix dynamic programming.
 
 For every prefix of a pre-token the last piece of its encoding is the one piece ending there that stays apart from the
-last piece of the prefix before it; the count of a prefix is one more than the count of that earlier prefix. The counts
-at the ends of pre-tokens and inside long ones are kept for lengths, truncation and budget questions; inside a short one
-the last few pre-tokens are encoded again, since a text that ends there may split otherwise.
+last piece of the prefix before it; the count of a prefix is one more than the count of that earlier prefix. A pre-token
+is kept with the counts of all its prefixes, and an index of a text adds what stands before it, so lengths, truncation and
+budget questions at any character are answered from stored counts. Where a text that ends inside a pre-token splits
+otherwise (a contraction, the last blank before a word) the index looks up the pre-tokens that it then has.
 
 Vocabulary: a byte-level BPE file of the ``tokenizers`` library (no normaliser, the standard byte-level pattern). Added
 special tokens count as one wherever their text appears, as that library does by default.
@@ -12,6 +13,7 @@ special tokens count as one wherever their text appears, as that library does by
 from __future__ import annotations
 
 import json
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from itertools import accumulate, chain
@@ -26,10 +28,8 @@ from .bpe import MEMO_LIMIT, Merger
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of the texts whose new pre-tokens are learnt together.
 TOGETHER = 2_000_000
-
-#: Prefixes of pre-tokens of up to DIRECT characters are encoded when asked for; longer ones keep the counts of theirs,
-#: valid from SURE characters on, where the text's end no longer changes how it splits.
-DIRECT, SURE = 16, 4
+#: The pattern's contractions that a text can end within.
+SPLIT_EARLIER = ("'re", "'ve", "'ll")
 
 
 def byte_characters() -> dict[str, int]:
@@ -39,12 +39,24 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def check(spec: dict) -> None:
+    """Refuse a file whose texts this module would count otherwise than the library."""
+    model, splitter = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [
+        model.get("type", "BPE") != "BPE", model.get("dropout"), model.get("continuing_subword_prefix"), model.get("end_of_word_suffix"), model.get("ignore_merges"), model.get("byte_fallback"), spec.get("normalizer"),
+        splitter.get("type") != "ByteLevel", splitter.get("add_prefix_space"), not splitter.get("use_regex", True), any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")),
+    ]
+    if any(wrong):
+        raise ValueError("this vocabulary file is not byte-level BPE with the standard pattern, merges alone and no normaliser")
+
+
 class PrefixCounter:
     """Exact token counts of every prefix under one vocabulary file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check(spec)
         table = byte_characters()
         raw = lambda piece: bytes(table[c] for c in piece)
         added = {t["content"] for t in spec.get("added_tokens", [])}
@@ -62,6 +74,7 @@ class PrefixCounter:
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.added = added
         self._counts: dict[str, int] = dict.fromkeys(added, 1)
+        self._prefixes: dict[str, array] = {}
 
     def prefixes(self, words: Iterable[bytes]) -> Iterator[list[int]]:
         """For each word the counts of word[:0], word[:1], ... word[:len]. In sorted order a word takes over what the one before it has stored for their common prefix."""
@@ -120,10 +133,27 @@ class PrefixCounter:
         for (_, w), counts in zip(coded, self.prefixes(x for x, _ in coded)):
             known[w] = counts[-1]
 
+    def prefix_counts(self, pretoken: str) -> array:
+        """Tokens of pretoken[:0], pretoken[:1], ... and the whole pre-token, each as a pre-token of its own."""
+        found = self._prefixes.get(pretoken)
+        if found is None:
+            counts = next(self.prefixes([pretoken.encode()]))
+            found = self._prefixes[pretoken] = array("I", [counts[i] for i in accumulate((len(c.encode()) for c in pretoken), initial=0)])
+        return found
+
     def trim(self) -> None:
+        """Empty memo tables that have grown beyond their limit."""
         if len(self._counts) > MEMO_LIMIT:
             self._counts.clear()
             self._counts.update(dict.fromkeys(self.added, 1))
+        if sum(map(len, self._prefixes.values())) > MEMO_LIMIT:
+            self._prefixes.clear()
+
+    def forget(self) -> None:
+        """Empty the memo tables: a worker that is kept for other stages does not hold them."""
+        self._counts = dict.fromkeys(self.added, 1)
+        self._prefixes.clear()
+        self._apart.clear()
 
     def count(self, text: str) -> int:
         return sum(self.counts(self.pretokens(text)))
@@ -133,44 +163,45 @@ class PrefixCounter:
 
 
 class PrefixIndex:
-    """Counts of all prefixes of one text: cumulated at the ends of pre-tokens, and by the kept counts of long pre-tokens between them."""
+    """Counts of all prefixes of one text: cumulated at the ends of pre-tokens, and by the kept counts of each pre-token between them."""
 
     def __init__(self, counter: PrefixCounter, text: str, words: list[str] | None = None):
         self.counter, self.text = counter, text
-        words = counter.pretokens(text) if words is None else words
-        self._kept: dict[int, list[int]] = {}
-        self.ends = [0, *accumulate(map(len, words))]
-        self.tokens = [0, *accumulate(counter.counts(words))]
+        self.words = counter.pretokens(text) if words is None else words
+        self.ends = [0, *accumulate(map(len, self.words))]
+        self.tokens = [0, *accumulate(counter.counts(self.words))]
 
     def count(self, chars: int) -> int:
-        """Tokens of text[:chars]. The last pre-tokens may split otherwise once the text ends there, so they alone are looked at again."""
+        """Tokens of text[:chars]."""
         if chars >= self.ends[-1]:
             return self.tokens[-1]
         at = bisect_right(self.ends, chars) - 1
-        inside = self._inside(at)
-        if inside and chars - self.ends[at] >= SURE:
-            return self.tokens[at] + inside[chars - self.ends[at]]
-        at = max(0, at - 2)
-        return self.tokens[at] + self.counter.count(self.text[self.ends[at] : chars])
-
-    def _inside(self, at: int) -> list[int] | None:
-        """The kept counts of all prefixes of a long pre-token, by characters; None of others, whose prefixes may split otherwise."""
-        word = self.text[self.ends[at] : self.ends[at + 1]]
-        if len(word) <= DIRECT or word in self.counter.added:
-            return None
-        if at not in self._kept:
-            counts = next(self.counter.prefixes([word.encode()]))
-            self._kept[at] = [counts[i] for i in accumulate((len(c.encode()) for c in word), initial=0)]
-        return self._kept[at]
+        inside, before = chars - self.ends[at], self.words[at - 1] if at else ""
+        if not inside:  # two runs of blanks are one where nothing follows them
+            if at > 1 and before.isspace() and self.words[at - 2].isspace():
+                return self.tokens[at - 2] + self.counter.prefix_counts(self.words[at - 2] + before)[-1]
+            return self.tokens[at]
+        word = self.words[at]
+        if word in self.counter.added:
+            # a special string that is not whole is text: what stands before it goes on into it
+            first = max(0, at - 2)
+            return self.tokens[first] + self.counter.count(self.text[self.ends[first] : chars])
+        if inside == 1 and word[0].isspace() and before.isspace():
+            return self.tokens[at - 1] + self.counter.prefix_counts(before + word[0])[-1]
+        if inside == 2 and word in SPLIT_EARLIER:
+            return self.tokens[at] + self.counter.prefix_counts("'")[-1] + self.counter.prefix_counts(word[1])[-1]
+        return self.tokens[at] + self.counter.prefix_counts(word)[inside]
 
     def fit(self, budget: int) -> int:
         """Characters of the longest prefix that has at most budget tokens, wherever it ends."""
         if self.tokens[-1] <= budget:
             return self.ends[-1]
+        if budget < 0:
+            return 0
         # what a prefix shares with the text goes up to two pre-tokens before its end at least, so none is longer
         whole = bisect_right(self.tokens, budget) - 1
         most = self.ends[min(whole + 3, len(self.ends) - 1)]
-        return next((k for k in range(most, self.ends[whole], -1) if self.count(k) <= budget), self.ends[whole])
+        return next(k for k in range(most, -1, -1) if self.count(k) <= budget)
 
     def all_counts(self) -> list[int]:
         """Tokens of text[:0], text[:1], ... and the whole text."""
@@ -205,6 +236,7 @@ def with_pretokens(c: PrefixCounter, column: pa.Array) -> Iterator[tuple[str, li
             c.trim()
     c.learn(chain.from_iterable(words for _, words in some))
     yield from some
+    c.trim()
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int, id_col: str = "doc_id", text_col: str = "text", keep_prefixes: bool = False) -> DataFrame:
@@ -241,6 +273,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int, id_col: str = "do
                 cols += [pa.array(chars, pa.list_(pa.int64())), pa.array(tokens, pa.list_(pa.int64()))]
                 names += ["prefix_chars", "prefix_tokens"]
             yield pa.RecordBatch.from_arrays(cols, names)
+        c.forget()
 
     return docs.select(docs[id_col], docs[text_col]).mapInArrow(count, f"{id_col} {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long{extra}")
 
@@ -254,5 +287,7 @@ def truncate_tokens(docs: DataFrame, vocabulary: str, budget: int, id_col: str =
         for b in batches:
             texts = [None if t is None else c.index(t).truncate(budget) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], [id_col, text_col])
+            c.trim()
+        c.forget()
 
     return docs.select(docs[id_col], docs[text_col]).mapInArrow(cut, f"{id_col} {kind}, {text_col} string")

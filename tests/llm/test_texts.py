@@ -1,6 +1,7 @@
 """Operators that work row by row: tokens, pieces, scores. Each on nulls, empty and very long texts, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -56,6 +57,37 @@ def test_every_prefix_has_its_exact_count(text):
         assert x.count(k) == len(lib.encode(text[:k], add_special_tokens=False).ids)
 
 
+def test_prefixes_where_texts_split_otherwise():
+    lib, r = Tokenizer.from_file(BYTES), random.Random(4)
+    parts = ["'re", "'ve", "'ll", "'s", "'", "r", "e", " ", "  ", "\n", "\n\n", "\t", "\u3000", "x", "12", "é", "e\u0301", "!", "<|endoftext|>", "<|endo", "don't"]
+    for _ in range(1500):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(9)))
+        want = [len(e.ids) for e in lib.encode_batch([text[:k] for k in range(len(text) + 1)], add_special_tokens=False)]
+        x = token_counts.counter(BYTES).index(text)
+        assert x.all_counts() == want, text
+        assert [x.fit(b) for b in range(5)] == [max(k for k, n in enumerate(want) if n <= b) for b in range(5)], text
+
+
+def test_memo_tables_stay_bounded_over_many_small_batches(monkeypatch):
+    monkeypatch.setattr(token_counts, "MEMO_LIMIT", 500)
+    monkeypatch.setattr(pieces, "MEMO_LIMIT", 500)
+    counter, coder, r = token_counts.PrefixCounter(BYTES), pieces.PieceCoder(PIECES), random.Random(2)
+    for _ in range(12):
+        batch = pa.array([" ".join("".join(r.choice("abcdeé") for _ in range(7)) for _ in range(40)) for _ in range(10)])
+        assert sum(1 for _ in token_counts.with_pretokens(counter, batch)) == sum(1 for _ in pieces.with_cuts(coder, batch)) == 10
+        assert len(counter._counts) <= 501 and len(coder._known) <= 500
+    counter.forget(), coder.forget()
+    assert len(counter._counts) == 1 and not coder._known and not coder._apart
+
+
+def test_other_kinds_of_vocabularies_are_refused(tmp_path):
+    spec = json.loads(open(BYTES, encoding="utf-8").read())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"ignore_merges": True}}):
+        (tmp_path / "v.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            token_counts.PrefixCounter(str(tmp_path / "v.json"))
+
+
 @pytest.mark.parametrize("text", ["x" * 900, "日本語のとても長い文" * 40, "a " + " " * 300 + "b", "a!!!<|endoftext|>" * 30, "it's extraordinarily\n\n  incomprehensible " * 9, "'" + "!?-" * 90, "ab12" * 60])
 def test_budgets_end_inside_pretokens(text):
     lib, x = Tokenizer.from_file(BYTES), token_counts.counter(BYTES).index(text)
