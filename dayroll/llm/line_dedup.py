@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import BLANK, Block, blocks, mix, powers
-from .common import forget, release_shuffles, written
+from .common import forget, free_names, release_shuffles, written
 
 #: Lines in the rolling window of each rule.
 RULES = (1, 1, 1, 1, 1, 2, 2, 2, 2)
@@ -125,40 +125,39 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     The first occurrence is that of the least id (nulls first), then of the least line. Rows alike in id and text count as
     one document, and all keep what is first there. A null text stays null, an empty one empty (one line); a text whose
-    lines all repeat becomes empty. Rows are never dropped.
+    lines all repeat becomes empty. Rows are never dropped. Other columns may have any names.
 
     Counting occurrences shuffles hashes only and is pre-aggregated; texts are shuffled once, by document. A chunk that a
     third of all rows share is one count on each side of the shuffle and a join key that adaptive execution can split.
     """
     docs = docs.drop("n_lines", "removed_lines")
+    i, t, own, done = free_names(docs, "id", "hash", "spans", "done")
     th = F.xxhash64(docs[text_col])
     found = written(chunk_rows(docs.select(docs[id_col].alias("id"), th.alias("th"), docs[text_col].alias("text"))), "chunks")
-    keys = ["h"]
-    repeated = found.groupBy(*keys).agg(F.min(F.struct("id", "th", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeated = written(repeated.select(*keys, F.col("first.id").alias("id0"), F.col("first.th").alias("th0"), F.col("first.line").alias("line0")), "repeated")
+    repeated = found.groupBy("h").agg(F.min(F.struct("id", "th", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = written(repeated.select("h", F.col("first.id").alias("id0"), F.col("first.th").alias("th0"), F.col("first.line").alias("line0")), "repeated")
     here = F.col("id").eqNullSafe(F.col("id0")) & (F.col("th") == F.col("th0")) & (F.col("line") == F.col("line0"))
-    marked = found.join(repeated, keys).select("id", "th", "h", (F.col("line").cast("long") * (1 << 32) + F.col("lines")).alias("span"), here.alias("first"))
-    spans = marked.groupBy("id", "th").agg(F.collect_set(F.struct("h", "span", "first")).alias("_spans")).withColumnsRenamed({"id": "_id", "th": "_th"})
+    marked = found.join(repeated, "h").select("id", "th", "h", (F.col("line").cast("long") * (1 << 32) + F.col("lines")).alias("span"), here.alias("first"))
+    spans = marked.groupBy("id", "th").agg(F.collect_set(F.struct("h", "span", "first")).alias(own)).withColumnsRenamed({"id": i, "th": t})
     spans = written(spans, "spans")
     forget(found)
     forget(repeated)
     release_shuffles(docs.sparkSession)
-    joined = docs.join(spans, docs[id_col].eqNullSafe(F.col("_id")) & (th == F.col("_th")), "left").drop("_id", "_th")
-    joined = written(joined, "marked-documents")
+    with_spans = lambda rows, spans: rows.join(spans, rows[id_col].eqNullSafe(F.col(i)) & (F.xxhash64(rows[text_col]) == F.col(t)), "left").drop(i, t)
+    joined = written(with_spans(docs, spans), "marked-documents")
     forget(spans)
     release_shuffles(docs.sparkSession)
     # byte comparison: all texts of a hash are equal if the least and the greatest are
     lines = F.split(F.col(text_col), "\n")
-    texts = joined.where(F.size("_spans") > 0).select(lines.alias("l"), F.explode("_spans").alias("s"))
+    texts = joined.where(F.size(own) > 0).select(lines.alias("l"), F.explode(own).alias("s"))
     texts = texts.select("s.h", F.array_join(F.slice("l", (F.shiftright("s.span", 32) + 1).cast("int"), F.col("s.span").bitwiseAND(0xFFFFFFFF).cast("int")), "\n").alias("t"))
     unequal = texts.groupBy("h").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("h")
     unequal = written(unequal, "unequal")
-    if unequal.isEmpty():
-        good = F.filter("_spans", lambda s: ~s["first"])
-    else:  # chunks that differ under one hash stay; they are rare, but as many as they may be
-        bad = texts.join(unequal, "h", "left_semi").select("h").distinct().agg(F.collect_set("h").alias("_bad"))
-        joined = joined.join(F.broadcast(bad))
-        good = F.filter("_spans", lambda s: ~s["first"] & ~F.array_contains("_bad", s["h"]))
-    cleaned = joined.withColumn("_r", F.pandas_udf(without, "text string, n_lines long, removed_lines long")(F.col(text_col), F.transform(good, lambda s: s["span"])))
-    order = [c for c in docs.columns]
-    return cleaned.select(*[F.col("_r.text").alias(c) if c == text_col else F.col(c) for c in order], F.col("_r.n_lines").alias("n_lines"), F.col("_r.removed_lines").alias("removed_lines"))
+    if not unequal.isEmpty():  # chunks that differ under one hash stay
+        each = joined.select(F.col(id_col).alias(i), F.xxhash64(text_col).alias(t), F.explode(own).alias("s")).withColumn("h", F.col("s.h"))
+        fine = each.join(unequal, "h", "left_anti").groupBy(i, t).agg(F.collect_set("s").alias(own))
+        joined = with_spans(joined.drop(own), fine)
+    good = F.transform(F.filter(own, lambda s: ~s["first"]), lambda s: s["span"])
+    cleaned = joined.withColumn(done, F.pandas_udf(without, "text string, n_lines long, removed_lines long")(F.col(text_col), good))
+    part = lambda c: F.col(f"{done}.{c}")
+    return cleaned.select(*[part("text").alias(c) if c == text_col else F.col(c) for c in docs.columns], part("n_lines").alias("n_lines"), part("removed_lines").alias("removed_lines"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, free_names, written
 
 SIGN = np.uint64(1 << 63)
 LOW = 1 << 64
@@ -56,7 +56,7 @@ def _count(digest: DataFrame, keys: list[int]) -> list[tuple[int, int, int, int,
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (place[order][starts], *per)], NAMES)
 
     sums = [F.sum("bytes"), F.sum("rows"), F.min("h0"), F.max("h1"), F.min("l0"), F.max("l1")]
-    found = {r[0]: tuple(r[1:]) for r in digest.select("_high", "_low", "_size").mapInArrow(count, ", ".join(f"{n} long" for n in NAMES)).groupBy("place").agg(*sums).collect()}
+    found = {r[0]: tuple(r[1:]) for r in digest.select("high", "low", "size").mapInArrow(count, ", ".join(f"{n} long" for n in NAMES)).groupBy("place").agg(*sums).collect()}
     return [found.get(i, (0, 0, 0, 0, 0, 0)) for i in range(len(keys) + 1)]
 
 
@@ -137,8 +137,9 @@ def shard_by_bytes(docs: DataFrame, shards: int, size: str = "size", id_col: str
     equal texts is a task of its own; a row's slot is the exact number of rows in the runs before plus its place in its run.
     """
     docs = docs.drop("shard", "slot")
-    key = docs.select(F.coalesce(F.col(hash_col), F.lit(0)).cast("long").alias("_high"), F.coalesce(F.col(id_col), F.lit(-(1 << 63))).cast("long").alias("_low"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"))
-    digest = written(key, "shard-digest")
+    h, low, place = free_names(docs, "high", "low", "at")
+    high_of, low_of = F.coalesce(F.col(hash_col), F.lit(0)).cast("long"), F.coalesce(F.col(id_col), F.lit(-(1 << 63))).cast("long")
+    digest = written(docs.select(high_of.alias("high"), low_of.alias("low"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size")), "shard-digest")
     fine = max(1, min(fine, digest.count() // (64 * shards)))  # a run shorter than that is not worth a task
     keys, below = boundaries(digest, shards, fine, tolerance, group_tolerance)
     at, at_low = _split(keys)
@@ -152,17 +153,19 @@ def shard_by_bytes(docs: DataFrame, shards: int, size: str = "size", id_col: str
         r = _below(_unsigned(high.to_numpy()), _unsigned(low.to_numpy()), at, at_low)
         return pd.DataFrame({"run": r.astype(np.int32), "shard": (r // fine).astype(np.int32), "base": base[r]})
 
-    placed = docs.withColumns({"_high": F.coalesce(F.col(hash_col), F.lit(0)).cast("long"), "_low": F.coalesce(F.col(id_col), F.lit(-(1 << 63))).cast("long")}).withColumn("_at", run("_high", "_low"))
-    within = Window.partitionBy("_at.run").orderBy("_high", "_low")
-    return placed.withColumns({"shard": F.col("_at.shard"), "slot": F.col("_at.base") + F.row_number().over(within) - 1}).drop("_at", "_high", "_low")
+    forget(digest)
+    placed = docs.withColumns({h: high_of, low: low_of}).withColumn(place, run(F.col(h), F.col(low)))
+    within = Window.partitionBy(f"{place}.run").orderBy(h, low)
+    return placed.withColumns({"shard": F.col(f"{place}.shard"), "slot": F.col(f"{place}.base") + F.row_number().over(within) - 1}).drop(place, h, low)
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), **how) -> DataFrame:
     """Shards of documents by bytes: id, size (UTF-8 bytes of the text plus 8; a null text has none), text_crc32, law, shard, slot, grown_shard (null under this law) and the columns named by carry."""
     text = F.coalesce(docs[text_col], F.lit(""))
-    own = docs.select(docs[id_col], (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("_text_hash"), *[docs[c] for c in carry])
-    placed = shard_by_bytes(own, shards, "size", id_col, "_text_hash", **how)
-    return placed.select(id_col, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), *carry)
+    th, *names = free_names(docs, "text_hash", *carry)
+    own = docs.select(docs[id_col], (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias(th), *[docs[c].alias(n) for c, n in zip(carry, names)])
+    placed = shard_by_bytes(own, shards, "size", id_col, th, **how)
+    return placed.select(id_col, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), *[F.col(n).alias(c) for c, n in zip(carry, names)])
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, **how) -> None:

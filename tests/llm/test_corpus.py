@@ -155,6 +155,59 @@ def test_repeated_passages_go_whole_whatever_stands_around_them(spark):
     assert [i for i in range(3, 300) if got[i] != "\n".join(own[i])] == []
 
 
+def removed(lines, marks):
+    """Numbers of the lines that go if these are marked."""
+    out, i = set(), 0
+    while i < len(lines):
+        j = i
+        while j < len(lines) and marks[j]:
+            j += 1
+        n = sum(len(x.split()) for x in lines[i:j])
+        if n >= 50 or (j - i >= 2 and n >= 25):
+            out |= {*range(i, j)}
+        i = max(j, i + 1)
+    return out
+
+
+def test_line_dedup_between_what_must_go_and_what_may_go(spark):
+    """All pairs of neighbouring lines and all long lines that occurred before must go where they are enough; nothing that did not occur before may."""
+    r = random.Random(21)
+    pool = [" ".join(words(r, r.choice([1, 4, 9, 14, 30, 45, 60]))) for _ in range(40)]
+    docs = []
+    for i in range(160):
+        lines = []
+        for _ in range(r.randrange(12)):
+            k = r.random()
+            at = r.randrange(40)
+            lines += pool[at : at + r.randrange(1, 6)] if k < 0.4 else [r.choice(["", "  "])] if k < 0.55 else [" ".join(words(r, r.randrange(1, 15)))]
+        docs.append((i, "\n".join(lines)))
+    got = {x.doc_id: x.text for x in line_dedup.remove_repeated_lines(spark.createDataFrame([(*x, 1, 2, 3, "d") for x in docs], "doc_id long, text string, _id int, _th int, _spans int, _DONE string")).collect()}
+    seen, went = set(), 0
+    for i, text in docs:
+        lines = text.split("\n")
+        full = [k for k, x in enumerate(lines) if x.strip()]
+        must, may = [False] * len(lines), [not x.strip() for x in lines]
+        for a, b in zip(full, full[1:]):
+            chunk = "\n".join(lines[a : b + 1])
+            if chunk in seen:
+                must[a : b + 1] = [True] * (b + 1 - a)
+            seen.add(chunk)
+        for k in full:
+            if lines[k] in seen:
+                may[k] = True
+                must[k] |= len(lines[k].split()) >= 40
+            seen.add(lines[k])
+        least, most = removed(lines, must), removed(lines, may)
+        kept = got[i].split("\n") if got[i] else []
+        n = len(kept)
+        assert len(lines) - len(most) <= n + (n == 0) and n <= max(len(lines) - len(least), 1), (i, n, len(lines), len(least), len(most))
+        # what is kept is a subsequence that holds every line that may not go
+        at = iter(kept)
+        assert all(any(x == y for y in at) for k, x in enumerate(lines) if k not in most and x.strip()), i
+        went += len(least)
+    assert went > 100
+
+
 def test_chunks_that_differ_under_one_hash_stay(spark, monkeypatch):
     r = random.Random(4)
     docs = spark.createDataFrame([(i, " ".join(words(r, 60))) for i in range(6)], "doc_id long, text string")
@@ -219,9 +272,9 @@ def test_components(spark):
 def test_shards_are_even_and_gapless(spark):
     r = random.Random(0)
     rows = [(i, "x" * r.randrange(2000)) for i in range(3000)] + [(i, "copy of one text " * 20) for i in range(3000, 4500)] + [(None, None), (5000, ""), (5001, "y" * 30_000), (3, "again"), (3, "again")]
-    df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, shard int")
-    got = sharding.shard_documents(df).toPandas()
-    assert len(got) == len(rows) and set(got.law) == {"bytes"} and got.grown_shard.isna().all()
+    df = spark.createDataFrame([(*x, 1, 2, 3, 4) for x in rows], "doc_id long, text string, shard int, _high int, _low int, _at int")
+    got = sharding.shard_documents(df, carry=("_high", "_low", "_at")).toPandas()
+    assert set(got._high) == {2} and set(got._low) == {3} and set(got["_at"]) == {4} and len(got) == len(rows) and set(got.law) == {"bytes"} and got.grown_shard.isna().all()
     per = got.groupby("shard").agg(b=("size", "sum"), n=("slot", "size"), top=("slot", "max"), u=("slot", "nunique"))
     assert len(per) == 24 and (per.n == per.top + 1).all() and (per.n == per.u).all()
     assert per.b.max() <= 1.01 * per.b.mean() + 30_008 and per.b.drop(per.b.idxmax()).max() <= 1.02 * per.b.mean()
