@@ -29,12 +29,12 @@ NUMERATOR, DENOMINATOR = 4, 5
 HEAVY = 128
 #: Blocks of fewer texts than FEW (long ones) count common shingles together, in a summary of so many keys for each text's worth of 1/HEAVY.
 FEW = 32
-#: Keys that meet in a bucket, values that meet where links are counted, and nodes there (means and bounds).
-BUCKET_KEYS, MEET_VALUES, MEET_NODES = 500_000, 250_000, 2000
+#: Keys that meet in a bucket at most, values that meet where links are counted, and nodes there (means).
+BUCKET_KEYS, MEET_VALUES, MEET_NODES = 2_000_000, 250_000, 2000
 #: Hubs of a shingle that its nodes are joined with first.
-HUBS = 3
+HUBS = 2
 #: Parts by which the suffix filter counts shingles.
-PARTS = 16
+PARTS = 8
 #: The greatest frequency that is told apart from greater ones.
 LARGEST = 32767
 
@@ -183,21 +183,20 @@ def _needed(a: Column, b: Column) -> Column:
     return F.ceil((a + b) * NUMERATOR / (NUMERATOR + DENOMINATOR))
 
 
-def _possible(rows: DataFrame, first: bool = False) -> DataFrame:
-    """Pairs (x, y with size, alone: shingles of no other node, i: place in the prefix, parts: shingles in each of PARTS
-    parts) that pass the length, the positional and the suffix filter. With first, rows carry prefixes, and a pair counts at
-    its first common shingle alone, where the positional bound is tightest and the pair comes once."""
+def _possible(rows: DataFrame, every: bool) -> DataFrame:
+    """Pairs (a, b, sizes) that pass the length, the positional and the suffix filter. rows: x, y (node, size, alone:
+    shingles of no other node, i: place in the prefix, parts: shingles in each of PARTS parts) and g, the shingle they share.
+    The positional bound counts what comes at and after the first of these shingles; what comes before counts too, unless
+    rows hold every shingle that the two prefixes share: then nothing before is common."""
     size = lambda s: F.col(f"{s}.size")
     length = F.least(size("x"), size("y")) * DENOMINATOR >= F.greatest(size("x"), size("y")) * NUMERATOR
-    before = F.lit(0) if first else F.least(F.col("x.i"), F.col("y.i"))  # shared ones only: the others match nothing
+    most = F.aggregate(F.zip_with("x.parts", "y.parts", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     after = F.least(size("x") - F.col("x.alone") - F.col("x.i"), size("y") - F.col("y.alone") - F.col("y.i"))
-    most = F.aggregate(F.zip_with("x.parts", "y.parts", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
-    needed = _needed(size("x"), size("y"))
-    test = length & (before + after >= needed)
-    if first:
-        test &= ~F.arrays_overlap(F.slice("x.prefix", F.lit(1), F.col("x.i")), F.slice("y.prefix", F.lit(1), F.col("y.i")))
-    pair = (F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    return rows.where(test & (most >= needed)).select(*pair, (size("x") + size("y")).alias("sizes")).distinct()
+    before = F.lit(0) if every else F.least(F.col("x.i"), F.col("y.i"))  # shared ones only: the others match nothing
+    here = F.struct("g", (before + after).alias("most"))  # shingles are in rare-first order
+    pairs = rows.where(length & (most >= _needed(size("x"), size("y"))))
+    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), (size("x") + size("y")).alias("sizes"), here.alias("here"))
+    return pairs.groupBy("a", "b", "sizes").agg(F.min("here").alias("here")).where(F.col("here.most") >= _needed(F.col("sizes"), F.lit(0))).drop("here")
 
 
 def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -216,21 +215,22 @@ def joined_components(known: DataFrame) -> DataFrame:
     # the same nodes are hubs of many shingles: those with few shingles of their own, or least by a hash
     first = lambda k: F.min(F.struct((F.col("alone") / F.col("size") if k == 0 else F.lit(0.0)).alias("s"), F.xxhash64("node", F.lit(k)).alias("h"), p.alias("p")))["p"].alias(f"p{k}")
     hubs = posted.groupBy("g").agg(*[first(k) for k in range(HUBS)], F.count(F.lit(1)).alias("n")).where("n > 1")
-    hubs = hubs.select("g", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(HUBS)]))).alias("y"))
-    pairs = written(_possible(posted.join(hubs, "g").where("node <> y.node").select(p.alias("x"), "y")), "pairs")
+    hubs = written(hubs.select("g", F.array_distinct(F.array(*[f"p{k}" for k in range(HUBS)])).alias("hubs")), "hubs")
+    near = posted.join(hubs.select("g", F.explode("hubs").alias("y")), "g").where("node <> y.node")
+    pairs = written(_possible(near.select(p.alias("x"), "y", "g"), every=False), "pairs")  # a hub is not that of every shingle it shares
     found = written(_verified(pairs, known), "links")
     forget(pairs)
     joined = components(found)
     forget(found)
-    apart = written(posted.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "apart")
+    apart = posted.join(hubs.select("g"), "g", "left_semi").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = written(apart, "apart")
     forget(posted)
+    forget(hubs)
     mixed = apart.groupBy("g").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("g")
-    prefixes = known.where(prefix > 0).select("node", cut.alias("prefix"))
-    rest = written(apart.join(mixed, "g", "left_semi").join(prefixes, "node"), "rest")
+    rest = written(apart.join(mixed, "g", "left_semi"), "rest")
     forget(apart)
-    whole = F.struct("node", "size", "alone", "i", "parts", "prefix")
-    left, right = (rest.select("g", F.col("component").alias(c), whole.alias(x)) for c, x in (("c", "x"), ("d", "y")))
-    pairs = written(_possible(left.join(right, "g").where("c < d").select("x", "y"), first=True), "pairs")
+    left, right = (rest.select("g", F.col("component").alias(c), p.alias(x)) for c, x in (("c", "x"), ("d", "y")))
+    pairs = written(_possible(left.join(right, "g").where("c < d").select("x", "y", "g"), every=True), "pairs")
     forget(rest)
     if pairs.isEmpty():
         return joined
@@ -327,7 +327,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # bounded: their counts sum to total x mean size, and each has total / HEAVY at least
     heavy = sorted((r[0], r[1]) for r in found.where("kind = 1").groupBy("node").agg(F.sum("size").alias("n")).where(F.col("n") * HEAVY >= total).collect())
     keys, often = np.array([k for k, _ in heavy], np.int64).view(np.uint64), np.array([n for _, n in heavy], np.int64)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // BUCKET_KEYS))
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // BUCKET_KEYS))
     nodes = rows.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("copies"))
     known = shared_shingles(own, buckets, keys, often).join(nodes, "node").where(F.size("shared") * DENOMINATOR >= F.col("size") * NUMERATOR)
     part = lambda k: F.size(F.filter("shared", lambda v: F.pmod(v, F.lit(PARTS)) == k)).cast("int")
