@@ -25,9 +25,9 @@ def converted(rows: DataFrame, producer: str, value: str = "value", unit: str =
 
 
 def bounded(rows: DataFrame, kind: str = "kind", dims: DataFrame | None = None) -> DataFrame:
-    """rows with the kind's bounds as _low, _open, _high; dims (kind, low, low_open, high) stands in for the vocabulary."""
-    m = (dims or V.metrics(rows.sparkSession)).select(F.col("kind").alias("_k"), F.col("low").alias("_low"), F.col("low_open").alias("_open"), F.col("high").alias("_high"))
-    return rows.join(F.broadcast(m), rows[kind] == F.col("_k"), "left").drop("_k")
+    """rows with the kind's bounds as _low, _open, _high; dims (kind, low, low_open, high) stands in for the vocabulary, which alone is small for sure."""
+    m = (V.metrics(rows.sparkSession) if dims is None else dims).select(F.col("kind").alias("_k"), F.col("low").alias("_low"), F.col("low_open").alias("_open"), F.col("high").alias("_high"))
+    return rows.join(F.broadcast(m) if dims is None else m, rows[kind] == F.col("_k"), "left").drop("_k")
 
 
 def refusal(value: Column | str) -> Column:

@@ -8,14 +8,21 @@ from pyspark.sql import functions as F
 from .. import vocab as V
 from .rollup import latest_source
 
+#: Seconds of the first pieces that intervals are merged in.
+PIECE = 3600
 #: So many disjoint pieces in one night are reported.
 DEGENERATE = 1000
 
 
 def islands(rows: DataFrame, keys: tuple[str, ...], from_s: str = "from_s", to_s: str = "to_s") -> DataFrame:
-    """keys, from_s, to_s of the merged intervals of each key. A key is one night of one stage, so its rows are few; repeated intervals go first, in a pre-aggregated step."""
-    r = rows.where(F.col(to_s) > F.col(from_s)).groupBy(*keys, F.col(from_s).alias("from_s")).agg(F.max(to_s).alias("to_s"))
-    w = Window.partitionBy(*keys).orderBy("from_s")
+    """keys, from_s, to_s of the merged intervals of each key. Those that begin in one PIECE of a key's time merge first, so
+    that a key with many overlapping intervals comes to its last task as a few for each piece."""
+    r = rows.where(F.col(to_s) > F.col(from_s)).select(*keys, F.col(from_s).alias("from_s"), F.col(to_s).alias("to_s"))
+    return _merged(_merged(r.withColumn("_piece", F.floor(F.col("from_s") / PIECE)), (*keys, "_piece")).drop("_piece"), keys)
+
+
+def _merged(r: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy("from_s", "to_s")
     r = r.withColumn("_reach", F.max("to_s").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     r = r.withColumn("_island", F.count(F.when(F.col("_reach").isNull() | (F.col("from_s") > F.col("_reach")), 1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return r.groupBy(*keys, "_island").agg(F.min("from_s").alias("from_s"), F.max("to_s").alias("to_s")).drop("_island")

@@ -40,13 +40,13 @@ def spread(readings: DataFrame, value: Column | str = "value") -> DataFrame:
 
 
 def by_policy(readings: DataFrame, policies: DataFrame, value: Column | str = "value") -> DataFrame:
-    """kind, day, value, min, max, source, by each kind's policy; policies: kind, policy (broadcast; its size is the vocabulary's).
+    """kind, day, value, min, max, source, by each kind's policy; policies: kind, policy.
 
     All policies come from two aggregations of the same partial rows, by (kind, day, source, instant) no finer than a source's
     day: totals and extremes by source, then the pick by day.
     """
     v = F.col(value) if isinstance(value, str) else value
-    r = readings.join(F.broadcast(policies.select("kind", "policy")), "kind")
+    r = readings.join(policies.select("kind", "policy"), "kind")
     # the latest reading of a source; of those at one instant any, the name is the same
     per = r.groupBy("kind", "policy", "day", "source").agg(F.sum(v).alias("total"), F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.max("instant").alias("last"))
     name = F.coalesce("source", F.lit(UNATTRIBUTED))
@@ -83,7 +83,12 @@ def value_span(rolled: DataFrame) -> DataFrame:
     return rolled.groupBy("kind").agg(F.count(F.lit(1)).alias("days"), F.min("value").alias("min_value"), F.max("value").alias("max_value"))
 
 
+def first_rows(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], n: int) -> DataFrame:
+    """The n first rows of each key by order. Each task keeps n of a key at most before the shuffle."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+
+
 def first_dates(rows: DataFrame, n: int = 5) -> DataFrame:
-    """kind, rows, first_days: the n earliest days of each kind, by rank within the kind; no kind's days are gathered whole."""
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("kind").orderBy("day")))
-    return ranked.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.array_sort(F.collect_list(F.when(F.col("_r") <= n, F.col("day")))).alias("first_days"))
+    """kind, rows, first_days: the n earliest days of each kind and the number of all its rows; no kind's days are gathered whole."""
+    days = first_rows(rows.select("kind", "day"), ("kind",), ("day",), n).groupBy("kind").agg(F.array_sort(F.collect_list("day")).alias("first_days"))
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("rows")).join(days, "kind")

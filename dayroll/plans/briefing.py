@@ -1,8 +1,10 @@
-"""The briefing: twelve sections over the registry as one nested row, on a given day."""
+"""The briefing: the registry's open matters on a given day, as rows of sections or as one nested row."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cadence_note, days_since, overdue
@@ -26,9 +28,16 @@ def _one(rows: DataFrame, name: str) -> DataFrame:
     return rows.agg(F.first(F.struct(*rows.columns)).alias(name))
 
 
-def briefing(t: dict[str, DataFrame], today: str) -> DataFrame:
-    """One row: days_since_checkin, cadence_note, last_checkin, profile, concerns, goals, protocols, plan, pending, recent, unknowns, today."""
-    day = F.lit(today).cast("date")
+@dataclass
+class Sections:
+    """head: one row with last_checkin and what follows from it; ones: sections of one row at most; lists: those of many, with their order."""
+
+    head: DataFrame
+    ones: dict[str, DataFrame]
+    lists: dict[str, tuple[DataFrame, list[Column]]]
+
+
+def sections(t: dict[str, DataFrame], day: Column) -> Sections:
     checkin = latest(children(t["checkins"].where("completed_at is not null"), t["checkin_responses"], "checkin_id", "responses"), "completed_at", "id")
     items = t["plan_items"].join(t["plan_item_outcomes"].select(F.col("plan_item_id").alias("_i"), F.struct("status", "note", "recorded_at").alias("outcome")), F.col("id") == F.col("_i"), "left").drop("_i")
     plan = latest(children(t["plans"], items, "plan_id", "items"), "starts_on", "id")
@@ -36,19 +45,37 @@ def briefing(t: dict[str, DataFrame], today: str) -> DataFrame:
     head = head.withColumn("since", F.coalesce("last_checkin.completed_at", F.date_sub(day, 14).cast("timestamp")))
     since = head.select("since")
     desc = lambda c: -F.col(c) if c == "id" else -F.unix_micros(c)
-    parts = [
-        _one(t["profile"].where("id = 1"), "profile"),
-        _section(children(t["concerns"].where("status <> 'resolved'"), t["concern_tags"], "concern_id", "tags"), "concerns", F.col("id")),
-        _section(t["goals"].where("status = 'active'"), "goals", F.col("id")),
-        _section(t["protocols"].where("ended_on is null").withColumn("overdue", overdue("review_by", day)), "protocols", F.col("id")),
-        _one(plan, "plan"),
-        _section(pending(t["observations"]), "pending", F.col("occurred_at"), F.col("id")),
-        _section(recent(t["observations"].join(F.broadcast(since)), F.col("since")).drop("since"), "recent", desc("occurred_at"), desc("id")),
-        _section(unresolved(t["claims"]), "unknowns", desc("id")),
-    ]
-    out = head.drop("since")
-    for p in parts:
-        out = out.crossJoin(p)  # one row each
+    lists = {
+        "concerns": (children(t["concerns"].where("status <> 'resolved'"), t["concern_tags"], "concern_id", "tags"), [F.col("id")]),
+        "goals": (t["goals"].where("status = 'active'"), [F.col("id")]),
+        "protocols": (t["protocols"].where("ended_on is null").withColumn("overdue", overdue("review_by", day)), [F.col("id")]),
+        "pending": (pending(t["observations"]), [F.unix_micros("occurred_at"), F.col("id")]),
+        "recent": (recent(t["observations"].join(F.broadcast(since)), F.col("since")).drop("since"), [desc("occurred_at"), desc("id")]),
+        "unknowns": (unresolved(t["claims"]), [desc("id")]),
+    }
+    return Sections(head.drop("since"), {"profile": t["profile"].where("id = 1"), "plan": plan}, lists)
+
+
+def briefing_rows(t: dict[str, DataFrame], today: str) -> DataFrame:
+    """section, place (array of numbers by which a section's rows are in order), id and record (JSON), a row for each matter
+    however many there are."""
+    s = sections(t, F.lit(today).cast("date"))
+    json = lambda rows: F.to_json(F.struct(*rows.columns))
+    out = s.head.where("last_checkin is not null").select(F.lit("last_checkin").alias("section"), F.array(F.lit(0).cast("long")).alias("place"), F.col("last_checkin.id").cast("long").alias("id"), F.to_json("last_checkin").alias("record"))
+    for name, rows, order in [*((n, r, [F.lit(0)]) for n, r in s.ones.items()), *((n, *r) for n, r in s.lists.items())]:
+        out = out.unionByName(rows.select(F.lit(name).alias("section"), F.array(*[o.cast("long") for o in order]).alias("place"), F.col("id").cast("long").alias("id"), json(rows).alias("record")))
+    return out
+
+
+def briefing(t: dict[str, DataFrame], today: str) -> DataFrame:
+    """One row, one person's document: days_since_checkin, cadence_note, last_checkin, profile, concerns, goals, protocols,
+    plan, pending, recent, unknowns, today. Over a registry of many people take briefing_rows()."""
+    day = F.lit(today).cast("date")
+    s = sections(t, day)
+    parts = {n: _one(r, n) for n, r in s.ones.items()} | {n: _section(r, n, *order) for n, (r, order) in s.lists.items()}
+    out = s.head
+    for n in ("profile", "concerns", "goals", "protocols", "plan", "pending", "recent", "unknowns"):
+        out = out.crossJoin(parts[n])  # one row each
     return out.withColumn("today", day)
 
 

@@ -62,7 +62,8 @@ def persist(store: Store, parsed: Parsed, now: str, replace: bool = False) -> di
     """Merge an export as one new version of the store. The sleep check reads state before the write, staleness compares with
     what was written; stale rows go only if asked for and the document was whole."""
     at = F.lit(now).cast("timestamp")
-    state, quarantine = store.read("daily_metric"), store.read("quarantine")
+    before = store.version()
+    state, quarantine = store.read("daily_metric", before), store.read("quarantine", before)
     rows = parsed.rows
     shift = D.day_shift_verdict(D.day_shift(rows.where("kind = 'sleep-total'").select("day", "value"), state.where("kind = 'sleep-total'").select("day", "value")))
     old = prior(state, rows, ("kind", "day"))
@@ -72,6 +73,5 @@ def persist(store: Store, parsed: Parsed, now: str, replace: bool = False) -> di
     left, promoted = swept(quarantine)
     kinds = F.when(F.col("kind").isNotNull(), F.array("kind")).otherwise(F.array().cast("array<string>"))
     new = parsed.frames["quarantine"].select("name", "day", stamped(F.col("point"), F.col("outcome"), F.col("unit"), kinds).alias("point"), at.alias("created_at"))
-    before = store.version()
-    store.commit({"daily_metric": merged, "quarantine": one_row_per_name(left, new)})
+    store.commit({"daily_metric": merged, "quarantine": one_row_per_name(left, new)}, before)
     return parsed.frames | {"overlap": D.overlap(old), "stale": first_dates(gone), "shift": shift, "promoted": promoted, "replace_refused": refused, "span": D.survey(rows), "version_before": before, "closed": parsed.closed}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as V
@@ -12,7 +12,11 @@ from ..functions.scalars import finite, looks_like_fraction
 from ..operators.classify import bounded, classified, converted, refusal
 from ..operators.state import last_write, merged_complaints, retired, stamped, upsert
 from ..sources.push import night_rows, points, shaped
-from ..sources.store import Store
+from ..sources.store import ConflictError, Store
+
+
+#: Times that a push is merged anew after another writer's version.
+ATTEMPTS = 5
 
 
 @dataclass
@@ -71,13 +75,25 @@ def refused(r: Routed) -> DataFrame:
 
 
 def ingest(store: Store, payloads: DataFrame, now: str, body: str = "value", batch: str | None = None) -> dict:
-    """Merge a push into the store as one new version; the report's counts."""
+    """Merge a push into the store as one new version, which writes the months that it touches; the report's counts. If another
+    writer was faster, the push is merged into what that one left."""
     r = route(payloads, body, batch)
     at = F.lit(now).cast("timestamp")
-    state, quarantine = store.read("daily_metric"), store.read("quarantine")
+    parts = store.parts_of(r.stored.select("day").unionByName(r.complaints.select("day")).unionByName(r.settled.select("day")))
+    for attempt in range(ATTEMPTS):
+        try:
+            return _merge(store, r, at, parts)
+        except ConflictError:
+            if attempt + 1 == ATTEMPTS:
+                raise
+
+
+def _merge(store: Store, r: Routed, at: Column, parts: list[str]) -> dict:
+    base = store.version()
+    state, quarantine = (store.read(t, base, parts) for t in ("daily_metric", "quarantine"))
     new = last_write(r.stored.drop("bound_no", "maybe_fraction"), ("kind", "day"), "pos").drop("pos").withColumns({"created_at": at, "updated_at": at})
     left, gone = retired(quarantine, r.settled, r.complaints)
     complaints = r.complaints.select("name", "day", stamped(F.col("point"), F.col("reason"), F.col("units"), F.col("kinds")).alias("point"), at.alias("created_at"))
     out = report(r).first().asDict() | {"quarantine_retired": gone.count(), "refused": refused(r).count()}
-    store.commit({"daily_metric": upsert(state, new, ("kind", "day"), ("created_at",)), "quarantine": upsert(left, complaints, ("name", "day"), ("created_at",))})
+    store.commit({"daily_metric": upsert(state, new, ("kind", "day"), ("created_at",)), "quarantine": upsert(left, complaints, ("name", "day"), ("created_at",))}, base, parts)
     return out

@@ -5,7 +5,8 @@ A verb takes frames and returns frames: what to write, and what was rejected wit
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab as V
@@ -48,11 +49,17 @@ def judged(rows: DataFrame, **rules: Column) -> tuple[DataFrame, DataFrame]:
 
 
 def appended(table: DataFrame, rows: DataFrame, now: str, order: str | None = None) -> DataFrame:
-    """table and rows with the next ids, in the order given. Ids of a batch come from one sort of the batch alone."""
+    """table and rows with the next ids, in the order given. The batch is sorted in parts, and a part's ids start after the
+    rows of those before it: its count alone comes to the driver."""
     top = table.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     at = F.lit(now).cast("timestamp")
-    n = F.row_number().over(Window.orderBy(order or rows.columns[0]))
-    new = rows.withColumn("id", (F.lit(top) + n).cast("int")).withColumns({"created_at": at, "updated_at": at})
+    # kept as sorted, since the same rows have to be counted and numbered
+    parts = rows.orderBy(order or rows.columns[0]).withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = dict(parts.groupBy(part.alias("p")).count().collect())
+    starts = {p: sum(n for q, n in counts.items() if q < p) for p in counts}
+    before = F.lit(0).cast("long") if not starts else F.create_map(*[F.lit(x) for s in starts.items() for x in s])[part]
+    new = parts.withColumn("id", (F.lit(top) + before + place + 1).cast("int")).withColumns({"created_at": at, "updated_at": at})
     cols = [F.col(c) if c in new.columns else F.lit(None).cast(table.schema[c].dataType).alias(c) for c in table.columns]
     return table.unionByName(new.select(*cols))
 

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 
-#: Names of the quarantine that are listed; the rest is a count.
-LISTED = 50
-
-
 def preflight(existing: DataFrame, where: str, replace: bool) -> str | None:
     """A warning if state already has rows. existing: n_rows, first_day, last_day."""
     n, first, last = existing.first()
@@ -33,8 +29,8 @@ def render(got: dict, path: str) -> str:
         lines.append("  REFUSED   rows were not deleted, because the file is not whole")
     sections = {
         "Stale rows": [f"{r.kind}: {r.rows} ({', '.join(map(str, r.first_days))}{' ...' if r.rows > len(r.first_days) else ''})" for r in got["stale"].orderBy("kind").collect()],
-        "Quarantined names": [f"{r.name}: {r.n} ({r.outcome})" for r in got["quarantine"].orderBy(F.desc("n"), "name").limit(LISTED).collect()],
-        "Units that do not convert": [f"{r.type} in {r.unit}: {r.n}" for r in got["unconvertible"].orderBy(F.desc("n"), "type", "unit").limit(LISTED).collect()],
+        "Quarantined names": [f"{r.name}: {r.n} ({r.outcome})" for r in got["quarantine"].orderBy(F.desc("n"), "name").collect()],
+        "Units that do not convert": [f"{r.type} in {r.unit}: {r.n}" for r in got["unconvertible"].orderBy(F.desc("n"), "type", "unit").collect()],
         "Impossible values": [f"{r.kind}: {r.records} readings, {r.rows} days, {r.bounds_cleared} bounds cleared (such as {r.sample_value} on {r.sample_day})" for r in got["implausible"].orderBy("kind").collect()],
         "Kinds": _kinds(got),
         "Days of several sources": [f"{r.kind}: {r.days} days, adding up would give {r.mean_ratio:.2f} times the value (at most {r.max_ratio:.2f})" for r in got["multi_source"].orderBy("kind").collect()],

@@ -6,7 +6,9 @@ Raw export records are events too, spelled as an export spells them, so that the
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +23,8 @@ from .operators.classify import converted, routed_records
 from .operators.intervals import stage_rows, union_hours
 from .plans import importer, push
 from .plans import registry as G
-from .plans.briefing import latest
+from .plans.briefing import briefing_rows, latest
+from .sources.push import night_rows, points, shaped
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -185,9 +188,7 @@ def multi_source_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {READ} SELECT kind, source, day FROM r QUALIFY row_number() OVER (PARTITION BY kind ORDER BY day, event_id) <= 3")
 def top_n_per_group(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    return readings(spark, sf).withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("day", "event_id"))).where("n <= 3").select("kind", "source", "day")
+    return R.first_rows(readings(spark, sf), ("kind",), ("day", "event_id"), 3).select("kind", "source", "day")
 
 
 # --- nights and intervals ----------------------------------------------------------------------------------------------
@@ -268,18 +269,29 @@ def json_field_extract(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", json_number(v, "k").alias("k"), json_number(v, "missing").alias("missing"))
 
 
-_LINES = "(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, CASE WHEN l_returnflag <> 'N' THEN l_extendedprice END AS price FROM lineitem)"
+_NIGHT = {"totalSleep": "sleep-total", "deep": "sleep-deep", "inBed": "time-in-bed"}
 
 
-@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, kind, hours FROM {_LINES} UNPIVOT (hours FOR kind IN (l_quantity, l_discount, l_tax, price))")
+@query("""WITH n AS (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, CASE WHEN l_returnflag <> 'N' THEN l_tax END AS bed, l_shipdate::DATE AS day FROM lineitem)
+SELECT l_orderkey, l_linenumber, day, kind, hours FROM (SELECT l_orderkey, l_linenumber, day, l_quantity::DOUBLE AS "sleep-total", l_discount::DOUBLE AS "sleep-deep", bed::DOUBLE AS "time-in-bed" FROM n)
+UNPIVOT (hours FOR kind IN ("sleep-total", "sleep-deep", "time-in-bed"))""")
 def sleep_stage_unpivot(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").withColumn("price", F.when(F.col("l_returnflag") != "N", F.col("l_extendedprice")))
-    return li.unpivot(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], ["l_quantity", "l_discount", "l_tax", "price"], "kind", "hours").where("hours is not null")
+    """Line items as nights of a push, whose stages become rows."""
+    li = table(spark, sf, "lineitem")
+    bed = F.when(F.col("l_returnflag") != "N", F.col("l_tax").cast("double"))
+    point = F.to_json(F.struct(F.col("l_quantity").cast("double").alias("totalSleep"), F.col("l_discount").cast("double").alias("deep"), bed.alias("inBed")))
+    rows = li.select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("day"), F.parse_json(point).alias("v"))
+    return night_rows(rows).select("l_orderkey", "l_linenumber", "day", "kind", F.col("value").alias("hours"))
 
 
-@query("SELECT vec_id, (i - 1)::INT AS pos, embedding[i]::DOUBLE AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
+@query("SELECT vec_id, (i - 1)::INT AS pos, embedding[i]::FLOAT::DOUBLE AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 def array_explode_positions(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
+    """Embeddings as pushes of one metric each, whose points become rows."""
+    e = table(spark, sf, "embeddings")
+    metric = F.struct(F.lit("step_count").alias("name"), F.transform("embedding", lambda x: F.struct(x.alias("qty"))).alias("data"))
+    body = F.to_json(F.struct(F.struct(F.array(metric).alias("metrics")).alias("data")))
+    got = shaped(points(e.select("vec_id", body.alias("value")), "value", "vec_id"))
+    return got.select(F.col("pos._batch").alias("vec_id"), F.col("pos._p").alias("pos"), F.col("value").cast("float").cast("double").alias("x"))
 
 
 # --- state -------------------------------------------------------------------------------------------------------------
@@ -333,14 +345,18 @@ def stale_summary(spark: SparkSession, sf: str) -> DataFrame:
     return R.first_dates(_stale(spark, sf)).select("kind", F.col("rows").alias("n_rows"), F.array_join(F.col("first_days").cast("array<string>"), ",").alias("first_days"))
 
 
-_COMPLAINTS = f"""{READ}, c AS (SELECT kind AS name, day, event_id AS pos, value::VARCHAR AS point, CASE WHEN k % 3 = 0 THEN 'implausible-value' ELSE 'missing-unit' END AS reason, 'm' || (k % 4) AS metric, k % 2 = 0 AS stored FROM r WHERE k < 40)"""
+_COMPLAINTS = f"""{READ}, c AS (SELECT kind AS name, day, event_id AS pos, value::VARCHAR AS point, CASE WHEN k % 3 = 0 THEN 'implausible-value' ELSE 'missing-unit' END AS reason, 'm' || (k % 4) AS metric, k % 2 = 0 AS stored FROM r)"""
 
 
 def _complaints(spark: SparkSession, sf: str) -> DataFrame:
-    r = readings(spark, sf).where("k < 40")
+    r = readings(spark, sf)
+    reason = F.when(F.col("k") % 3 == 0, V.IMPLAUSIBLE).otherwise(V.MISSING_UNIT)
     return S.merged_complaints(
-        r.select(F.col("kind").alias("name"), "day", F.col("event_id").alias("pos"), F.col("value").cast("string").alias("point"), F.when(F.col("k") % 3 == 0, V.IMPLAUSIBLE).otherwise(V.MISSING_UNIT).alias("reason"), F.lit(None).cast("string").alias("units"), F.concat(F.lit("m"), F.col("k") % 4).alias("kind"), (F.col("k") % 2 == 0).alias("stored"))
-    )
+        r.select(
+            F.col("kind").alias("name"), "day", F.col("event_id").alias("pos"), F.col("value").cast("string").alias("point"), reason.alias("reason"), F.lit(None).cast("string").alias("units"),
+            F.concat(F.lit("m"), F.col("k") % 4).alias("kind"), (F.col("k") % 2 == 0).alias("stored"),
+        )
+    )
 
 
 @query(f"""WITH {_COMPLAINTS}, kept AS (SELECT name, day, point, reason FROM c QUALIFY row_number() OVER (PARTITION BY name, day ORDER BY stored, pos) = 1),
@@ -350,14 +366,16 @@ def complaint_merge(spark: SparkSession, sf: str) -> DataFrame:
     return _complaints(spark, sf).select("name", "day", "point", "reason", F.array_join("kinds", ",").alias("kinds"), "stored")
 
 
-_RETIRE = f"""{_COMPLAINTS}, q AS (SELECT DISTINCT kind AS name, day FROM r WHERE k % 7 = 0), se AS (SELECT DISTINCT kind AS name, day FROM r WHERE k % 2 = 1 AND user_id < 60), cl AS (SELECT * FROM se ANTI JOIN (SELECT name, day FROM c WHERE pos % 5 = 0) USING (name, day))"""
+#: Every event has a part in it: it is quarantined, settled or complained of, by its k, under its kind and user.
+_RETIRE = f"""{READ}, e AS (SELECT kind || '/' || user_id AS name, day, k % 3 AS part FROM r), q AS (SELECT DISTINCT name, day FROM e WHERE part = 0),
+cl AS (SELECT DISTINCT name, day FROM e WHERE part = 1 EXCEPT SELECT name, day FROM e WHERE part = 2)"""
 
 
 @query(f"WITH {_RETIRE} SELECT name, day, EXISTS (SELECT 1 FROM cl WHERE cl.name = q.name AND cl.day = q.day) AS retired FROM q")
 def complaint_retire(spark: SparkSession, sf: str) -> DataFrame:
-    r = readings(spark, sf)
-    key = [F.col("kind").alias("name"), "day"]
-    left, gone = S.retired(r.where("k % 7 = 0").select(*key).distinct(), r.where("k % 2 = 1 and user_id < 60").select(*key), r.where("k < 40 and event_id % 5 = 0").select(*key).distinct())
+    e = readings(spark, sf).select(F.concat_ws("/", "kind", "user_id").alias("name"), "day", (F.col("k") % 3).alias("part"))
+    quarantined, settled, complained = (e.where(F.col("part") == i).drop("part").distinct() for i in range(3))
+    left, gone = S.retired(quarantined, settled, complained)
     return left.withColumn("retired", F.lit(False)).unionByName(gone.withColumn("retired", F.lit(True)))
 
 
@@ -533,30 +551,32 @@ SELECT 'last_checkin' AS section, 1::BIGINT AS n, id::VARCHAR AS first_id FROM c
 UNION ALL SELECT 'unknowns', count(*), max(id)::VARCHAR FROM c WHERE confidence = 'unknown' UNION ALL SELECT 'pending', count(*), arg_min(o_orderkey, (o_orderdate, o_orderkey))::VARCHAR FROM orders WHERE o_orderstatus = 'P'
 UNION ALL SELECT 'concerns', count(*), min(r_regionkey)::VARCHAR FROM region UNION ALL SELECT 'plan', 1, (SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1)::VARCHAR""")
 def briefing_flat(spark: SparkSession, sf: str) -> DataFrame:
-    line = lambda d, name, n, first: d.agg(n.cast("long").alias("n"), first.cast("string").alias("first_id")).select(F.lit(name).alias("section"), "n", "first_id")
-    n = F.count(F.lit(1))
-    c = table(spark, sf, "conversations")
-    parent = latest(c.where("turn = 1").select(F.col("conv_id").alias("id")).distinct(), "id")
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("occurred_at"), F.when(F.col("o_orderstatus") == "P", 0).otherwise(1).alias("reviewed"))
-    parts = [
-        line(parent, "last_checkin", n, F.first("id")), line(c.join(parent, F.col("conv_id") == F.col("id"), "left_semi"), "responses", n, F.min("turn")),
-        line(G.unresolved(_claims(spark, sf)), "unknowns", n, F.max("id")), line(G.pending(o), "pending", n, F.min_by("id", F.struct("occurred_at", "id"))),
-        line(table(spark, sf, "region"), "concerns", n, F.min("r_regionkey")), line(latest(o, "occurred_at", "id"), "plan", n, F.first("id")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """A registry of conversations (check-ins), orders (plans, observations), regions (concerns) and claims, briefed; its sections counted."""
+    t = {n: G.empty(spark, n) for n in G.SCHEMAS}
+    c, o = table(spark, sf, "conversations"), table(spark, sf, "orders")
+    at = F.to_timestamp("o_orderdate")
+    t["checkins"] = c.where("turn = 1").select(F.col("conv_id").alias("id"), F.timestamp_seconds(F.col("conv_id") + F.lit(1_700_000_000)).alias("completed_at")).distinct()
+    t["checkin_responses"] = c.select(F.col("turn").alias("id"), F.col("conv_id").alias("checkin_id"), F.col("role").alias("question"))
+    t["plans"] = o.select(F.col("o_orderkey").alias("id"), at.alias("starts_on"))
+    t["observations"] = o.select(F.col("o_orderkey").alias("id"), at.alias("occurred_at"), F.when(F.col("o_orderstatus") == "P", 0).otherwise(1).alias("reviewed"))
+    t["concerns"] = table(spark, sf, "region").select(F.col("r_regionkey").alias("id"), F.lit("active").alias("status"))
+    t["claims"] = _claims(spark, sf)
+    rows = briefing_rows(t, "2024-01-01")
+    first = F.min_by("id", "place").cast("string")
+    out = rows.groupBy("section").agg(F.count(F.lit(1)).alias("n"), first.alias("first_id"))
+    told = F.from_json(F.col("record"), "responses array<struct<id: long>>")["responses"]
+    answers = rows.where("section = 'last_checkin'").select(F.lit("responses").alias("section"), F.size(told).cast("long").alias("n"), F.array_min(F.transform(told, lambda x: x["id"])).cast("string").alias("first_id"))
+    return out.unionByName(answers)
 
 
 # --- sources -----------------------------------------------------------------------------------------------------------
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared one, or the machine's where none is set."""
+    """A new folder under the cluster's shared one; a folder of this machine only where that runs everything."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    import uuid
-
+    if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix=f"{name}-")
 
 
@@ -575,17 +595,22 @@ s AS (SELECT kind, day, value::DOUBLE AS value, source, event_id, k FROM p WHERE
 SELECT CASE kind WHEN 'view' THEN 'steps' ELSE 'heart-rate' END AS kind, day, value, source FROM s QUALIFY row_number() OVER (PARTITION BY kind, day ORDER BY event_id DESC) = 1"""
 
 
+PUSHED = 4096
+
+
 def payloads(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as pushes, one for each day: batch (the day) and value (its JSON). A day's points come in the order of their ids."""
+    """Events as pushes: batch and value (its JSON). A day's points come in the order of their ids, those of PUSHED following
+    ids at most in one push, and a day's pushes are in order by batch."""
     r = readings(spark, sf).where("kind in ('view', 'click')")
     stamp = F.concat(F.date_format("local", "yyyy-MM-dd HH:mm:ss"), F.lit(" -0700"))
     q = F.col("value").cast("double")
     point = F.to_json(F.struct(stamp.alias("date"), F.when(F.col("kind") == "view", q).alias("qty"), F.when(F.col("kind") == "click", q).alias("Avg"), F.col("source").alias("source")))
     metric = F.struct(F.when(F.col("kind") == "view", "step_count").otherwise("heart_rate").alias("name"), F.when(F.col("k") % 5 != 0, F.when(F.col("kind") == "view", "count").otherwise("bpm")).alias("units"), point.alias("point"))
-    days = r.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("event_id", metric.alias("m")))).alias("ms"))
+    batch = F.concat(F.col("day").cast("string"), F.lit("/"), F.lpad(F.floor(F.col("event_id") / PUSHED).cast("string"), 12, "0"))
+    days = r.groupBy(batch.alias("batch")).agg(F.array_sort(F.collect_list(F.struct("event_id", metric.alias("m")))).alias("ms"))
     one = lambda x: F.concat(F.lit('{"name":"'), x["m"]["name"], F.lit('"'), F.coalesce(F.concat(F.lit(',"units":"'), x["m"]["units"], F.lit('"')), F.lit("")), F.lit(',"data":['), x["m"]["point"], F.lit("]}"))
     body = F.concat(F.lit('{"data":{"metrics":['), F.array_join(F.transform("ms", one), ","), F.lit("]}}"))
-    return days.select(F.col("day").cast("string").alias("batch"), body.alias("value"))
+    return days.select("batch", body.alias("value"))
 
 
 @query(_PUSHED)
@@ -600,7 +625,7 @@ def stream_ingest_final_state(spark: SparkSession, sf: str) -> DataFrame:
     from .streaming.ingest import stream_pushes
 
     root = _folder(spark, "pushes")
-    payloads(spark, sf).select("value").repartition(4).write.text(f"{root}/in")
+    payloads(spark, sf).repartitionByRange(4, "batch").sortWithinPartitions("batch").select("value").write.text(f"{root}/in")
     store = Store(spark, f"{root}/store")
     stream_pushes(spark, f"{root}/in", store, f"{root}/checkpoint", "2024-02-01 00:00:00", lines=True).awaitTermination()
     return store.read("daily_metric").select("kind", "day", "value", "source")

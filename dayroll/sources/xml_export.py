@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 FIELDS = {"type": "type", "unit": "unit", "value": "value", "startDate": "start", "endDate": "end", "sourceName": "source"}
 SCHEMA = T.StructType([T.StructField(f"_{a}", T.StringType()) for a in FIELDS])
-#: Bytes of a file's end in which its closing tag must be found.
+#: Bytes of a file's end that are read at a time until they hold more than blanks.
 TAIL = 4096
 
 
@@ -29,20 +29,25 @@ def record_json() -> F.Column:
 
 
 def is_closed(spark: SparkSession, path: str, root: str = "HealthData") -> bool:
-    """Does every file end with its root's closing tag? Reads the last bytes of each through Hadoop's file systems."""
+    """Does every file end with its root's closing tag, whatever blanks follow it? Reads the last bytes of each through Hadoop's file systems."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(conf)
     status = fs.globStatus(p)
+    if not status:
+        raise FileNotFoundError(path)
     files = [f for s in status for f in (fs.listStatus(s.getPath()) if s.isDirectory() else [s]) if not f.getPath().getName().startswith(("_", "."))]
     for f in files:
-        n = min(TAIL, f.getLen())
-        stream = fs.open(f.getPath())
-        try:
-            stream.seek(f.getLen() - n)
-            tail = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
-        finally:
-            stream.close()
-        if not tail.rstrip().endswith(f"</{root}>".encode()):
+        end, tail = f.getLen(), b""
+        while end and len(tail) < len(root) + 3:
+            n = min(TAIL, end)
+            stream = fs.open(f.getPath())
+            try:
+                stream.seek(end - n)
+                tail = (bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n)) + tail).rstrip()
+            finally:
+                stream.close()
+            end -= n
+        if not tail.endswith(f"</{root}>".encode()):
             return False
     return bool(files)

@@ -188,3 +188,35 @@ def test_day_shift(spark, nights, shift, scale, want):
     schema = "day date, value double"
     r = diagnostics.day_shift_verdict(diagnostics.day_shift(spark.createDataFrame(new, schema), spark.createDataFrame(stored, schema))).first()
     assert (r.verdict, r.best_offset) == want and r.compared_days == nights
+
+
+def test_closing_tags_before_many_blanks(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<HealthData></HealthData>" + " \n" * 9000)
+    (tmp_path / "b.xml").write_text("<HealthData>" + " \n" * 9000)
+    assert is_closed(spark, str(tmp_path / "a.xml")) and not is_closed(spark, str(tmp_path / "b.xml"))
+    with pytest.raises(FileNotFoundError):
+        is_closed(spark, str(tmp_path / "none.xml"))
+
+
+def test_exports_as_devices_write_them(spark, tmp_path):
+    """A document type, elements around and inside records, single quotes, escapes, and records that close at once or later."""
+    (tmp_path / "e.xml").write_text(
+        f"""<?xml version="1.0" encoding="UTF-8"?>
+<!DOCTYPE HealthData [
+<!ELEMENT HealthData (ExportDate,Me,Record*)>
+<!ATTLIST Record type CDATA #REQUIRED>
+]>
+<HealthData locale="en_US">
+ <ExportDate value="2026-08-01 00:00:00 -0700"/>
+ <Me Sex="x"/>
+ <Record type="{Q}StepCount" sourceName="A &amp; B&#39;s &quot;Watch&quot;" unit="count" startDate="2026-07-01 08:00:00 -0700" endDate="2026-07-01 08:10:00 -0700" value="12"/>
+ <Record type='{Q}StepCount' sourceName='x > y' unit='count' startDate='2026-07-02 08:00:00 -0700' endDate='2026-07-02 08:10:00 -0700' value='30'>
+  <MetadataEntry key="k" value="99"/>
+ </Record>
+ <Workout workoutActivityType="w"><WorkoutEvent type="Record"/></Workout>
+</HealthData>
+"""
+    )
+    got = importer.parse_export(spark, str(tmp_path / "e.xml"))
+    rows = {r.day.day: (r.kind, r.value, r.source) for r in got.rows.collect()}
+    assert got.closed and rows == {1: ("steps", 12.0, "A & B's \"Watch\""), 2: ("steps", 30.0, "x > y")}

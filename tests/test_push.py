@@ -10,8 +10,8 @@ from dayroll import vocab as V
 from dayroll.operators import state
 from dayroll.plans import push
 from dayroll.plans import registry as G
-from dayroll.plans.briefing import as_json, briefing
-from dayroll.sources.store import Store
+from dayroll.plans.briefing import as_json, briefing, briefing_rows
+from dayroll.sources.store import ConflictError, Store
 from dayroll.streaming.ingest import stream_pushes
 
 DAY = dt.date(2026, 7, 28)
@@ -159,3 +159,62 @@ def test_registry_verbs(spark):
     assert out["concerns"].count() == out["concern_tags"].count() == 0 and out["claims"].where("concern_id is not null").count() == 0 and out["claims"].count() == 2
     none = briefing({n: G.empty(spark, n) for n in G.SCHEMAS}, "2026-08-20").first()
     assert none.cadence_note is None and none.concerns == [] and none.profile is None
+
+
+def test_a_commit_writes_what_it_touches_and_appears_whole(spark, store, monkeypatch):
+    on = lambda day, **f: {"date": f"{day} 08:00:00 -0700", **f}
+    push.ingest(store, payload(spark, ("step_count", "count", [on("2026-05-01", qty=5), on("2026-06-01", qty=6)]), ("new_thing", "x", [on("2026-05-02", qty=1)])), "2026-08-01 00:00:00")
+    first = store.manifest()
+    assert set(first["daily_metric"]) == {"2026-05", "2026-06"} and set(first["quarantine"]) == {"2026-05"}
+    push.ingest(store, payload(spark, ("step_count", "count", [on("2026-06-02", qty=7)])), "2026-08-02 00:00:00")
+    second = store.manifest()
+    assert second["daily_metric"]["2026-05"] == first["daily_metric"]["2026-05"] and second["daily_metric"]["2026-06"] != first["daily_metric"]["2026-06"]
+    assert second["quarantine"] == first["quarantine"] and store.read("daily_metric").count() == 3 and store.read("daily_metric", 1).count() == 2
+    # a writer that dies before the manifest leaves the version as it was
+    real = Store._publish
+
+    def dies(self, version, text):
+        raise OSError("killed")
+
+    monkeypatch.setattr(Store, "_publish", dies)
+    with pytest.raises(OSError):
+        push.ingest(store, payload(spark, ("step_count", "count", [on("2026-06-02", qty=9)])), "2026-08-03 00:00:00")
+    monkeypatch.setattr(Store, "_publish", real)
+    assert store.version() == 2 and {r.value for r in store.read("daily_metric").collect()} == {5, 6, 7}
+    # of two writers on one version the later one is told, and a push is merged anew
+    with pytest.raises(ConflictError):
+        store.commit({"quarantine": store.read("quarantine")}, base=1)
+    assert store.version() == 2 and store.manifest() == second
+    late = []
+
+    def overtaken(self, version, text):
+        if not late:
+            late.append(version)
+            push.ingest(store, payload(spark, ("step_count", "count", [on("2026-06-03", qty=8)])), "2026-08-03 00:00:00")
+        real(self, version, text)
+
+    monkeypatch.setattr(Store, "_publish", overtaken)
+    push.ingest(store, payload(spark, ("step_count", "count", [on("2026-06-04", qty=9)])), "2026-08-03 00:00:00")
+    assert store.version() == 4 and {r.value for r in store.read("daily_metric").collect()} == {5, 6, 7, 8, 9}
+
+
+def test_ids_follow_the_order_over_many_partitions(spark):
+    rows = spark.range(500).select((F.col("id") * 7919 % 500).alias("k")).repartition(7)
+    schema = "id int, k long, created_at timestamp, updated_at timestamp"
+    old = spark.createDataFrame([(40, -1, None, None)], schema)
+    got = G.appended(old, rows, "2026-08-01 00:00:00", "k").where("k >= 0").collect()
+    assert sorted((r.id, r.k) for r in got) == [(41 + k, k) for k in range(500)]
+    assert G.appended(old, rows.limit(0), "2026-08-01 00:00:00", "k").count() == 1
+
+
+def test_briefing_rows_are_the_document_s_sections(spark):
+    t = {n: G.empty(spark, n) for n in G.SCHEMAS}
+    assert briefing_rows(t, "2026-08-20").count() == 0
+    none = F.lit(None)
+    t["claims"] = G.empty(spark, "claims").unionByName(spark.createDataFrame([(i, "x", "unknown") for i in (3, 1, 2)], "id int, statement string, confidence string"), allowMissingColumns=True)
+    t["goals"] = G.empty(spark, "goals").unionByName(spark.range(1).select(F.lit(9).alias("id"), F.lit("g").alias("title"), F.lit("active").alias("status"), none.cast("double").alias("target_value")), allowMissingColumns=True)
+    rows = briefing_rows(t, "2026-08-20").collect()
+    doc = briefing(t, "2026-08-20").first()
+    order = lambda name: [r.id for r in sorted((r for r in rows if r.section == name), key=lambda r: r.place)]
+    assert order("unknowns") == [c.id for c in doc.unknowns] == [3, 2, 1] and order("goals") == [g.id for g in doc.goals] == [9]
+    assert json.loads(next(r.record for r in rows if r.section == "goals"))["title"] == "g"
