@@ -185,18 +185,17 @@ def _needed(a: Column, b: Column) -> Column:
 
 def _possible(rows: DataFrame, every: bool) -> DataFrame:
     """Pairs (a, b, sizes) that pass the length, the positional and the suffix filter. rows: x, y (node, size, alone:
-    shingles of no other node, i: place in the prefix, parts: shingles in each of PARTS parts) and g, the shingle they share.
-    The positional bound counts what comes at and after the first of these shingles; what comes before counts too, unless
-    rows hold every shingle that the two prefixes share: then nothing before is common."""
+    shingles of no other node, i: place in the prefix, parts: shingles in each of PARTS parts), a row for each shingle in
+    both prefixes. The positional bound counts what comes from that shingle on. If rows hold every such shingle, the first
+    one is among them, before which the two share nothing; else what comes before counts too."""
     size = lambda s: F.col(f"{s}.size")
     length = F.least(size("x"), size("y")) * DENOMINATOR >= F.greatest(size("x"), size("y")) * NUMERATOR
     most = F.aggregate(F.zip_with("x.parts", "y.parts", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    after = F.least(size("x") - F.col("x.alone") - F.col("x.i"), size("y") - F.col("y.alone") - F.col("y.i"))
     before = F.lit(0) if every else F.least(F.col("x.i"), F.col("y.i"))  # shared ones only: the others match nothing
-    here = F.struct("g", (before + after).alias("most"))  # shingles are in rare-first order
-    pairs = rows.where(length & (most >= _needed(size("x"), size("y"))))
-    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), (size("x") + size("y")).alias("sizes"), here.alias("here"))
-    return pairs.groupBy("a", "b", "sizes").agg(F.min("here").alias("here")).where(F.col("here.most") >= _needed(F.col("sizes"), F.lit(0))).drop("here")
+    after = F.least(size("x") - F.col("x.alone") - F.col("x.i"), size("y") - F.col("y.alone") - F.col("y.i"))
+    needed = _needed(size("x"), size("y"))
+    pairs = rows.where(length & (before + after >= needed) & (most >= needed))
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), (size("x") + size("y")).alias("sizes")).distinct()
 
 
 def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -217,7 +216,7 @@ def joined_components(known: DataFrame) -> DataFrame:
     hubs = posted.groupBy("g").agg(*[first(k) for k in range(HUBS)], F.count(F.lit(1)).alias("n")).where("n > 1")
     hubs = written(hubs.select("g", F.array_distinct(F.array(*[f"p{k}" for k in range(HUBS)])).alias("hubs")), "hubs")
     near = posted.join(hubs.select("g", F.explode("hubs").alias("y")), "g").where("node <> y.node")
-    pairs = written(_possible(near.select(p.alias("x"), "y", "g"), every=False), "pairs")  # a hub is not that of every shingle it shares
+    pairs = written(_possible(near.select(p.alias("x"), "y"), every=False), "pairs")  # a hub is not that of every shingle it shares
     found = written(_verified(pairs, known), "links")
     forget(pairs)
     joined = components(found)
@@ -230,7 +229,7 @@ def joined_components(known: DataFrame) -> DataFrame:
     rest = written(apart.join(mixed, "g", "left_semi"), "rest")
     forget(apart)
     left, right = (rest.select("g", F.col("component").alias(c), p.alias(x)) for c, x in (("c", "x"), ("d", "y")))
-    pairs = written(_possible(left.join(right, "g").where("c < d").select("x", "y", "g"), every=True), "pairs")
+    pairs = written(_possible(left.join(right, "g").where("c < d").select("x", "y"), every=True), "pairs")
     forget(rest)
     if pairs.isEmpty():
         return joined
