@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +48,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of labelled texts that a model is fitted on at most; rows beyond, by a hash of the id, are not learnt from.
+LABELLED_BYTES = 48_000_000
+
+
+def labelled_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, most: int = LABELLED_BYTES) -> tuple[pa.Array, np.ndarray]:
+    """Texts and labels of the chosen rows (_id, _y; few, and one for each id) in the order of their ids, for a fit on the driver.
+
+    Of several documents of one id that with the least hash counts. Texts are taken in the order of a hash of the id until
+    they are most bytes; a longer one alone is left out.
+    """
+    own = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")).join(F.broadcast(chosen), "_id")
+    size = F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long")
+    sizes = own.groupBy("_id").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), size.alias("n"))).alias("t")).select("_id", "t.h", "t.n").orderBy(F.xxhash64("_id"), "_id").toPandas()
+    kept = sizes[sizes.n <= most]
+    kept = kept[kept.n.cumsum() <= most]
+    if kept.empty:
+        return pa.array([], pa.large_string()), np.zeros(0, np.int64)
+    spark = docs.sparkSession
+    take = spark.createDataFrame(kept[["_id", "h"]].rename(columns={"_id": "_i"}), f"_i {own.schema['_id'].dataType.simpleString()}, h long")
+    rows = own.join(F.broadcast(take), (F.col("_id") == F.col("_i")) & (F.xxhash64("_text") == F.col("h")))
+    rows = rows.groupBy("_id").agg(F.first("_text").alias("_text"), F.first("_y").alias("_y")).toArrow().sort_by([("_id", "ascending")])
+    return rows["_text"].combine_chunks().cast(pa.large_string()), rows["_y"].to_numpy().astype(np.int64)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by written() that no later step reads."""
     spark = df.sparkSession

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import BLANK, Block, blocks, mix
+from .common import labelled_rows
 
 GRAMS, SHAPES = 4096, 128
 TERMS = GRAMS + SHAPES
@@ -95,20 +96,18 @@ class Model:
                     out.append(np.full(len(x[i : i + 256]), self.share))
                     continue
                 cosine = x[i : i + 256] @ self.vectors.T
-                near = np.argpartition(cosine, -k, axis=1)[:, -k:]
-                weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** 4
-                total = weight.sum(axis=1)
+                least = np.partition(cosine, -k, axis=1)[:, -k, None]  # all that are as near as the last neighbour vote too
+                weight = np.where(cosine >= least, np.maximum(cosine, 0), 0).astype(np.float64) ** 4
                 # what has no likeness to any labelled text gets the share of the sample
-                out.append((np.sum(weight * self.labels[near], axis=1) + 1e-6 * self.share) / (total + 1e-6))
+                out.append((weight @ self.labels + 1e-6 * self.share) / (weight.sum(axis=1) + 1e-6))
         return np.clip(np.concatenate(out), 0, 1) if out else np.zeros(0)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """The model of a bounded sample of labelled rows: rows whose label is null, or whose id's crc32 modulo 4 is 2, are not learnt from."""
+    """The model of a bounded sample of labelled rows, and of LABELLED_BYTES of their texts: rows whose label is null, or whose id's crc32 modulo 4 is 2, are not learnt from."""
     usable = labels.select(labels[id_col].alias("_id"), labels[label_col].cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & (F.crc32(F.col("_id").cast("string")) % 4 != 2)).dropDuplicates(["_id"])
     chosen = usable.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")).join(F.broadcast(chosen), "_id").toArrow().sort_by([("_id", "ascending"), ("_text", "ascending")])
-    return Model(rows["_text"].combine_chunks().cast(pa.large_string()) if rows.num_rows else pa.array([], pa.large_string()), rows["_y"].to_numpy())
+    return Model(*labelled_rows(docs, chosen, id_col, text_col))
 
 
 def score_quality(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,8 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Each word gives two kinds of input: from a table of words, and from a table of character n-grams (3 to 5 bytes with the
-word's edges). Both tables hold what the labelled sample says of their entries. A text is cut into overlapping windows of
-words; both directions run over each, attention weighs their states, and the text's score is that of its worst window.
+Each word gives two kinds of input: its row of a table of words, and the sum of the rows of its character n-grams (3 to 5
+bytes with the word's edges) over the root of their number. Both tables start empty and are learnt with the network. A text is cut into overlapping windows
+of words; both directions run over each, attention weighs their states, and the text's score is that of its worst window.
 """
 
 from __future__ import annotations
@@ -15,13 +15,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import LETTER, LOWER, Block, blocks, mix
+from .common import labelled_rows
 
 #: Words by which windows are shifted; a window has twice as many, so every word is in two.
 STRIDE = 16
 SPAN = 2 * STRIDE
-HIDDEN, ATTENTION, INPUTS = 8, 6, 5
-TABLE_BITS = 18
+#: Numbers that a word and its n-grams are represented by, and the inputs that make: both and a constant.
+WIDTH = 6
+HIDDEN, ATTENTION, INPUTS = 8, 6, 2 * WIDTH + 1
+TABLE_BITS = 16
 GRAMS = (3, 4, 5)
+#: What the squares of a number's slopes start from: entries that few texts have move little.
+START = 1e-6
 #: Bytes of text worked on at once where the driver fits the model.
 LESS = 400_000
 
@@ -33,101 +38,80 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-class Words:
-    """Words of a block, in lower case, with the buckets of the words and of their n-grams."""
+class Vocabulary:
+    """Distinct words: the bucket of each, and the buckets of its n-grams (gram[starts[i] : starts[i + 1]])."""
 
-    def __init__(self, block: Block):
+    def __init__(self, word: np.ndarray, gram: np.ndarray, starts: np.ndarray):
+        self.word, self.gram, self.starts = word, gram, starts
+
+    @classmethod
+    def of(cls, block: Block) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
+        """The words of a block in lower case; which of them stands at each place, and in which text."""
         data = LOWER[block.bytes]
-        self.begins, self.ends, self.text = block.words(LETTER)
+        begins, ends, text = block.words(LETTER)
+        hashes, first, which = np.unique(block.hashes(data, begins, ends), return_index=True, return_inverse=True)
         shift = np.uint64(64 - TABLE_BITS)
-        self.word = (block.hashes(data, self.begins, self.ends) >> shift).astype(np.int32)
-        inside = np.zeros(len(data) + 1, bool)
-        edge = np.zeros(len(data) + 1, np.int8)
-        np.add.at(edge, self.begins, 1)
-        np.add.at(edge, self.ends, -1)
-        inside = np.cumsum(edge).astype(bool)
-        # bytes with one blank before and after each word, so that edges belong to n-grams
-        code = np.where(inside[:-1], data, np.uint8(32)).astype(np.uint64)
-        self.grams = []
+        # the distinct words, one blank before and after each, so that edges belong to n-grams
+        length = (ends - begins)[first] + 2
+        at = np.concatenate([[0], np.cumsum(length)])
+        own = np.repeat(np.arange(len(first)), length)
+        rank = np.arange(at[-1]) - at[own]
+        code = np.full(at[-1], 32, np.uint64)
+        inside = (rank > 0) & (rank < length[own] - 1)
+        code[inside] = data[(begins[first][own] + rank - 1)[inside]]
+        buckets, owners = [], []
         for n in GRAMS:
-            h = np.full(len(code), n, np.uint64)
+            m = max(len(code) - n + 1, 0)
+            h = np.full(m, n, np.uint64)
             for k in range(n):
-                at = code[k : len(code)] if k else code
-                h[: len(at)] = h[: len(at)] * np.uint64(257) + at
-            self.grams.append((mix(h) >> shift).astype(np.int32))
+                h = h * np.uint64(257) + code[k : k + m]
+            fits = rank[:m] + n <= length[own[:m]]
+            buckets.append((mix(h[fits]) >> shift).astype(np.int32))
+            owners.append(own[:m][fits])
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(first)))])
+        return cls((mix(hashes) >> shift).astype(np.int32), np.concatenate(buckets)[order], starts), which, text
+
+    def join(self, other: Vocabulary) -> Vocabulary:
+        return Vocabulary(np.concatenate([self.word, other.word]), np.concatenate([self.gram, other.gram]), np.concatenate([self.starts, other.starts[1:] + self.starts[-1]]))
 
-    def spans(self) -> tuple[np.ndarray, np.ndarray]:
-        """Where the n-grams of each word begin: one byte before it, up to its last byte."""
-        return np.maximum(self.begins - 1, 0), self.ends
+    def take(self, ids: np.ndarray) -> Vocabulary:
+        length = np.diff(self.starts)[ids]
+        starts = np.concatenate([[0], np.cumsum(length)])
+        at = np.arange(starts[-1]) - np.repeat(starts[:-1] - self.starts[ids], length)
+        return Vocabulary(self.word[ids], self.gram[at], starts)
 
 
 class Tables:
-    """Log-odds of toxic texts for buckets of words and of n-grams, from the presence of each in labelled texts."""
-
-    def __init__(self, texts: pa.Array, toxic: np.ndarray):
-        size = 1 << TABLE_BITS
-        seen = np.zeros((2, 2, size), np.float64)
-        for first, _, block in blocks(texts, LESS):
-            w = Words(block)
-            for kind, (text, bucket) in enumerate(((w.text, w.word), self._grams(w))):
-                both = np.unique(text.astype(np.int64) << TABLE_BITS | bucket)
-                label = toxic[first + (both >> TABLE_BITS)]
-                for y in (0, 1):
-                    seen[kind, y] += np.bincount(both[label == y] & (size - 1), minlength=size)
-        self.seen, self.of = seen.astype(np.float32), np.maximum([np.sum(toxic == 0), np.sum(toxic == 1)], 1)
-        self.word, self.gram = (self._odds(*self.seen[kind]) for kind in (0, 1))
-        self.known = self._support(*self.seen[0])
-
-    def _odds(self, clean: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-        odds = np.log((toxic + np.float32(0.5)) / np.float32(self.of[1] + 1)) - np.log((clean + np.float32(0.5)) / np.float32(self.of[0] + 1))
-        n = clean + toxic
-        return np.clip(odds * (n / (n + 3)) / 4, -1.5, 1.5).astype(np.float32)
+    """What words and n-grams are represented by; those that training has not met by zeros."""
+
+    def __init__(self):
+        self.word, self.gram = (np.zeros((1 << TABLE_BITS, WIDTH), np.float32) for _ in range(2))
+        self._seen: list[np.ndarray] = []
+
+    def inputs(self, words: Vocabulary) -> np.ndarray:
+        """An input vector for each word. Every word has an n-gram: with its edges it is three bytes long at least."""
+        out = np.ones((len(words.word), INPUTS), np.float32)
+        if len(words.word):
+            out[:, :WIDTH] = self.word[words.word]
+            out[:, WIDTH : 2 * WIDTH] = np.add.reduceat(self.gram[words.gram], words.starts[:-1], axis=0) / np.sqrt(np.diff(words.starts)[:, None])
+        return out
 
-    @staticmethod
-    def _support(clean: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-        return np.minimum(clean + toxic, 50) / np.float32(50)
+    def learn(self, words: Vocabulary, slope: np.ndarray, rate: float) -> None:
+        """Step against the loss's slope by the words' inputs; each number's steps shrink with what it has moved by."""
+        if not self._seen:
+            self._seen = [np.full_like(self.word, START), np.full_like(self.gram, START)]
+        length = np.diff(words.starts)
+        each = np.repeat(slope[:, WIDTH : 2 * WIDTH] / np.sqrt(length[:, None]), length, axis=0)
+        for table, seen, bucket, g in ((self.word, self._seen[0], words.word, slope[:, :WIDTH]), (self.gram, self._seen[1], words.gram, each)):
+            rows, at = np.unique(bucket, return_inverse=True)
+            total = np.stack([np.bincount(at, g[:, k], len(rows)) for k in range(WIDTH)], axis=1).astype(np.float32)
+            seen[rows] += total**2
+            table[rows] -= rate * total / np.sqrt(seen[rows])
 
-    def _without(self, kind: int, bucket: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of buckets without the one text, of the given label, that they are looked up for."""
-        return np.maximum(self.seen[kind, 0, bucket] - (toxic == 0), 0), np.maximum(self.seen[kind, 1, bucket] - (toxic == 1), 0)
-
-    @staticmethod
-    def _grams(w: Words) -> tuple[np.ndarray, np.ndarray]:
-        begin, end = w.spans()
-        length = end - begin
-        text = np.repeat(w.text, length)
-        at = np.repeat(begin - np.concatenate([[0], np.cumsum(length)[:-1]]).astype(np.int64), length) + np.arange(length.sum())
-        return np.concatenate([text] * len(GRAMS)), np.concatenate([g[at] for g in w.grams])
-
-    def inputs(self, w: Words, own: np.ndarray | None = None) -> np.ndarray:
-        """An input vector for each word: its own log-odds and support, the greatest and mean of its n-grams, a constant.
-
-        own: labels of the texts, if they are among those that the tables were made of; each text is then seen as if it were not.
-        """
-        out = np.empty((len(w.word), INPUTS), np.float32)
-        if own is None:
-            out[:, 0], out[:, 1] = self.word[w.word], self.known[w.word]
-        else:
-            counts = self._without(0, w.word, own[w.text])
-            out[:, 0], out[:, 1] = self._odds(*counts), self._support(*counts)
-            near = np.zeros(len(w.grams[0]), np.int64) - 1
-            near[w.spans()[0]] = w.text
-            near = np.maximum.accumulate(near)
-        out[:, 4] = 1
-        if len(w.word):
-            begin, end = w.spans()
-            best = total = None
-            for g in w.grams:
-                v = self.gram[g] if own is None else self._odds(*self._without(1, g, own[np.maximum(near, 0)]))
-                best = v if best is None else np.maximum(best, v)
-                total = v if total is None else total + v
-            pairs = np.empty(2 * len(begin), np.int64)
-            pairs[::2], pairs[1::2] = begin, end
-            # reduceat needs rising places: a word may begin where the blank before it was the end of the last one
-            pairs[1:-1:2] = np.minimum(pairs[1:-1:2], pairs[2::2])
-            out[:, 2] = np.maximum.reduceat(best, pairs)[::2]
-            out[:, 3] = np.add.reduceat(total, pairs)[::2] / (len(GRAMS) * (end - begin))
-        return out
+    def finish(self) -> None:
+        self._seen = []
 
 
 def layout(text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,7 +163,7 @@ class Network:
         return pooled @ p["c"] + p["d"]
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean logistic loss."""
+        """Of the mean logistic loss, by the parameters and (as x) by the inputs."""
         p, k = self.p, {}
         out = 1 / (1 + np.exp(-self.logits(x, k)))
         dl = ((out - y) / len(y)).astype(np.float32)
@@ -193,6 +177,7 @@ class Network:
         g["A"] = np.einsum("tnh,tna->ha", s, da)
         ds = w[:, :, None] * dp + da @ p["A"].T
         g |= {n: np.zeros_like(p[n]) for n in ("W", "U", "b")}
+        g["x"] = np.zeros_like(x)
         for d in (0, 1):
             dh = np.zeros((x.shape[1], HIDDEN), np.float32)
             for t, h, z, r, n, hun in reversed(k["steps"][d]):
@@ -201,6 +186,7 @@ class Network:
                 gates = np.concatenate([dh * (h - n) * z * (1 - z), dn * hun * r * (1 - r), dn], axis=1)
                 own = np.concatenate([gates[:, : 2 * HIDDEN], dn * r], axis=1)
                 g["W"][d] += x[t].T @ gates
+                g["x"][t] += gates @ p["W"][d].T
                 g["b"][d] += gates.sum(axis=0)
                 g["U"][d] += h.T @ own
                 dh = dh * z + own @ p["U"][d].T
@@ -213,59 +199,79 @@ class Model:
     def __init__(self, tables: Tables, network: Network):
         self.tables, self.network = tables, network
 
-    def windows(self, block: Block, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs in strides (strides, STRIDE, INPUTS), the strides at which windows begin, the first window of each text."""
-        w = Words(block)
-        place, begin, first = layout(w.text, block.n)
-        padded = np.zeros(((begin[-1] + 2) * STRIDE, INPUTS), np.float32)
-        padded[place] = self.tables.inputs(w, own)
-        return padded.reshape(-1, STRIDE, INPUTS), begin, first
+    @staticmethod
+    def windows(block: Block) -> tuple[Vocabulary, np.ndarray, np.ndarray, np.ndarray]:
+        """Words of a block; their numbers in strides (strides, STRIDE; -1 is none), the strides at which windows begin, the first window of each text."""
+        words, which, text = Vocabulary.of(block)
+        place, begin, first = layout(text, block.n)
+        padded = np.full((begin[-1] + 2) * STRIDE, -1, np.int64)
+        padded[place] = which
+        return words, padded.reshape(-1, STRIDE), begin, first
 
     @staticmethod
     def gather(strides: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        return np.concatenate([strides[begin], strides[begin + 1]], axis=1).transpose(1, 0, 2)
+        """The windows (SPAN, windows) that begin at these strides."""
+        return np.concatenate([strides[begin], strides[begin + 1]], axis=1).T
+
+    def logits(self, inputs: np.ndarray, strides: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Of the windows that begin at these strides. inputs: a row for each word, the last one for none."""
+        out = [self.network.logits(inputs[self.gather(strides, begin[i : i + 4096])]) for i in range(0, len(begin), 4096)]
+        return np.concatenate(out) if out else np.zeros(0, np.float32)
+
+    def _inputs(self, words: Vocabulary) -> np.ndarray:
+        return np.concatenate([self.tables.inputs(words), np.zeros((1, INPUTS), np.float32)])
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each text its worst window's probability and its number of windows."""
         out, count = [], []
         for _, _, block in blocks(texts):
-            strides, begin, first = self.windows(block)
-            logits = np.concatenate([self.network.logits(np.ascontiguousarray(self.gather(strides, begin[i : i + 4096]))) for i in range(0, len(begin), 4096)])
-            out.append(np.maximum.reduceat(logits, first))
+            words, strides, begin, first = self.windows(block)
+            out.append(np.maximum.reduceat(self.logits(self._inputs(words), strides, begin), first))
             count.append(np.diff(first, append=len(begin)))
         if not out:
             return np.zeros(0), np.zeros(0, np.int64)
         return 1 / (1 + np.exp(-np.concatenate(out).astype(np.float64))), np.concatenate(count)
 
     @classmethod
-    def fit(cls, texts: pa.Array, toxic: np.ndarray, rounds: int = 4, steps: int = 60, batch: int = 256, rate: float = 0.02, seed: int = 7) -> Model:
-        """Of each text the window that scores worst stands for it; it is chosen anew in each round."""
-        model, rng = cls(Tables(texts, toxic), Network(seed)), np.random.default_rng(seed)
+    def fit(cls, texts: pa.Array, toxic: np.ndarray, rounds: int = 4, steps: int = 80, batch: int = 256, rate: float = 0.02, table_rate: float = 0.05, seed: int = 7) -> Model:
+        """In the first round any window stands for its text, in each later one the window that then scores worst."""
+        model, rng = cls(Tables(), Network(seed)), np.random.default_rng(seed)
         if not (toxic == 0).any() or not (toxic == 1).any():  # nothing to tell apart
             model.network.p["c"] *= 0
             model.network.p["d"][:] = np.log((np.sum(toxic == 1) + 0.5) / (np.sum(toxic == 0) + 0.5))
             return model
-        held = [model.windows(block, toxic[i:j]) for i, j, block in blocks(texts, LESS)]
+        words, strides, begins, firsts = Vocabulary(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1, np.int64)), [], [], []
+        for _, _, block in blocks(texts, LESS):
+            own, ids, begin, first = cls.windows(block)
+            begins.append(begin + sum(map(len, strides)))
+            firsts.append(first + sum(map(len, begins[:-1])))
+            strides.append(np.where(ids < 0, -1, ids + len(words.word)))
+            words = words.join(own)
+        strides, begin, first = np.concatenate(strides), np.concatenate(begins), np.concatenate(firsts)
+        ends = np.append(first[1:], len(begin))
+        groups = [np.flatnonzero(toxic == y) for y in (0, 1)]
         m1, m2, t = {}, {}, 0
         for r in range(rounds):
-            picked = []
-            for strides, begin, first in held:
-                if r:
-                    value = np.concatenate([model.network.logits(np.ascontiguousarray(cls.gather(strides, begin[i : i + 4096]))) for i in range(0, len(begin), 4096)])
-                else:
-                    value = cls.gather(strides, begin)[:, :, [0, 2]].sum(axis=2).max(axis=0)
-                for a, b in zip(first, [*first[1:], len(begin)]):
-                    picked.append(cls.gather(strides, begin[[a + int(np.argmax(value[a:b]))]])[:, 0])
-            x = np.stack(picked, axis=1)
-            groups = [np.flatnonzero(toxic == y) for y in (0, 1)]
+            if r:
+                value = model.logits(model._inputs(words), strides, begin)
+                worst = np.array([a + int(np.argmax(value[a:b])) for a, b in zip(first, ends)])
             for _ in range(steps):
                 rows = np.concatenate([rng.choice(q, batch // 2) for q in groups])
-                g = model.network.gradients(np.ascontiguousarray(x[:, rows]), toxic[rows].astype(np.float32))
+                ids = cls.gather(strides, begin[worst[rows] if r else rng.integers(first[rows], ends[rows])])
+                known, at = np.unique(ids, return_inverse=True)
+                none = int(known[0] < 0)
+                here = words.take(known[none:])
+                x = np.concatenate([np.zeros((none, INPUTS), np.float32), model.tables.inputs(here)])[at.reshape(ids.shape)]
+                g = model.network.gradients(x, toxic[rows].astype(np.float32))
+                slope = g.pop("x").reshape(-1, INPUTS)
+                slope = np.stack([np.bincount(at.ravel(), slope[:, k], len(known)) for k in range(INPUTS)], axis=1)[none:]
                 t += 1
                 for n, v in g.items():
                     m1[n] = 0.9 * m1.get(n, 0) + 0.1 * v
                     m2[n] = 0.99 * m2.get(n, 0) + 0.01 * v * v
                     model.network.p[n] -= (rate * (m1[n] / (1 - 0.9**t)) / (np.sqrt(m2[n] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+                model.tables.learn(here, slope.astype(np.float32), table_rate)
+        model.tables.finish()
         return model
 
 
@@ -274,12 +280,11 @@ SAMPLE = 2000
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """The model of a bounded sample of labelled rows: rows whose label is null, or whose id's crc32 modulo 5 is 0, are not learnt from."""
+    """The model of a bounded sample of labelled rows, and of LABELLED_BYTES of their texts: rows whose label is null, or whose id's crc32 modulo 5 is 0, are not learnt from."""
     usable = labels.select(labels[id_col].alias("_id"), labels[label_col].cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & (F.crc32(F.col("_id").cast("string")) % 5 != 0)).dropDuplicates(["_id"])
     chosen = [usable.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample) for y in (0, 1)]
-    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "_id").toArrow()
-    rows = rows.sort_by([("_id", "ascending"), ("_text", "ascending")])
-    return Model.fit(rows["_text"].combine_chunks().cast(pa.large_string()) if rows.num_rows else pa.array([], pa.large_string()), rows["_y"].to_numpy().astype(np.int64))
+    texts, toxic = labelled_rows(docs, chosen[0].unionByName(chosen[1]), id_col, text_col)
+    return Model.fit(texts, toxic)
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), threshold: float = 0.5) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +15,8 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from dayroll.llm import pieces, quality, token_counts, toxicity
+from dayroll.llm.bytewords import Block, blocks, mix
+from dayroll.llm.common import labelled_rows
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [None, "", " ", "\n\n  \t", "a", "Hello  world's <|endoftext|> tests", "日本語🙂 é́ ﬁ", "x" * 30_000, "ab c " * 8_000, "a\x00b\r\n", "<s></s><0x0A>▁▁x", "!!!???***", "thé end　"]
@@ -184,7 +187,7 @@ def test_gradients_are_those_of_the_loss():
     x, y = r.normal(size=(6, 5, toxicity.INPUTS)).astype(np.float32), np.array([0, 1, 1, 0, 1], np.float32)
     loss = lambda: float(np.mean(np.logaddexp(0, n.logits(x).astype(np.float64)) - y * n.logits(x)))
     g = n.gradients(x, y)
-    for name, p in n.p.items():
+    for name, p in [*n.p.items(), ("x", x)]:
         for at in [tuple(r.integers(0, s) for s in p.shape) for _ in range(3)]:
             old, e = p[at], 3e-2
             p[at] = old + e
@@ -195,6 +198,78 @@ def test_gradients_are_those_of_the_loss():
             assert abs((a - b) / (2 * e) - g[name][at]) < 2e-3, (name, at)
 
 
+def test_scores_against_one_window_and_one_word_at_a_time():
+    """Words, n-grams, windows, the recurrence, attention and the worst window, each by its definition."""
+    rows = corpus(60, insult, 3)
+    model = toxicity.Model.fit(pa.array([t for _, t, _ in rows], pa.large_string()), np.array([y for _, _, y in rows]), rounds=2, steps=15)
+    p, tables, h = model.network.p, model.tables, toxicity.HIDDEN
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def bucket(raw, seed, base):
+        x = seed
+        for byte in raw:
+            x = (x * base + byte) % 2**64
+        return int(mix(np.array([x], np.uint64))[0]) >> (64 - toxicity.TABLE_BITS)
+
+    def vector(word):
+        raw = b" " + word + b" "
+        grams = [bucket(raw[i : i + n], n, 257) for n in toxicity.GRAMS for i in range(len(raw) - n + 1)]
+        block = Block(pa.array([word.decode()]))
+        own = int(mix(block.hashes(block.bytes, np.array([0]), np.array([len(word)])))[0]) >> (64 - toxicity.TABLE_BITS)
+        return np.concatenate([tables.word[own], tables.gram[grams].sum(axis=0) / np.sqrt(len(grams)), [1]])
+
+    def direction(xs, k):
+        state, out = np.zeros(h), []
+        for x in xs:
+            a, u = x @ p["W"][k] + p["b"][k], state @ p["U"][k]
+            z, reset = sig(a[:h] + u[:h]), sig(a[h : 2 * h] + u[h : 2 * h])
+            new = np.tanh(a[2 * h :] + reset * u[2 * h :])
+            state = (1 - z) * new + z * state
+            out.append(state)
+        return out
+
+    texts = [rows[0][1], " ".join(rows[k][1] for k in range(4)), "One, TWO thrée", "", "x"]
+    for text, got in zip(texts, model.scores(pa.array(texts))[0]):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).encode()
+        words = [vector(w) for w in re.findall(rb"[0-9a-z\x80-\xff]+", low)]
+        strides = max(2, -(-len(words) // toxicity.STRIDE))
+        words += [np.zeros(toxicity.INPUTS)] * (strides * toxicity.STRIDE - len(words))
+        logits = []
+        for s in range(strides - 1):
+            xs = words[s * toxicity.STRIDE : s * toxicity.STRIDE + toxicity.SPAN]
+            states = [np.concatenate(q) for q in zip(direction(xs, 0), direction(xs[::-1], 1)[::-1])]
+            e = np.exp([np.tanh(q @ p["A"]) @ p["v"] for q in states])
+            logits.append(sum(w * q for w, q in zip(e / e.sum(), states)) @ p["c"] + p["d"][0])
+        assert abs(got - sig(max(logits))) < 1e-4, text
+
+
+def test_votes_against_all_products_at_once():
+    rows = corpus(300, lambda t, r: [w.upper() for w in t], 4)
+    texts, labels = [t for _, t, _ in rows], np.array([y for _, _, y in rows])
+    labelled = texts[:200] + [texts[0]] * 40  # ties: more equal texts than there are voters
+    y = np.concatenate([labels[:200], np.arange(40) % 2])
+    model = quality.Model(pa.array(labelled, pa.large_string()), y)
+    asked = texts + ["", None, texts[0]]
+    x = np.concatenate([quality.frequencies(b) for _, _, b in blocks(pa.array(asked))])
+    x = model._unit(model._weighted(x) @ model.projection)
+    cosine = x.astype(np.float64) @ model.vectors.T.astype(np.float64)
+    want = []
+    for c in cosine:
+        near = c >= np.sort(c)[-quality.NEIGHBOURS] - 1e-6
+        w = np.maximum(c[near], 0) ** 4
+        want.append((w @ y[near] + 1e-6 * model.share) / (w.sum() + 1e-6))
+    assert np.allclose(model.scores(pa.array(asked)), want, atol=2e-4)
+
+
+def test_models_are_fitted_on_bounded_rows(spark):
+    docs = spark.createDataFrame([(i % 10, f"text {i} " * 50) for i in range(200)] + [(11, "x" * 100_000), (12, None)], "doc_id long, text string")
+    chosen = spark.createDataFrame([(i, i % 2) for i in range(13)], "_id long, _y int")
+    texts, y = labelled_rows(docs, chosen, "doc_id", "text", 3000)
+    assert 4 <= len(texts) == len(y) <= 9 and sum(len(x.as_py() or "") for x in texts) <= 3000
+    texts, y = labelled_rows(docs, chosen, "doc_id", "text")
+    assert len(texts) == 12 and y.tolist() == [0, 1] * 5 + [1, 0] and texts.to_pylist() == labelled_rows(docs.repartition(5), chosen, "doc_id", "text")[0].to_pylist()
+
+
 def test_quality_on_held_out_texts(spark):
     rows = corpus(400, lambda t, r: [w.upper() + "!!" for w in t], 2)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
