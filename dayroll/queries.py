@@ -107,25 +107,31 @@ def raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RAW = f"""{READ}, x AS (SELECT *, CASE kind WHEN 'view' THEN 'steps' WHEN 'click' THEN 'heart-rate' WHEN 'purchase' THEN 'weight' END AS metric,
-  CASE kind WHEN 'view' THEN (['count','steps','kg',NULL])[k % 4 + 1] WHEN 'click' THEN (['count/min','BPM','kg',NULL])[k % 4 + 1] WHEN 'purchase' THEN (['kg','lb','g','furlong'])[k % 4 + 1] END AS unit,
+  CASE kind WHEN 'view' THEN (['count','steps','kg',NULL])[k % 4 + 1] WHEN 'click' THEN (['count/min','BPM','kg',NULL])[k % 4 + 1]
+  WHEN 'purchase' THEN (['kg','lb','g','furlong'])[k % 4 + 1] END AS unit,
   CASE WHEN kind IN ('view', 'click') AND k % 4 < 2 THEN value::DOUBLE WHEN kind = 'purchase' AND k % 4 = 0 THEN value::DOUBLE * 1.0 / 0.45359237
-    WHEN kind = 'purchase' AND k % 4 = 1 THEN value::DOUBLE WHEN kind = 'purchase' AND k % 4 = 2 THEN value::DOUBLE * 0.001 / 0.45359237 END AS canonical FROM r),
+    WHEN kind = 'purchase' AND k % 4 = 1 THEN value::DOUBLE WHEN kind = 'purchase'
+  AND k % 4 = 2 THEN value::DOUBLE * 0.001 / 0.45359237 END AS canonical FROM r),
 o AS (SELECT *, CASE WHEN kind = 'error' THEN CASE WHEN k % 2 = 0 THEN 'excluded' ELSE 'unknown-type' END
   WHEN kind = 'signup' THEN CASE WHEN k % 4 = 3 THEN 'unknown-sleep-stage' WHEN floor(value * 60) < 1 THEN 'skipped' ELSE 'folded' END
   WHEN unit IS NULL THEN 'missing-unit' WHEN canonical IS NULL THEN 'unconvertible-unit'
-  WHEN kind = 'click' AND NOT (canonical > 0 AND canonical <= 300) THEN 'implausible-value' WHEN kind = 'purchase' AND NOT (canonical > 0 AND canonical <= 1500) THEN 'implausible-value' ELSE 'folded' END AS outcome FROM x)"""
+  WHEN kind = 'click' AND NOT (canonical > 0 AND canonical <= 300) THEN 'implausible-value' WHEN kind = 'purchase' AND NOT (canonical > 0
+  AND canonical <= 1500) THEN 'implausible-value' ELSE 'folded' END AS outcome FROM x)"""
 
 # --- roll-ups ----------------------------------------------------------------------------------------------------------
 
-_TOTALS = f"""{READ}, t AS (SELECT kind, day, coalesce(source, '(unattributed)') AS source, sum(value) AS total FROM r WHERE kind = 'view' GROUP BY ALL)"""
+_TOTALS = f"""{READ}, t AS (SELECT kind, day, coalesce(source, '(unattributed)') AS source, sum(value) AS total FROM r WHERE kind = 'view'
+  GROUP BY ALL)"""
 
 
-@query(f"WITH {_TOTALS} SELECT kind, day, total::DOUBLE AS value, nullif(source, '(unattributed)') AS source FROM t QUALIFY row_number() OVER (PARTITION BY kind, day ORDER BY total DESC, source) = 1")
+@query(f"""WITH {_TOTALS} SELECT kind, day, total::DOUBLE AS value, nullif(source, '(unattributed)') AS source FROM t
+  QUALIFY row_number() OVER (PARTITION BY kind, day ORDER BY total DESC, source) = 1""")
 def rollup_sum_winning_source(spark: SparkSession, sf: str) -> DataFrame:
     return R.winning_source(readings(spark, sf).where("kind = 'view'")).withColumn("value", F.col("value").cast("double"))
 
 
-@query(f"WITH {READ} SELECT kind, day, sum(value)::DOUBLE / count(value) AS value, min(value)::DOUBLE AS min, max(value)::DOUBLE AS max FROM r WHERE kind = 'click' GROUP BY kind, day")
+@query(f"""WITH {READ} SELECT kind, day, sum(value)::DOUBLE / count(value) AS value, min(value)::DOUBLE AS min, max(value)::DOUBLE AS max FROM r
+  WHERE kind = 'click' GROUP BY kind, day""")
 def rollup_avg_min_max(spark: SparkSession, sf: str) -> DataFrame:
     return R.spread(readings(spark, sf).where("kind = 'click'"))
 
@@ -140,12 +146,17 @@ def rollup_max(spark: SparkSession, sf: str) -> DataFrame:
     return R.by_policy(readings(spark, sf), policies(spark).where(F.col("policy") == V.MAX)).select("kind", "day", "value")
 
 
-_POLICY = f"""{READ}, t AS (SELECT kind, day, coalesce(source, '(unattributed)') AS source, sum(value) AS total FROM r WHERE kind = 'view' GROUP BY ALL),
+_POLICY = f"""{READ}, t AS (SELECT kind, day, coalesce(source, '(unattributed)') AS source, sum(value) AS total FROM r WHERE kind = 'view'
+  GROUP BY ALL),
 w AS (SELECT kind, day, total, source FROM t QUALIFY row_number() OVER (PARTITION BY kind, day ORDER BY total DESC, source) = 1),
-l AS (SELECT kind, day, instant, min(source) AS source FROM r GROUP BY ALL), s AS (SELECT kind, day, source FROM l QUALIFY row_number() OVER (PARTITION BY kind, day ORDER BY instant DESC) = 1),
-d AS (SELECT kind, day, sum(value)::DOUBLE / count(value) AS mean, min(value)::DOUBLE AS lo, max(value)::DOUBLE AS hi FROM r WHERE kind <> 'error' GROUP BY kind, day),
-p AS (SELECT d.kind, d.day, CASE d.kind WHEN 'view' THEN w.total::DOUBLE WHEN 'signup' THEN hi ELSE mean END AS value, CASE WHEN d.kind = 'click' THEN lo END AS min, CASE WHEN d.kind = 'click' THEN hi END AS max,
-  CASE WHEN d.kind = 'view' THEN nullif(w.source, '(unattributed)') ELSE s.source END AS source FROM d LEFT JOIN w USING (kind, day) JOIN s USING (kind, day))"""
+l AS (SELECT kind, day, instant, min(source) AS source FROM r GROUP BY ALL), s AS (SELECT kind, day, source FROM l
+  QUALIFY row_number() OVER (PARTITION BY kind, day ORDER BY instant DESC) = 1),
+d AS (SELECT kind, day, sum(value)::DOUBLE / count(value) AS mean, min(value)::DOUBLE AS lo, max(value)::DOUBLE AS hi FROM r WHERE kind <> 'error'
+  GROUP BY kind, day),
+p AS (SELECT d.kind, d.day, CASE d.kind WHEN 'view' THEN w.total::DOUBLE WHEN 'signup' THEN hi ELSE mean END AS value, CASE
+  WHEN d.kind = 'click' THEN lo END AS min, CASE WHEN d.kind = 'click' THEN hi END AS max,
+  CASE WHEN d.kind = 'view' THEN nullif(w.source, '(unattributed)') ELSE s.source END AS source FROM d LEFT JOIN w USING (kind, day)
+  JOIN s USING (kind, day))"""
 _ADMIT = "b(kind, low, low_open, high) AS (VALUES " + ", ".join(f"('{k}', {lo}, {str(o).upper()}, {hi})" for k, (lo, o, hi) in BOUNDS.items()) + ")"
 _no = lambda x: f"CASE WHEN {x} IS NULL THEN NULL WHEN NOT (({x} > low OR (NOT low_open AND {x} = low)) AND {x} <= high) THEN 'implausible-value' END"
 _ADMIT += f", q AS (SELECT kind, day, value, source, {_no('value')} AS refused, CASE WHEN {_no('min')} IS NULL THEN min END AS min, CASE WHEN {_no('max')} IS NULL THEN max END AS max, {_no('value')} IS NULL AND ({_no('min')} IS NOT NULL OR {_no('max')} IS NOT NULL) AS bounds_cleared FROM p JOIN b USING (kind))"
@@ -160,7 +171,8 @@ def rollup_by_policy(spark: SparkSession, sf: str) -> DataFrame:
     return _rolled(spark, sf).where("refused is null").select("kind", "day", "value", "min", "max", "source")
 
 
-@query(f"WITH {_POLICY}, {_ADMIT} SELECT kind, count(*) AS n, arg_min(value, (day, value)) AS sample_value, min(day) AS sample_day FROM q WHERE refused IS NOT NULL GROUP BY kind")
+@query(f"""WITH {_POLICY}, {_ADMIT} SELECT kind, count(*) AS n, arg_min(value, (day, value)) AS sample_value, min(day) AS sample_day FROM q
+  WHERE refused IS NOT NULL GROUP BY kind""")
 def plausibility_refusals(spark: SparkSession, sf: str) -> DataFrame:
     return D.tally(_rolled(spark, sf).where("refused is not null"))
 
@@ -170,7 +182,8 @@ def bounds_cleared(spark: SparkSession, sf: str) -> DataFrame:
     return _rolled(spark, sf).where("bounds_cleared").select("kind", "day", "value", "min", "max")
 
 
-@query(f"WITH {_POLICY}, {_ADMIT}, v AS (SELECT kind, count(*) AS days, min(value) AS min_value, max(value) AS max_value FROM q WHERE refused IS NULL GROUP BY kind) SELECT *, max_value > 0 AND max_value <= 1 AND kind = 'click' AS maybe_fraction FROM v")
+@query(f"""WITH {_POLICY}, {_ADMIT}, v AS (SELECT kind, count(*) AS days, min(value) AS min_value, max(value) AS max_value FROM q
+  WHERE refused IS NULL GROUP BY kind) SELECT *, max_value > 0 AND max_value <= 1 AND kind = 'click' AS maybe_fraction FROM v""")
 def value_span_by_kind(spark: SparkSession, sf: str) -> DataFrame:
     return R.value_span(_rolled(spark, sf).where("refused is null")).withColumn("maybe_fraction", looks_like_fraction("kind", "max_value", ("click",)))
 
@@ -218,7 +231,8 @@ def total_vs_stage_hours(spark: SparkSession, sf: str) -> DataFrame:
     return union_hours(stage_rows(s), ("kind", "day")).select("kind", "day", F.col("hours").cast("double").alias("hours"))
 
 
-@query(f"WITH {SEG}, l AS (SELECT kind, day, instant, min(source) AS source FROM g GROUP BY ALL) SELECT kind, day, source FROM l QUALIFY row_number() OVER (PARTITION BY kind, day ORDER BY instant DESC) = 1")
+@query(f"""WITH {SEG}, l AS (SELECT kind, day, instant, min(source) AS source FROM g GROUP BY ALL) SELECT kind, day, source FROM l
+  QUALIFY row_number() OVER (PARTITION BY kind, day ORDER BY instant DESC) = 1""")
 def segment_source_credit(spark: SparkSession, sf: str) -> DataFrame:
     return R.latest_source(segments(spark, sf))
 
@@ -245,9 +259,12 @@ def classify_outcome_counts(spark: SparkSession, sf: str) -> DataFrame:
     return routed_records(raw(spark, sf)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {RAW}, z AS (SELECT event_id, CASE WHEN outcome = 'unknown-sleep-stage' THEN 'HKCategoryValueSleepAnalysisWeird' WHEN kind = 'error' THEN 'HKQuantityTypeIdentifierDietaryWater'
-  WHEN kind = 'view' THEN 'HKQuantityTypeIdentifierStepCount' WHEN kind = 'click' THEN 'HKQuantityTypeIdentifierHeartRate' ELSE 'HKQuantityTypeIdentifierBodyMass' END AS name, day
-  FROM o WHERE outcome IN ('unknown-type', 'unknown-sleep-stage', 'missing-unit', 'unconvertible-unit')) SELECT name, count(*) AS n, arg_min(day, event_id) AS day FROM z GROUP BY name""")
+@query(f"""WITH {RAW}, z AS (SELECT event_id, CASE WHEN outcome = 'unknown-sleep-stage' THEN 'HKCategoryValueSleepAnalysisWeird'
+  WHEN kind = 'error' THEN 'HKQuantityTypeIdentifierDietaryWater'
+  WHEN kind = 'view' THEN 'HKQuantityTypeIdentifierStepCount' WHEN kind = 'click' THEN 'HKQuantityTypeIdentifierHeartRate'
+  ELSE 'HKQuantityTypeIdentifierBodyMass' END AS name, day
+  FROM o WHERE outcome IN ('unknown-type', 'unknown-sleep-stage', 'missing-unit', 'unconvertible-unit'))
+  SELECT name, count(*) AS n, arg_min(day, event_id) AS day FROM z GROUP BY name""")
 def quarantine_one_per_name(spark: SparkSession, sf: str) -> DataFrame:
     return importer.parse(raw(spark, sf)).frames["quarantine"].select("name", "n", "day")
 
@@ -255,8 +272,10 @@ def quarantine_one_per_name(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {RAW}, f AS (SELECT metric AS kind, day, canonical AS v, source, instant FROM o WHERE outcome = 'folded' AND kind <> 'signup'),
 t AS (SELECT kind, day, coalesce(source, '(unattributed)') AS source, sum(v) AS total FROM f WHERE kind = 'steps' GROUP BY ALL),
 w AS (SELECT kind, day, total, source FROM t QUALIFY row_number() OVER (PARTITION BY kind, day ORDER BY round(total, 6) DESC, source) = 1),
-l AS (SELECT kind, day, date_trunc('second', instant) AS i, min(source) AS source FROM f GROUP BY ALL), s AS (SELECT kind, day, source FROM l QUALIFY row_number() OVER (PARTITION BY kind, day ORDER BY i DESC) = 1)
-SELECT kind, day, round(avg(v), 6) AS value, round(min(v), 6) AS min, round(max(v), 6) AS max, s.source FROM f JOIN s USING (kind, day) WHERE kind <> 'steps' GROUP BY kind, day, s.source
+l AS (SELECT kind, day, date_trunc('second', instant) AS i, min(source) AS source FROM f GROUP BY ALL), s AS (SELECT kind, day, source FROM l
+  QUALIFY row_number() OVER (PARTITION BY kind, day ORDER BY i DESC) = 1)
+SELECT kind, day, round(avg(v), 6) AS value, round(min(v), 6) AS min, round(max(v), 6) AS max, s.source FROM f JOIN s USING (kind, day)
+  WHERE kind <> 'steps' GROUP BY kind, day, s.source
 UNION ALL SELECT kind, day, round(total, 6), NULL, NULL, nullif(source, '(unattributed)') FROM w""")
 def import_rollup(spark: SparkSession, sf: str) -> DataFrame:
     rows = importer.parse(raw(spark, sf)).rows.where(~F.col("kind").isin(*[m[0] for m in V.METRICS if m[2] == V.UNION]))
@@ -272,8 +291,11 @@ def json_field_extract(spark: SparkSession, sf: str) -> DataFrame:
 _NIGHT = {"totalSleep": "sleep-total", "deep": "sleep-deep", "inBed": "time-in-bed"}
 
 
-@query("""WITH n AS (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, CASE WHEN l_returnflag <> 'N' THEN l_tax END AS bed, l_shipdate::DATE AS day FROM lineitem)
-SELECT l_orderkey, l_linenumber, day, kind, hours FROM (SELECT l_orderkey, l_linenumber, day, l_quantity::DOUBLE AS "sleep-total", l_discount::DOUBLE AS "sleep-deep", bed::DOUBLE AS "time-in-bed" FROM n)
+@query("""WITH n AS (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, CASE
+  WHEN l_returnflag <> 'N' THEN l_tax END AS bed, l_shipdate::DATE AS day FROM lineitem)
+SELECT l_orderkey, l_linenumber, day, kind, hours
+  FROM (SELECT l_orderkey, l_linenumber, day, l_quantity::DOUBLE AS "sleep-total", l_discount::DOUBLE AS "sleep-deep", bed::DOUBLE AS "time-in-bed"
+  FROM n)
 UNPIVOT (hours FOR kind IN ("sleep-total", "sleep-deep", "time-in-bed"))""")
 def sleep_stage_unpivot(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as nights of a push, whose stages become rows."""
@@ -284,7 +306,8 @@ def sleep_stage_unpivot(spark: SparkSession, sf: str) -> DataFrame:
     return night_rows(rows).select("l_orderkey", "l_linenumber", "day", "kind", F.col("value").alias("hours"))
 
 
-@query("SELECT vec_id, (i - 1)::INT AS pos, embedding[i]::FLOAT::DOUBLE AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
+@query("""SELECT vec_id, (i - 1)::INT AS pos, embedding[i]::FLOAT::DOUBLE AS x
+  FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""")
 def array_explode_positions(spark: SparkSession, sf: str) -> DataFrame:
     """Embeddings as pushes of one metric each, whose points become rows."""
     e = table(spark, sf, "embeddings")
@@ -297,9 +320,11 @@ def array_explode_positions(spark: SparkSession, sf: str) -> DataFrame:
 # --- state -------------------------------------------------------------------------------------------------------------
 
 CUT = "2024-01-16"
-_HALVES = f"""{READ}, lw AS (SELECT kind, source, (day - INTERVAL 14 DAY)::DATE AS day, value, event_id FROM r WHERE day >= DATE '{CUT}' AND source IS NOT NULL),
+_HALVES = f"""{READ}, lw AS (SELECT kind, source, (day - INTERVAL 14 DAY)::DATE AS day, value, event_id FROM r WHERE day >= DATE '{CUT}'
+  AND source IS NOT NULL),
 old AS (SELECT kind, day, max(value)::DOUBLE AS value, max(source) AS source FROM r WHERE day < DATE '{CUT}' AND kind <> 'error' GROUP BY kind, day),
-new AS (SELECT kind, day, value::DOUBLE AS value, source FROM lw WHERE kind <> 'view' QUALIFY row_number() OVER (PARTITION BY kind, day ORDER BY event_id DESC) = 1)"""
+new AS (SELECT kind, day, value::DOUBLE AS value, source FROM lw WHERE kind <> 'view' QUALIFY row_number() OVER (PARTITION BY kind, day
+  ORDER BY event_id DESC) = 1)"""
 
 
 def _halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -327,7 +352,8 @@ def overlap_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _STALE = f"""{_HALVES}, made AS (SELECT kind, day FROM new WHERE day % 3 <> 0), n2 AS (SELECT * FROM new WHERE dayofmonth(day) % 3 <> 0),
-sp AS (SELECT kind, min(day) AS lo, max(day) AS hi FROM n2 GROUP BY kind), st AS (SELECT old.* FROM old JOIN sp USING (kind) WHERE old.day BETWEEN lo AND hi), stale AS (SELECT * FROM st ANTI JOIN n2 USING (kind, day))""".replace(" made AS (SELECT kind, day FROM new WHERE day % 3 <> 0),", "")
+sp AS (SELECT kind, min(day) AS lo, max(day) AS hi FROM n2 GROUP BY kind), st AS (SELECT old.* FROM old JOIN sp USING (kind) WHERE old.day BETWEEN lo
+  AND hi), stale AS (SELECT * FROM st ANTI JOIN n2 USING (kind, day))""".replace(" made AS (SELECT kind, day FROM new WHERE day % 3 <> 0),", "")
 
 
 def _stale(spark: SparkSession, sf: str) -> DataFrame:
@@ -340,12 +366,14 @@ def stale_rows(spark: SparkSession, sf: str) -> DataFrame:
     return _stale(spark, sf).select("kind", "day", "value", "source")
 
 
-@query(f"WITH {_STALE}, k AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY day) AS n FROM stale) SELECT kind, count(*) AS n_rows, string_agg(CASE WHEN n <= 5 THEN day::VARCHAR END, ',' ORDER BY day) AS first_days FROM k GROUP BY kind")
+@query(f"""WITH {_STALE}, k AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY day) AS n FROM stale)
+  SELECT kind, count(*) AS n_rows, string_agg(CASE WHEN n <= 5 THEN day::VARCHAR END, ',' ORDER BY day) AS first_days FROM k GROUP BY kind""")
 def stale_summary(spark: SparkSession, sf: str) -> DataFrame:
     return R.first_dates(_stale(spark, sf)).select("kind", F.col("rows").alias("n_rows"), F.array_join(F.col("first_days").cast("array<string>"), ",").alias("first_days"))
 
 
-_COMPLAINTS = f"""{READ}, c AS (SELECT kind AS name, day, event_id AS pos, value::VARCHAR AS point, CASE WHEN k % 3 = 0 THEN 'implausible-value' ELSE 'missing-unit' END AS reason, 'm' || (k % 4) AS metric, k % 2 = 0 AS stored FROM r)"""
+_COMPLAINTS = f"""{READ}, c AS (SELECT kind AS name, day, event_id AS pos, value::VARCHAR AS point, CASE WHEN k % 3 = 0 THEN 'implausible-value'
+  ELSE 'missing-unit' END AS reason, 'm' || (k % 4) AS metric, k % 2 = 0 AS stored FROM r)"""
 
 
 def _complaints(spark: SparkSession, sf: str) -> DataFrame:
@@ -359,8 +387,10 @@ def _complaints(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {_COMPLAINTS}, kept AS (SELECT name, day, point, reason FROM c QUALIFY row_number() OVER (PARTITION BY name, day ORDER BY stored, pos) = 1),
-f AS (SELECT name, day, metric, min(pos) AS pos FROM c GROUP BY ALL), ks AS (SELECT name, day, string_agg(metric, ',' ORDER BY pos) AS kinds FROM f GROUP BY name, day), so AS (SELECT name, day, bool_or(stored) AS stored FROM c GROUP BY name, day)
+@query(f"""WITH {_COMPLAINTS}, kept AS (SELECT name, day, point, reason FROM c QUALIFY row_number() OVER (PARTITION BY name, day
+  ORDER BY stored, pos) = 1),
+f AS (SELECT name, day, metric, min(pos) AS pos FROM c GROUP BY ALL), ks AS (SELECT name, day, string_agg(metric, ',' ORDER BY pos) AS kinds FROM f
+  GROUP BY name, day), so AS (SELECT name, day, bool_or(stored) AS stored FROM c GROUP BY name, day)
 SELECT name, day, point, reason, kinds, stored FROM kept JOIN ks USING (name, day) JOIN so USING (name, day)""")
 def complaint_merge(spark: SparkSession, sf: str) -> DataFrame:
     return _complaints(spark, sf).select("name", "day", "point", "reason", F.array_join("kinds", ",").alias("kinds"), "stored")
@@ -379,9 +409,14 @@ def complaint_retire(spark: SparkSession, sf: str) -> DataFrame:
     return left.withColumn("retired", F.lit(False)).unionByName(gone.withColumn("retired", F.lit(True)))
 
 
-@query(f"""WITH {READ}, q AS (SELECT event_id, day, CASE k % 4 WHEN 0 THEN 'HKQuantityTypeIdentifierStepCount' WHEN 1 THEN 'hkother' WHEN 2 THEN 'HKQuantityTypeIdentifierDietaryWater' ELSE 'HKQuantityTypeIdentifierHeartRate' END || CASE WHEN user_id % 2 = 0 THEN '' ELSE 'x' END AS name,
-  CASE WHEN k % 5 = 0 THEN NULL WHEN k % 5 = 1 THEN 'missing-unit' ELSE 'unknown-type' END AS reason FROM r), one AS (SELECT name, day, arg_min(reason, event_id) FILTER (reason IS NOT NULL) AS reason0, (list(reason ORDER BY event_id))[1] AS reason FROM q GROUP BY name, day)
-SELECT name, day FROM one WHERE NOT (name IN ('HKQuantityTypeIdentifierStepCount', 'HKQuantityTypeIdentifierHeartRate') AND (reason IS NULL OR reason = 'unknown-type'))""")
+@query(f"""WITH {READ}, q AS (SELECT event_id, day, CASE k % 4 WHEN 0 THEN 'HKQuantityTypeIdentifierStepCount' WHEN 1 THEN 'hkother'
+  WHEN 2 THEN 'HKQuantityTypeIdentifierDietaryWater' ELSE 'HKQuantityTypeIdentifierHeartRate' END || CASE WHEN user_id % 2 = 0 THEN ''
+  ELSE 'x' END AS name,
+  CASE WHEN k % 5 = 0 THEN NULL WHEN k % 5 = 1 THEN 'missing-unit' ELSE 'unknown-type' END AS reason FROM r),
+  one AS (SELECT name, day, arg_min(reason, event_id) FILTER (reason IS NOT NULL) AS reason0, (list(reason ORDER BY event_id))[1] AS reason FROM q
+  GROUP BY name, day)
+SELECT name, day FROM one WHERE NOT (name IN ('HKQuantityTypeIdentifierStepCount', 'HKQuantityTypeIdentifierHeartRate') AND (reason IS NULL
+  OR reason = 'unknown-type'))""")
 def promoted_name_sweep(spark: SparkSession, sf: str) -> DataFrame:
     r = readings(spark, sf)
     name = F.concat(F.when(F.col("k") % 4 == 0, "HKQuantityTypeIdentifierStepCount").when(F.col("k") % 4 == 1, "hkother").when(F.col("k") % 4 == 2, "HKQuantityTypeIdentifierDietaryWater").otherwise("HKQuantityTypeIdentifierHeartRate"), F.when(F.col("user_id") % 2 == 0, "").otherwise("x"))
@@ -391,14 +426,16 @@ def promoted_name_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return S.swept(q)[0].select("name", "day")
 
 
-@query("SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_returnflag AS outcome, l_quantity FROM lineitem WHERE l_suppkey % 5 <> 0 UNION ALL SELECT l_suppkey, min(l_orderkey), NULL, NULL, 'done', count(*)::DOUBLE FROM lineitem WHERE l_suppkey % 5 = 0 GROUP BY l_suppkey")
+@query("""SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_returnflag AS outcome, l_quantity FROM lineitem WHERE l_suppkey % 5 <> 0 UNION ALL
+  SELECT l_suppkey, min(l_orderkey), NULL, NULL, 'done', count(*)::DOUBLE FROM lineitem WHERE l_suppkey % 5 = 0 GROUP BY l_suppkey""")
 def replace_outcome(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.col("l_returnflag").alias("outcome"), "l_quantity")
     new = li.where("l_suppkey % 5 = 0").groupBy("l_suppkey").agg(F.min("l_orderkey").alias("l_orderkey"), F.lit("done").alias("outcome"), F.count(F.lit(1)).cast("double").alias("l_quantity"))
     return S.replace_rows(li, new, ("l_suppkey",))
 
 
-@query("""SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 3 = 1 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer""")
+@query("""SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment,
+  CASE WHEN c_custkey % 3 = 1 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer""")
 def sparse_update(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
     m = F.col("c_custkey") % 3
@@ -413,11 +450,14 @@ def store_survey(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- diagnostics -------------------------------------------------------------------------------------------------------
 
-_SHIFT = """n AS (SELECT o_orderdate::DATE AS day, sum(CASE WHEN o_orderstatus = 'O' THEN round(o_totalprice) END) AS value FROM orders GROUP BY 1 HAVING value IS NOT NULL),
+_SHIFT = """n AS (SELECT o_orderdate::DATE AS day, sum(CASE WHEN o_orderstatus = 'O' THEN round(o_totalprice) END) AS value FROM orders
+  GROUP BY 1 HAVING value IS NOT NULL),
 s AS (SELECT (o_orderdate + INTERVAL 1 DAY)::DATE AS day, sum(round(o_totalprice)) AS value FROM orders GROUP BY 1),
-j AS (SELECT n.value, b.value AS b, o.value AS o, a.value AS a FROM n JOIN s b ON b.day = n.day - 1 JOIN s o ON o.day = n.day JOIN s a ON a.day = n.day + 1),
+j AS (SELECT n.value, b.value AS b, o.value AS o, a.value AS a FROM n JOIN s b ON b.day = n.day - 1 JOIN s o ON o.day = n.day
+  JOIN s a ON a.day = n.day + 1),
 d AS (SELECT count(*) AS compared_days, avg(abs(value - b)) AS prev_day, avg(abs(value - o)) AS same_day, avg(abs(value - a)) AS next_day,
-  count(CASE WHEN value = b THEN 1 END) AS prev_exact, count(CASE WHEN value = o THEN 1 END) AS same_exact, count(CASE WHEN value = a THEN 1 END) AS next_exact FROM j)"""
+  count(CASE WHEN value = b THEN 1 END) AS prev_exact, count(CASE WHEN value = o THEN 1 END) AS same_exact, count(CASE
+  WHEN value = a THEN 1 END) AS next_exact FROM j)"""
 
 
 def _shift(spark: SparkSession, sf: str) -> DataFrame:
@@ -427,20 +467,24 @@ def _shift(spark: SparkSession, sf: str) -> DataFrame:
     return D.day_shift(new, o.groupBy(F.date_add("day", 1).alias("day")).agg(F.sum("v").alias("value")))
 
 
-@query(f"WITH {_SHIFT} SELECT compared_days, round(prev_day, 3) AS prev_day, round(same_day, 3) AS same_day, round(next_day, 3) AS next_day, prev_exact, same_exact, next_exact FROM d")
+@query(f"""WITH {_SHIFT} SELECT compared_days, round(prev_day, 3) AS prev_day, round(same_day, 3) AS same_day, round(next_day, 3) AS next_day, prev_exact, same_exact, next_exact FROM d""")
 def day_shift_offsets(spark: SparkSession, sf: str) -> DataFrame:
     return _shift(spark, sf).withColumns({c: F.round(c, 3) for c in ("prev_day", "same_day", "next_day")})
 
 
-@query(f"""WITH {_SHIFT}, b AS (SELECT *, CASE WHEN same_day <= prev_day AND same_day <= next_day THEN 0 WHEN prev_day <= next_day THEN -1 ELSE 1 END AS o FROM d),
-v AS (SELECT *, CASE WHEN compared_days = 0 THEN 'no-comparable-rows' WHEN CASE o WHEN 0 THEN same_exact WHEN -1 THEN prev_exact ELSE next_exact END > compared_days * 0.5 THEN 'self-comparison' WHEN compared_days < 14 THEN 'unverified'
-  WHEN o = 0 THEN 'agrees' WHEN least(prev_day, same_day, next_day) < same_day * 0.5 AND same_day - least(prev_day, same_day, next_day) >= 0.25 THEN 'mismatch' ELSE 'agrees' END AS verdict FROM b)
+@query(f"""WITH {_SHIFT}, b AS (SELECT *, CASE WHEN same_day <= prev_day AND same_day <= next_day THEN 0 WHEN prev_day <= next_day THEN -1
+  ELSE 1 END AS o FROM d),
+v AS (SELECT *, CASE WHEN compared_days = 0 THEN 'no-comparable-rows' WHEN CASE o WHEN 0 THEN same_exact WHEN -1 THEN prev_exact
+  ELSE next_exact END > compared_days * 0.5 THEN 'self-comparison' WHEN compared_days < 14 THEN 'unverified'
+  WHEN o = 0 THEN 'agrees' WHEN least(prev_day, same_day, next_day) < same_day * 0.5
+  AND same_day - least(prev_day, same_day, next_day) >= 0.25 THEN 'mismatch' ELSE 'agrees' END AS verdict FROM b)
 SELECT compared_days, verdict, CASE WHEN verdict NOT IN ('no-comparable-rows', 'self-comparison') THEN o END AS best_offset FROM v""")
 def day_shift_verdict(spark: SparkSession, sf: str) -> DataFrame:
     return D.day_shift_verdict(_shift(spark, sf)).select("compared_days", "verdict", "best_offset")
 
 
-@query(f"WITH {READ}, d AS (SELECT kind, day, sum(value)::DOUBLE AS value FROM r GROUP BY kind, day) SELECT a.day, a.value AS systolic, b.value AS diastolic FROM d a JOIN d b ON a.day = b.day AND a.kind = 'click' AND b.kind = 'view'")
+@query(f"""WITH {READ}, d AS (SELECT kind, day, sum(value)::DOUBLE AS value FROM r GROUP BY kind, day)
+  SELECT a.day, a.value AS systolic, b.value AS diastolic FROM d a JOIN d b ON a.day = b.day AND a.kind = 'click' AND b.kind = 'view'""")
 def pair_by_date(spark: SparkSession, sf: str) -> DataFrame:
     d = readings(spark, sf).groupBy("kind", "day").agg(F.sum("value").cast("double").alias("value"))
     one = lambda k, n: d.where(F.col("kind") == k).select("day", F.col("value").alias(n))
@@ -450,7 +494,9 @@ def pair_by_date(spark: SparkSession, sf: str) -> DataFrame:
 # --- registry ----------------------------------------------------------------------------------------------------------
 
 LANGS = ("de", "en", "es", "fr", "it")
-_CLAIMS = """c AS (SELECT d.doc_id AS id, lang AS category, CASE quality WHEN 1 THEN 'verified' WHEN 0 THEN 'recalled' ELSE 'unknown' END AS confidence, CASE WHEN source <> 'src0' THEN source END AS subject, n_chars FROM documents d LEFT JOIN labels l USING (doc_id))"""
+_CLAIMS = """c AS (SELECT d.doc_id AS id, lang AS category, CASE quality WHEN 1 THEN 'verified' WHEN 0 THEN 'recalled'
+  ELSE 'unknown' END AS confidence, CASE WHEN source <> 'src0' THEN source END AS subject, n_chars FROM documents d LEFT
+  JOIN labels l USING (doc_id))"""
 
 
 def _claims(spark: SparkSession, sf: str) -> DataFrame:
@@ -472,7 +518,9 @@ def coverage_totals(spark: SparkSession, sf: str) -> DataFrame:
     return G.coverage_totals(G.coverage(_claims(spark, sf), LANGS))
 
 
-@query(f"WITH {_CLAIMS} SELECT 'own' AS scope, id, category, confidence FROM c WHERE subject IS NULL UNION ALL SELECT 'src1', id, category, confidence FROM c WHERE subject = 'src1' AND confidence = 'verified' UNION ALL SELECT 'any', id, category, confidence FROM c WHERE category = 'de'")
+@query(f"""WITH {_CLAIMS} SELECT 'own' AS scope, id, category, confidence FROM c WHERE subject IS NULL UNION ALL
+  SELECT 'src1', id, category, confidence FROM c WHERE subject = 'src1' AND confidence = 'verified' UNION ALL SELECT 'any', id, category, confidence
+  FROM c WHERE category = 'de'""")
 def claims_filter_tristate(spark: SparkSession, sf: str) -> DataFrame:
     c = _claims(spark, sf)
     parts = {"own": S.filtered(c, subject=None), "src1": S.filtered(c, subject="src1", confidence="verified"), "any": S.filtered(c, subject=..., category="de")}
@@ -483,7 +531,8 @@ def claims_filter_tristate(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@query("SELECT conv_id AS id, count(*) AS n, string_agg(role || ':' || turn, ',' ORDER BY turn, role) AS responses FROM conversations WHERE conv_id = (SELECT max(conv_id) FROM conversations WHERE turn = 1) GROUP BY conv_id")
+@query("""SELECT conv_id AS id, count(*) AS n, string_agg(role || ':' || turn, ',' ORDER BY turn, role) AS responses FROM conversations
+  WHERE conv_id = (SELECT max(conv_id) FROM conversations WHERE turn = 1) GROUP BY conv_id""")
 def latest_parent_with_children(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
     parent = latest(c.where("turn = 1").select(F.col("conv_id").alias("id")).distinct(), "id")
@@ -491,14 +540,17 @@ def latest_parent_with_children(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("id", F.size("responses").cast("long").alias("n"), F.array_join(F.transform("responses", lambda x: F.concat(x["role"], F.lit(":"), x["turn"])), ",").alias("responses"))
 
 
-@query("WITH p AS (SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) SELECT o.o_orderkey, l.l_linenumber, l.l_partkey, CASE WHEN l.l_returnflag <> 'N' THEN l.l_returnflag END AS outcome FROM p o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey")
+@query("""WITH p AS (SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1)
+  SELECT o.o_orderkey, l.l_linenumber, l.l_partkey, CASE WHEN l.l_returnflag <> 'N' THEN l.l_returnflag END AS outcome FROM p o LEFT
+  JOIN lineitem l ON l.l_orderkey = o.o_orderkey""")
 def plan_items_left_outcome(spark: SparkSession, sf: str) -> DataFrame:
     plan = latest(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey").select("o_orderkey")
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("outcome"))
     return plan.join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
 
 
-@query("SELECT r_regionkey AS id, r_name AS name, coalesce((SELECT string_agg(n_name, ',' ORDER BY n_nationkey) FROM nation WHERE n_regionkey = r_regionkey), '') AS tags FROM region")
+@query("""SELECT r_regionkey AS id, r_name AS name, coalesce((SELECT string_agg(n_name, ',' ORDER BY n_nationkey) FROM nation
+  WHERE n_regionkey = r_regionkey), '') AS tags FROM region""")
 def parent_tags_nested(spark: SparkSession, sf: str) -> DataFrame:
     parents = table(spark, sf, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
     got = G.children(parents, table(spark, sf, "nation"), "n_regionkey", "tags", order="n_nationkey")
@@ -547,9 +599,12 @@ def checkin_days_since(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {_CLAIMS}, ck AS (SELECT max(conv_id) AS id FROM conversations WHERE turn = 1)
-SELECT 'last_checkin' AS section, 1::BIGINT AS n, id::VARCHAR AS first_id FROM ck UNION ALL SELECT 'responses', count(*), min(turn)::VARCHAR FROM conversations WHERE conv_id = (SELECT id FROM ck)
-UNION ALL SELECT 'unknowns', count(*), max(id)::VARCHAR FROM c WHERE confidence = 'unknown' UNION ALL SELECT 'pending', count(*), arg_min(o_orderkey, (o_orderdate, o_orderkey))::VARCHAR FROM orders WHERE o_orderstatus = 'P'
-UNION ALL SELECT 'concerns', count(*), min(r_regionkey)::VARCHAR FROM region UNION ALL SELECT 'plan', 1, (SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1)::VARCHAR""")
+SELECT 'last_checkin' AS section, 1::BIGINT AS n, id::VARCHAR AS first_id FROM ck UNION ALL SELECT 'responses', count(*), min(turn)::VARCHAR
+  FROM conversations WHERE conv_id = (SELECT id FROM ck)
+UNION ALL SELECT 'unknowns', count(*), max(id)::VARCHAR FROM c WHERE confidence = 'unknown' UNION ALL
+  SELECT 'pending', count(*), arg_min(o_orderkey, (o_orderdate, o_orderkey))::VARCHAR FROM orders WHERE o_orderstatus = 'P'
+UNION ALL SELECT 'concerns', count(*), min(r_regionkey)::VARCHAR FROM region UNION ALL SELECT 'plan', 1, (SELECT o_orderkey FROM orders
+  ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1)::VARCHAR""")
 def briefing_flat(spark: SparkSession, sf: str) -> DataFrame:
     """A registry of conversations (check-ins), orders (plans, observations), regions (concerns) and claims, briefed; its sections counted."""
     t = {n: G.empty(spark, n) for n in G.SCHEMAS}
@@ -592,7 +647,8 @@ def xml_roundtrip_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 _PUSHED = f"""WITH {READ}, p AS (SELECT *, ntile(3) OVER (ORDER BY event_id) AS batch FROM r WHERE kind IN ('view', 'click')),
 s AS (SELECT kind, day, value::DOUBLE AS value, source, event_id, k FROM p WHERE NOT (kind = 'click' AND (value <= 0 OR value > 300)) AND k % 5 <> 0)
-SELECT CASE kind WHEN 'view' THEN 'steps' ELSE 'heart-rate' END AS kind, day, value, source FROM s QUALIFY row_number() OVER (PARTITION BY kind, day ORDER BY event_id DESC) = 1"""
+SELECT CASE kind WHEN 'view' THEN 'steps' ELSE 'heart-rate' END AS kind, day, value, source FROM s QUALIFY row_number() OVER (PARTITION BY kind, day
+  ORDER BY event_id DESC) = 1"""
 
 
 PUSHED = 4096
@@ -613,6 +669,67 @@ def payloads(spark: SparkSession, sf: str) -> DataFrame:
     return days.select("batch", body.alias("value"))
 
 
+#: Nights, bounds and unknown names of a push: signups are nights whose stages are wrong for every fifth user, errors are a
+#: name that no kind has, purchases carry bounds of which the lower one is out of range for every fourth k.
+_FATES = f"""WITH {READ}, s AS (SELECT event_id, day, kind, k, value::DOUBLE AS v, user_id FROM r WHERE kind IN ('signup', 'error', 'purchase')),
+n AS (SELECT day, 'sleep_analysis' AS name, st.kind AS kind, CASE WHEN user_id % 5 = 0 THEN st.h * 1000 ELSE st.h END AS h, st.cap, event_id
+  FROM s, unnest([{{'kind': 'sleep-total', 'h': 7.5, 'cap': 25.0}}, {{'kind': 'time-in-bed', 'h': 8.25, 'cap': 48.0}}]) u(st)
+  WHERE s.kind = 'signup'),
+w AS (SELECT day, 'weight_body_mass' AS name, 'weight' AS kind, v, k % 4 = 0 AS low_out, event_id FROM s WHERE kind = 'purchase' AND v > 0
+  AND v <= 1500)"""
+
+
+def fate_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """One push for each signup, error and purchase: its batch is its id."""
+    r = readings(spark, sf).where("kind in ('signup', 'error', 'purchase')")
+    stamp = F.concat(F.date_format("local", "yyyy-MM-dd HH:mm:ss"), F.lit(" -0700"))
+    v, factor = F.col("value").cast("double"), F.when(F.col("user_id") % 5 == 0, 1000.0).otherwise(1.0)
+    night = F.struct(stamp.alias("date"), (factor * 7.5).alias("totalSleep"), (factor * 8.25).alias("inBed"))
+    weight = F.struct(stamp.alias("date"), v.alias("Avg"), F.when(F.col("k") % 4 == 0, -1.0).otherwise(v).alias("Min"), v.alias("Max"))
+    other = F.struct(stamp.alias("date"), v.alias("qty"))
+    kind = F.col("kind")
+    point = F.when(kind == "signup", F.to_json(night)).when(kind == "purchase", F.to_json(weight)).otherwise(F.to_json(other))
+    name = F.when(kind == "signup", V.SLEEP_PUSH).when(kind == "purchase", "weight_body_mass").otherwise("a_new_thing")
+    units = F.when(kind == "signup", "hr").when(kind == "purchase", "lb").otherwise("x")
+    text = F.concat(F.lit('{"data":{"metrics":[{"name":"'), name, F.lit('","units":"'), units, F.lit('","data":['), point, F.lit("]}]}}"))
+    return r.select("event_id", text.alias("value"))
+
+
+@query(f"""{_FATES}, st AS (SELECT kind, day, h AS value, NULL::DOUBLE AS min, NULL::DOUBLE AS max, event_id FROM n WHERE h <= cap
+  UNION ALL SELECT kind, day, v, CASE WHEN NOT low_out THEN v END, v, event_id FROM w)
+SELECT kind, day, value, min, max FROM st QUALIFY row_number() OVER (PARTITION BY kind, day ORDER BY event_id DESC) = 1""")
+def push_nights_and_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    r = push.route(fate_payloads(spark, sf), "value", "event_id")
+    return S.last_write(r.stored, ("kind", "day"), "pos").select("kind", "day", "value", "min", "max")
+
+
+@query(f"""{_FATES}, c AS (SELECT name, day, kind, FALSE AS stored, 'implausible-value' AS reason, event_id, kind = 'time-in-bed' AS later FROM n
+  WHERE h > cap
+  UNION ALL SELECT name, day, kind, TRUE, 'implausible-value', event_id, FALSE FROM w WHERE low_out UNION ALL
+  SELECT 'a_new_thing', day, NULL, FALSE, 'unknown-type', event_id, FALSE FROM s WHERE kind = 'error')
+SELECT name, day, arg_min(reason, (stored, event_id, later)) AS reason, bool_or(stored) AS stored,
+  CASE WHEN name = 'sleep_analysis' THEN 'sleep-total,time-in-bed' WHEN name = 'weight_body_mass' THEN 'weight' ELSE '' END AS kinds FROM c
+  GROUP BY name, day""")
+def push_complaints(spark: SparkSession, sf: str) -> DataFrame:
+    c = push.route(fate_payloads(spark, sf), "value", "event_id").complaints
+    return c.select("name", "day", "reason", "stored", F.array_join("kinds", ",").alias("kinds"))
+
+
+@query(f"""WITH {_HALVES}, n2 AS (SELECT * FROM new WHERE dayofmonth(day) % 3 <> 0), sp AS (SELECT kind, min(day) AS lo, max(day) AS hi FROM n2
+  GROUP BY kind),
+m AS (SELECT kind, day, value, source FROM n2 UNION ALL SELECT kind, day, value, source FROM old ANTI JOIN n2 USING (kind, day))
+SELECT 'whole' AS document, m.* FROM m LEFT JOIN sp USING (kind) WHERE NOT (sp.lo IS NOT NULL AND m.day BETWEEN lo AND hi AND NOT EXISTS (SELECT 1
+  FROM n2 WHERE n2.kind = m.kind AND n2.day = m.day))
+UNION ALL SELECT 'cut', m.* FROM m""")
+def guarded_range_replace(spark: SparkSession, sf: str) -> DataFrame:
+    """Stale rows go where the document was whole; a document that was cut off deletes nothing."""
+    old, new = _halves(spark, sf)
+    new = new.where(F.dayofmonth("day") % 3 != 0)
+    merged = S.upsert(old, new, ("kind", "day"))
+    whole, cut = (S.replace_range(merged, new, True, closed)[0] for closed in (True, False))
+    return whole.select(F.lit("whole").alias("document"), "kind", "day", "value", "source").unionByName(cut.select(F.lit("cut").alias("document"), "kind", "day", "value", "source"))
+
+
 @query(_PUSHED)
 def push_final_state(spark: SparkSession, sf: str) -> DataFrame:
     r = push.route(payloads(spark, sf), "value", "batch")
