@@ -25,6 +25,8 @@ WIDTH = 6
 HIDDEN, ATTENTION, INPUTS = 8, 6, 2 * WIDTH + 1
 TABLE_BITS = 16
 GRAMS = (3, 4, 5)
+#: Share of a batch's words that do without their own row while training.
+DROPPED = 0.8
 #: What the squares of a number's slopes start from: entries that few texts have move little.
 START = 1e-6
 #: Bytes of text worked on at once where the driver fits the model.
@@ -233,7 +235,7 @@ class Model:
         return 1 / (1 + np.exp(-np.concatenate(out).astype(np.float64))), np.concatenate(count)
 
     @classmethod
-    def fit(cls, texts: pa.Array, toxic: np.ndarray, rounds: int = 4, steps: int = 80, batch: int = 256, rate: float = 0.02, table_rate: float = 0.05, seed: int = 7) -> Model:
+    def fit(cls, texts: pa.Array, toxic: np.ndarray, rounds: int = 3, steps: int = 80, batch: int = 256, rate: float = 0.02, table_rate: float = 0.1, seed: int = 7) -> Model:
         """In the first round any window stands for its text, in each later one the window that then scores worst."""
         model, rng = cls(Tables(), Network(seed)), np.random.default_rng(seed)
         if not (toxic == 0).any() or not (toxic == 1).any():  # nothing to tell apart
@@ -261,10 +263,15 @@ class Model:
                 known, at = np.unique(ids, return_inverse=True)
                 none = int(known[0] < 0)
                 here = words.take(known[none:])
-                x = np.concatenate([np.zeros((none, INPUTS), np.float32), model.tables.inputs(here)])[at.reshape(ids.shape)]
+                # a word that is not met in training has its n-grams alone; so have some of these
+                kept = (rng.random(len(here.word)) >= DROPPED)[:, None]
+                vectors = model.tables.inputs(here)
+                vectors[:, :WIDTH] *= kept
+                x = np.concatenate([np.zeros((none, INPUTS), np.float32), vectors])[at.reshape(ids.shape)]
                 g = model.network.gradients(x, toxic[rows].astype(np.float32))
                 slope = g.pop("x").reshape(-1, INPUTS)
                 slope = np.stack([np.bincount(at.ravel(), slope[:, k], len(known)) for k in range(INPUTS)], axis=1)[none:]
+                slope[:, :WIDTH] *= kept
                 t += 1
                 for n, v in g.items():
                     m1[n] = 0.9 * m1.get(n, 0) + 0.1 * v
