@@ -142,19 +142,13 @@ class PrefixCounter:
         return found
 
     def trim(self) -> None:
-        """Empty memo tables that have grown beyond their limit."""
+        """Empty memo tables that have grown beyond their limit. What is within it serves a worker's next task too."""
         if len(self._counts) > MEMO_LIMIT:
             self._counts.clear()
             self._counts.update(dict.fromkeys(self.added, 1))
         if sum(map(len, self._prefixes.values())) > MEMO_LIMIT:
             self._prefixes.clear()
 
-    def forget(self) -> None:
-        """Empty the memo tables: a worker that is kept for other stages does not hold them."""
-        self._counts = dict.fromkeys(self.added, 1)
-        self._prefixes.clear()
-        self._apart.clear()
-
     def count(self, text: str) -> int:
         return sum(self.counts(self.pretokens(text)))
 
@@ -273,7 +267,6 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int, id_col: str = "do
                 cols += [pa.array(chars, pa.list_(pa.int64())), pa.array(tokens, pa.list_(pa.int64()))]
                 names += ["prefix_chars", "prefix_tokens"]
             yield pa.RecordBatch.from_arrays(cols, names)
-        c.forget()
 
     return docs.select(docs[id_col], docs[text_col]).mapInArrow(count, f"{id_col} {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long{extra}")
 
@@ -288,6 +281,5 @@ def truncate_tokens(docs: DataFrame, vocabulary: str, budget: int, id_col: str =
             texts = [None if t is None else c.index(t).truncate(budget) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], [id_col, text_col])
             c.trim()
-        c.forget()
 
     return docs.select(docs[id_col], docs[text_col]).mapInArrow(cut, f"{id_col} {kind}, {text_col} string")

@@ -79,8 +79,8 @@ def test_memo_tables_stay_bounded_over_many_small_batches(monkeypatch):
         batch = pa.array([" ".join("".join(r.choice("abcdeé") for _ in range(7)) for _ in range(40)) for _ in range(10)])
         assert sum(1 for _ in token_counts.with_pretokens(counter, batch)) == sum(1 for _ in pieces.with_cuts(coder, batch)) == 10
         assert len(counter._counts) <= 501 and len(coder._known) <= 500
-    counter.forget(), coder.forget()
-    assert len(counter._counts) == 1 and not coder._known and not coder._apart
+    coder.forget()
+    assert not coder._known and not coder._apart
 
 
 def test_other_kinds_of_vocabularies_are_refused(tmp_path):
