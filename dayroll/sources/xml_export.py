@@ -14,7 +14,7 @@ TAIL = 4096
 
 def read_records(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """type, unit, value, start, end, source and pos (file, offset of the split, row), by which records are in file order.
-    Malformed records raise; a file that only ends too soon does not, see is_closed()."""
+    Malformed records raise, see malformed_records(); a file that only ends too soon does not, see is_closed()."""
     reader = spark.readStream if streaming else spark.read
     raw = reader.format("xml").option("rowTag", "Record").option("mode", "FAILFAST").schema(SCHEMA).load(path)
     cols = [F.col(f"_{a}").alias(n) for a, n in FIELDS.items()]
@@ -23,6 +23,14 @@ def read_records(spark: SparkSession, path: str, streaming: bool = False) -> Dat
     return raw.select(*cols, F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row")).alias("pos"))
 
 
+def malformed_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, block_start (the first byte of the split in which it stands) and record (its text) of what read_records() raises on."""
+    schema = T.StructType([*SCHEMA, T.StructField("_bad", T.StringType())])
+    raw = spark.read.format("xml").option("rowTag", "Record").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(schema).load(path)
+    found = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_start"), F.col("_bad").alias("record"), *[f"_{a}" for a in FIELDS])
+    return found.where("record is not null").select("file", "block_start", "record")
+
+
 def record_json() -> F.Column:
     """A record's attributes as JSON, those that are there."""
     return F.to_json(F.struct(*[F.col(n).alias(a) for a, n in FIELDS.items()]))

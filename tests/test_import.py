@@ -13,7 +13,7 @@ from dayroll.operators import diagnostics, intervals, rollup, state
 from dayroll.operators.classify import bounded, converted, refusal
 from dayroll.plans import importer, report
 from dayroll.sources.store import Store
-from dayroll.sources.xml_export import is_closed
+from dayroll.sources.xml_export import is_closed, malformed_records
 
 Q, S, ST = V.EXPORT_PREFIX, V.SLEEP_EXPORT, V.STAGE_PREFIX
 DAY = dt.date
@@ -220,3 +220,9 @@ def test_exports_as_devices_write_them(spark, tmp_path):
     got = importer.parse_export(spark, str(tmp_path / "e.xml"))
     rows = {r.day.day: (r.kind, r.value, r.source) for r in got.rows.collect()}
     assert got.closed and rows == {1: ("steps", 12.0, "A & B's \"Watch\""), 2: ("steps", 30.0, "x > y")}
+
+
+def test_malformed_records_are_told_with_their_place(spark, tmp_path):
+    (tmp_path / "m.xml").write_text(f"<HealthData>\n<Record type='{Q}StepCount' value='1'/>\n<Record type='a' unclosed=></Record>\n</HealthData>")
+    got = malformed_records(spark, str(tmp_path / "m.xml")).collect()
+    assert len(got) == 1 and got[0].file.endswith("m.xml") and got[0].block_start == 0 and "unclosed=" in got[0].record
