@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -14,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from dayroll.llm import pieces, quality, token_counts, toxicity
+from dayroll.llm import bpe, pieces, quality, token_counts, toxicity
 from dayroll.llm.bytewords import Block, blocks, mix
 from dayroll.llm.common import labelled_rows
 
@@ -122,6 +123,17 @@ def test_encoding_and_decoding_agree_with_the_library(text):
     assert own.encode(text) == ids and own.decode(ids) == lib.decode(ids)
 
 
+def test_long_merges_are_those_of_short_ones(monkeypatch):
+    r = random.Random(6)
+    merger = pieces.coder(PIECES).merger
+    texts = ["".join(r.choice("aehinst▁") for _ in range(r.randrange(2, 60))) for _ in range(400)] + ["a" * 50, "na" * 30]
+    short = [merger.merge(t) for t in texts]
+    monkeypatch.setattr(bpe, "SHORT", 1)
+    assert [merger.merge(t) for t in texts] == short
+    began = time.time()
+    assert "".join(merger.merge("banana" * 50_000)) == "banana" * 50_000 and time.time() - began < 30
+
+
 def test_any_ids_decode_as_in_the_library():
     lib, own, r = sentencepiece.SentencePieceProcessor(model_file=PIECES), pieces.coder(PIECES), random.Random(3)
     for _ in range(2000):
