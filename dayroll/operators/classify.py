@@ -15,13 +15,14 @@ def classified(rows: DataFrame, producer: str, name: str = "name") -> DataFrame:
     return rows.join(F.broadcast(known), rows[name] == F.col("_name"), "left").withColumn("class", F.coalesce("class", F.lit("unknown"))).drop("_name")
 
 
-def converted(rows: DataFrame, producer: str, value: str = "value", unit: str = "unit", kind: str = "kind", out: str = "canonical") -> DataFrame:
-    """rows with the value in the kind's canonical unit; null if the unit is unknown or of another dimension."""
+def converted(rows: DataFrame, producer: str, value: str = "value", unit: str = "unit", kind: str = "kind", out: str = "canonical", more: dict[str, str] | None = None) -> DataFrame:
+    """rows with the value in the kind's canonical unit; null if the unit is unknown or of another dimension. more: further
+    values in the same unit, and the columns for them."""
     c = V.conversions(rows.sparkSession, producer).withColumnsRenamed({"kind": "_kind", "from_si": "_from", "to_si": "_to", "scale": "_scale"})
     joined = rows.join(F.broadcast(c), (folded_unit(rows[unit]) == F.col("spelling")) & (rows[kind] == F.col("_kind")), "left")
     same = (F.col("_from") == F.col("_to")) & (F.col("_from") == 1.0)
-    v = rows[value]
-    return joined.withColumn(out, F.when(same, v * F.col("_scale")).otherwise(v * F.col("_from") / F.col("_to"))).drop("spelling", "_kind", "_from", "_to", "_scale")
+    new = {o: F.when(same, rows[v] * F.col("_scale")).otherwise(rows[v] * F.col("_from") / F.col("_to")) for v, o in ({value: out} | (more or {})).items()}
+    return joined.withColumns(new).drop("spelling", "_kind", "_from", "_to", "_scale")
 
 
 def bounded(rows: DataFrame, kind: str = "kind", dims: DataFrame | None = None) -> DataFrame:

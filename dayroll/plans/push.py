@@ -11,7 +11,7 @@ from .. import vocab as V
 from ..functions.scalars import finite, looks_like_fraction
 from ..operators.classify import bounded, classified, converted, refusal
 from ..operators.state import last_write, merged_complaints, retired, stamped, upsert
-from ..sources.push import night_rows, points, shaped
+from ..sources.push import measured, points, shaped
 from ..sources.store import ConflictError, Store
 
 
@@ -29,25 +29,22 @@ class Routed:
     points: DataFrame
 
 
-def _judged(rows: DataFrame, column: str) -> DataFrame:
-    """rows with <column>_ok in the canonical unit and <column>_no, the reason against it."""
-    r = bounded(converted(rows, "push", column, "units", "kind", "_c"))
-    v = F.col(column)
-    no = F.when(v.isNull(), None).when(F.col("units").isNull(), V.MISSING_UNIT).when(~finite(v), V.NON_FINITE).when(F.col("_c").isNull(), V.UNCONVERTIBLE).otherwise(refusal("_c"))
-    return r.withColumn(f"{column}_no", no).withColumn(f"{column}_ok", F.when(no.isNull(), F.col("_c"))).drop("_c", "_low", "_open", "_high")
+def _judged(rows: DataFrame) -> DataFrame:
+    """rows with value_ok, min_ok and max_ok in the canonical unit, and value_no, min_no and max_no, the reasons against them."""
+    names = ("value", "min", "max")
+    r = bounded(converted(rows, "push", "value", "units", "kind", "_value", {c: f"_{c}" for c in names[1:]}))
+    new = {}
+    for c in names:
+        v, own = F.col(c), F.col(f"_{c}")
+        new[f"{c}_no"] = F.when(v.isNull(), None).when(F.col("units").isNull(), V.MISSING_UNIT).when(~finite(v), V.NON_FINITE).when(own.isNull(), V.UNCONVERTIBLE).otherwise(refusal(own))
+    return r.withColumns(new).withColumns({f"{c}_ok": F.when(F.col(f"{c}_no").isNull(), F.col(f"_{c}")) for c in names}).drop("_value", "_min", "_max", "_low", "_open", "_high")
 
 
 def route(payloads: DataFrame, body: str = "value", batch: str | None = None) -> Routed:
     """Payload order decides: a later metric, then a later point, wins among those that store."""
     p = classified(points(payloads, body, batch), "push")
     dated = p.where("day is not null")
-    scalar = shaped(dated.where("class = 'curated'")).withColumn("stage_pos", F.lit(0))
-    nights = night_rows(dated.where("class = 'sleep'").drop("kind"))
-    none = F.lit(None).cast("double")
-    cols = ["pos", "stage_pos", "name", "units", "point", "day", "source", "kind", "value", "min", "max"]
-    rows = scalar.where("value is not null").select(*cols).unionByName(nights.withColumns({"min": none, "max": none}).select(*cols))
-    for c in ("value", "min", "max"):
-        rows = _judged(rows, c)
+    rows = _judged(measured(dated.where("class in ('curated', 'sleep')")).select("pos", "stage_pos", "name", "units", "point", "day", "source", "kind", "value", "min", "max"))
     bound_no = F.coalesce("min_no", "max_no")
     rows = rows.withColumns({"pos": F.struct("pos", "stage_pos"), "bound_no": F.when(F.col("value_no").isNull(), bound_no)})
     unknown = dated.where("class = 'unknown'").select(F.struct("pos", F.lit(0).alias("stage_pos")).alias("pos"), "name", "units", "point", "day", F.lit(None).cast("string").alias("kind"), F.lit(V.UNKNOWN_TYPE).alias("reason"), F.lit(False).alias("stored"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as V
@@ -30,7 +30,23 @@ def shaped(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"value": F.coalesce(qty, avg), "min": bound("Min"), "max": bound("Max")})
 
 
+def stages(v: Column) -> Column:
+    """An array of the stages that a night has hours for: stage_pos, kind, value."""
+    each = [F.struct(F.lit(i).alias("stage_pos"), F.lit(k).alias("kind"), json_number(v, f).alias("value")) for i, (f, k) in enumerate(V.NIGHT_FIELDS)]
+    return F.filter(F.array(*each), lambda s: s["value"].isNotNull())
+
+
 def night_rows(rows: DataFrame) -> DataFrame:
     """One row for each stage that a night has hours for: stage_pos, kind, value."""
-    stages = F.array(*[F.struct(F.lit(i).alias("stage_pos"), F.lit(k).alias("kind"), json_number(F.col("v"), f).alias("value")) for i, (f, k) in enumerate(V.NIGHT_FIELDS)])
-    return rows.withColumn("_s", F.explode(F.filter(stages, lambda s: s["value"].isNotNull()))).select("*", "_s.stage_pos", "_s.kind", "_s.value").drop("_s")
+    return rows.withColumn("_s", F.explode(stages(F.col("v")))).select("*", "_s.*").drop("_s")
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """One row for each value of a point: stage_pos, kind, value, min, max. A night (class sleep) has one for each of its
+    stages, without bounds, any other point one if it has a value."""
+    q = shaped(rows)
+    whole = F.struct(F.lit(0).alias("stage_pos"), "kind", "value", "min", "max")
+    none = F.lit(None).cast("double")
+    night = F.transform(stages(F.col("v")), lambda s: F.struct(s["stage_pos"].alias("stage_pos"), s["kind"].alias("kind"), s["value"].alias("value"), none.alias("min"), none.alias("max")))
+    own = F.when(F.col("class") == "sleep", night).when(F.col("value").isNotNull(), F.array(whole))
+    return q.withColumn("_s", F.explode(own)).drop("kind", "value", "min", "max").select("*", "_s.*").drop("_s")
