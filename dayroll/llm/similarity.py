@@ -27,8 +27,8 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 4, 5
 #: A shingle counted in at least 1/HEAVY of all documents is known beforehand: at most HEAVY x (mean set size) of them, whatever the input.
 HEAVY = 128
-#: Blocks of fewer texts than FEW (long ones) count common shingles together, in a summary of so many keys for each text's worth of 1/HEAVY.
-FEW = 32
+#: Blocks of fewer texts than FEW (long ones) count common shingles together, in a summary of SUMMARY keys at most.
+FEW, SUMMARY = 32, 1_000_000
 #: Keys that meet in a bucket at most, values that meet where links are counted, and nodes there (means).
 BUCKET_KEYS, MEET_VALUES, MEET_NODES = 2_000_000, 250_000, 2000
 #: Hubs of a shingle that its nodes are joined with first.
@@ -102,7 +102,7 @@ def sets(docs: DataFrame) -> DataFrame:
                 keys, count = np.unique(s.hash >> np.uint64(16), return_counts=True)
                 if j - i < FEW:
                     texts, keys_seen = texts + j - i, keys_seen + len(s.hash)
-                    common.add(keys, count, max(1000, 2 * HEAVY * keys_seen // texts))
+                    common.add(keys, count, min(SUMMARY, max(1000, 2 * HEAVY * keys_seen // texts)))
                     continue
                 many = count >= max(2, (j - i) / (2 * HEAVY))
                 if many.any():
