@@ -25,6 +25,8 @@ WIDTH = 6
 HIDDEN, ATTENTION, INPUTS = 8, 6, 2 * WIDTH + 1
 TABLE_BITS = 16
 GRAMS = (3, 4, 5)
+#: Words whose n-grams are looked up at once.
+WORDS = 8192
 #: Share of a batch's words that do without their own row while training.
 DROPPED = 0.8
 #: What the squares of a number's slopes start from: entries that few texts have move little.
@@ -75,8 +77,10 @@ class Vocabulary:
         starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(first)))])
         return cls((mix(hashes) >> shift).astype(np.int32), np.concatenate(buckets)[order], starts), which, text
 
-    def join(self, other: Vocabulary) -> Vocabulary:
-        return Vocabulary(np.concatenate([self.word, other.word]), np.concatenate([self.gram, other.gram]), np.concatenate([self.starts, other.starts[1:] + self.starts[-1]]))
+    @classmethod
+    def joined(cls, parts: list[Vocabulary]) -> Vocabulary:
+        length = np.concatenate([np.diff(p.starts) for p in parts])
+        return cls(np.concatenate([p.word for p in parts]), np.concatenate([p.gram for p in parts]), np.concatenate([[0], np.cumsum(length)]))
 
     def take(self, ids: np.ndarray) -> Vocabulary:
         length = np.diff(self.starts)[ids]
@@ -95,9 +99,11 @@ class Tables:
     def inputs(self, words: Vocabulary) -> np.ndarray:
         """An input vector for each word. Every word has an n-gram: with its edges it is three bytes long at least."""
         out = np.ones((len(words.word), INPUTS), np.float32)
-        if len(words.word):
-            out[:, :WIDTH] = self.word[words.word]
-            out[:, WIDTH : 2 * WIDTH] = np.add.reduceat(self.gram[words.gram], words.starts[:-1], axis=0) / np.sqrt(np.diff(words.starts)[:, None])
+        out[:, :WIDTH] = self.word[words.word]
+        for i in range(0, len(out), WORDS):
+            at = words.starts[i : i + WORDS + 1]
+            rows = self.gram[words.gram[at[0] : at[-1]]]
+            out[i : i + WORDS, WIDTH : 2 * WIDTH] = np.add.reduceat(rows, at[:-1] - at[0], axis=0) / np.sqrt(np.diff(at)[:, None])
         return out
 
     def learn(self, words: Vocabulary, slope: np.ndarray, rate: float) -> None:
@@ -242,14 +248,16 @@ class Model:
             model.network.p["c"] *= 0
             model.network.p["d"][:] = np.log((np.sum(toxic == 1) + 0.5) / (np.sum(toxic == 0) + 0.5))
             return model
-        words, strides, begins, firsts = Vocabulary(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1, np.int64)), [], [], []
+        parts, strides, begins, firsts, n = [], [], [], [], 0
         for _, _, block in blocks(texts, LESS):
             own, ids, begin, first = cls.windows(block)
             begins.append(begin + sum(map(len, strides)))
             firsts.append(first + sum(map(len, begins[:-1])))
-            strides.append(np.where(ids < 0, -1, ids + len(words.word)))
-            words = words.join(own)
-        strides, begin, first = np.concatenate(strides), np.concatenate(begins), np.concatenate(firsts)
+            strides.append(np.where(ids < 0, -1, ids + n).astype(np.int32))
+            parts.append(own)
+            n += len(own.word)
+        words, strides, begin, first = Vocabulary.joined(parts), np.concatenate(strides), np.concatenate(begins), np.concatenate(firsts)
+        del parts
         ends = np.append(first[1:], len(begin))
         groups = [np.flatnonzero(toxic == y) for y in (0, 1)]
         m1, m2, t = {}, {}, 0
