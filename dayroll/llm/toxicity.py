@@ -25,8 +25,8 @@ WIDTH = 6
 HIDDEN, ATTENTION, INPUTS = 8, 6, 2 * WIDTH + 1
 TABLE_BITS = 16
 GRAMS = (3, 4, 5)
-#: Words whose n-grams are looked up at once.
-WORDS = 8192
+#: Words whose n-grams are looked up at once, and windows that are scored at once.
+WORDS, TOGETHER = 8192, 2048
 #: Share of a batch's words that do without their own row while training.
 DROPPED = 0.8
 #: What the squares of a number's slopes start from: entries that few texts have move little.
@@ -45,12 +45,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Distinct words: the bucket of each, and the buckets of its n-grams (gram[starts[i] : starts[i + 1]])."""
 
-    def __init__(self, word: np.ndarray, gram: np.ndarray, starts: np.ndarray):
-        self.word, self.gram, self.starts = word, gram, starts
+    def __init__(self, word: np.ndarray, gram: np.ndarray, starts: np.ndarray, hashes: np.ndarray | None = None):
+        self.word, self.gram, self.starts, self.hashes = word, gram, starts, hashes
 
     @classmethod
     def of(cls, block: Block) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
-        """The words of a block in lower case; which of them stands at each place, and in which text."""
+        """The words of a block in lower case, in the order of their hashes; which of them stands at each place, and in which text."""
         data = LOWER[block.bytes]
         begins, ends, text = block.words(LETTER)
         hashes, first, which = np.unique(block.hashes(data, begins, ends), return_index=True, return_inverse=True)
@@ -75,7 +75,7 @@ class Vocabulary:
         owner = np.concatenate(owners)
         order = np.argsort(owner, kind="stable")
         starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(first)))])
-        return cls((mix(hashes) >> shift).astype(np.int32), np.concatenate(buckets)[order], starts), which, text
+        return cls((mix(hashes) >> shift).astype(np.int32), np.concatenate(buckets)[order], starts, hashes), which, text
 
     @classmethod
     def joined(cls, parts: list[Vocabulary]) -> Vocabulary:
@@ -223,7 +223,7 @@ class Model:
 
     def logits(self, inputs: np.ndarray, strides: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """Of the windows that begin at these strides. inputs: a row for each word, the last one for none."""
-        out = [self.network.logits(inputs[self.gather(strides, begin[i : i + 4096])]) for i in range(0, len(begin), 4096)]
+        out = [self.network.logits(inputs[self.gather(strides, begin[i : i + TOGETHER])]) for i in range(0, len(begin), TOGETHER)]
         return np.concatenate(out) if out else np.zeros(0, np.float32)
 
     def _inputs(self, words: Vocabulary) -> np.ndarray:
@@ -249,13 +249,20 @@ class Model:
             model.network.p["d"][:] = np.log((np.sum(toxic == 1) + 0.5) / (np.sum(toxic == 0) + 0.5))
             return model
         parts, strides, begins, firsts, n = [], [], [], [], 0
+        known, number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for _, _, block in blocks(texts, LESS):
             own, ids, begin, first = cls.windows(block)
             begins.append(begin + sum(map(len, strides)))
             firsts.append(first + sum(map(len, begins[:-1])))
-            strides.append(np.where(ids < 0, -1, ids + n).astype(np.int32))
-            parts.append(own)
-            n += len(own.word)
+            fresh = ~np.isin(own.hashes, known)
+            at = np.searchsorted(known, own.hashes[~fresh])
+            numbers = np.empty(len(fresh) + 1, np.int64)
+            numbers[:-1][fresh], numbers[:-1][~fresh], numbers[-1] = n + np.arange(fresh.sum()), number[at], -1
+            strides.append(numbers[ids].astype(np.int32))
+            parts.append(own.take(np.flatnonzero(fresh)))
+            known, number = np.concatenate([known, own.hashes[fresh]]), np.concatenate([number, n + np.arange(fresh.sum())])
+            order = np.argsort(known)
+            known, number, n = known[order], number[order], n + int(fresh.sum())
         words, strides, begin, first = Vocabulary.joined(parts), np.concatenate(strides), np.concatenate(begins), np.concatenate(firsts)
         del parts
         ends = np.append(first[1:], len(begin))
