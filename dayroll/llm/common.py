@@ -48,6 +48,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, by: str, values: list, name: str) -> list[DataFrame]:
+    """df written like written(), one table for each of the values that its column by has (which is left out), in one pass. Each can be forgotten alone."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).parquet(path)
+    schema = df.drop(by).schema
+    return [spark.read.schema(schema).option("basePath", f"{path}/{by}={v}").parquet(f"{path}/{by}={v}") if _exists(spark, f"{path}/{by}={v}") else spark.createDataFrame([], schema) for v in values]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 #: Bytes of labelled texts that a model is fitted on at most; rows beyond, by a hash of the id, are not learnt from.
 LABELLED_BYTES = 48_000_000
 

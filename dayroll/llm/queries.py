@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .byte_bpe import decode_bytes, encode_bytes
 from .common import table
 from .decontaminate import MASKS, SHARE, WINDOW, leaks
 from .line_dedup import remove_repeated_lines
@@ -127,6 +129,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_similar_texts, op2_line_dedup, op3_embedding_duplicates, op4_quality, op5_pieces, op6_shards, op7_warc_derivatives, op8_token_counts, op9_leaks, op10_toxicity)}
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = decode_bytes(encode_bytes(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    digests = {"ids_sha256": F.sha2(F.array_join("ids", " "), 256), "decoded_sha256": F.sha2("decoded", 256)}
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *[c.alias(n) for n, c in digests.items()])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_similar_texts, op2_line_dedup, op3_embedding_duplicates, op4_quality, op5_pieces, op6_shards, op7_warc_derivatives, op8_token_counts, op9_leaks, op10_toxicity, op12_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {"op3_embedding_duplicates": _OP3_SQL, "op7_warc_derivatives": _op7_sql(), "op9_leaks": _op9_sql()}
