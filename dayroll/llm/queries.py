@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .balls import cluster_vectors
 from .byte_bpe import decode_bytes, encode_bytes
 from .common import table
 from .decontaminate import MASKS, SHARE, WINDOW, leaks
+from .divergence import DOCUMENTS, TERMS, audit_sources
 from .line_dedup import remove_repeated_lines
 from .neighbours import near_duplicates
 from .pieces import encode_pieces
@@ -129,6 +131,49 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+w AS (SELECT doc, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT doc) >= {DOCUMENTS}),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT d.lang, d.source, any_value(coalesce(s.n, 0)) AS n FROM d LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source) s ON s.lang = d.lang AND s.source = d.source GROUP BY d.lang, d.source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.n + v.v) AS p, 1 + (1000000000::HUGEINT * (k.total + 1)) // (v.n + v.v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r QUALIFY part = 'pair' OR rank <= {TERMS}"""
+
+
+def op13_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cluster_vectors(table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed="2")
+    return found.withColumn("centroid", F.sha2(F.array_join("centroid", ","), 256)).withColumnRenamed("centroid", "centroid_sha256")
+
+
+def _op13_sql(k: int = 40, rounds: int = 5) -> str:
+    square = "list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = [f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), e) - 1 AS c, e FROM v QUALIFY c < {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT row, min(({square}, c.c)) AS best FROM v, c{r} c GROUP BY row)")
+        if r < rounds:
+            steps.append(f"""
+s{r} AS (SELECT c, i, sum(x)::BIGINT AS x, count(*) AS n FROM (SELECT a.best[2] AS c, unnest(range(1, 65)) AS i, unnest(v.e) AS x FROM a{r} a JOIN v USING (row)) GROUP BY c, i),
+m{r} AS (SELECT c, list((x - ((x % n) + n) % n) // n ORDER BY i) AS e FROM s{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.e, c.e) AS e FROM c{r} c LEFT JOIN m{r} m USING (c))""")
+    return f"""{",".join(steps)}
+SELECT v.vec_id, a.best[2]::INTEGER AS cluster, a.best[1]::BIGINT AS distance, (sum(a.best[1]) OVER (PARTITION BY a.best[2]))::BIGINT AS cluster_inertia, (sum(a.best[1]) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.e, ',')) AS centroid_sha256 FROM v JOIN a{rounds} a USING (row) JOIN c{rounds} c ON c.c = a.best[2]"""
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = decode_bytes(encode_bytes(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
@@ -136,6 +181,6 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *[c.alias(n) for n, c in digests.items()])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_similar_texts, op2_line_dedup, op3_embedding_duplicates, op4_quality, op5_pieces, op6_shards, op7_warc_derivatives, op8_token_counts, op9_leaks, op10_toxicity, op12_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_similar_texts, op2_line_dedup, op3_embedding_duplicates, op4_quality, op5_pieces, op6_shards, op7_warc_derivatives, op8_token_counts, op9_leaks, op10_toxicity, op11_divergence, op12_byte_bpe, op13_ball_clusters)}
 
-ORACLE_SQL: dict[str, str] = {"op3_embedding_duplicates": _OP3_SQL, "op7_warc_derivatives": _op7_sql(), "op9_leaks": _op9_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_duplicates": _OP3_SQL, "op7_warc_derivatives": _op7_sql(), "op9_leaks": _op9_sql(), "op11_divergence": _OP11_SQL, "op13_ball_clusters": _op13_sql()}
