@@ -32,11 +32,13 @@ LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents of each term in each group, several rows for one in different blocks. docs: lang, source, text, none null."""
 
+    together = TOGETHER
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs, sources = b.column(0).dictionary_encode(), b.column(1).dictionary_encode()
             group = langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy()
-            for first, _, block in blocks(b.column(2), TOGETHER):
+            for first, _, block in blocks(b.column(2), together):
                 begins, ends, text = block.words(LETTERS)
                 if not len(begins):
                     continue
@@ -97,6 +99,8 @@ def corrections(counts: np.ndarray, source: np.ndarray, p: np.ndarray, p0: np.nd
 def _both(postings: DataFrame) -> DataFrame:
     """(lang, source, item, value) for postings (lang, sources: source, p, p0 of each): corrections where both have a term, summed by task or by many pairs."""
 
+    most = PAIRS
+
     def correct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[tuple[str, str], int] = {}
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -121,12 +125,12 @@ def _both(postings: DataFrame) -> DataFrame:
             # numbers of (lang, source), the same in all batches until they are told
             both, at = np.unique(np.repeat(langs.indices.to_numpy().astype(np.int64), counts) << 32 | coded.indices.to_numpy(), return_inverse=True)
             number = np.array([names.setdefault((known_langs[x >> 32], known[x & 0xFFFFFFFF]), len(names)) for x in both.tolist()], np.int64)
-            for left, right, x in corrections(counts, number[at], flat.field("p").to_numpy(), flat.field("p0").to_numpy()):
+            for left, right, x in corrections(counts, number[at], flat.field("p").to_numpy(), flat.field("p0").to_numpy(), most):
                 keys, of = np.unique(left << 32 | right, return_inverse=True)
                 value = np.zeros(len(keys), np.int64)
                 np.add.at(value, of, x)
                 held.append((keys, value))
-            if sum(len(k) for k, _ in held) > 2 * PAIRS:
+            if sum(len(k) for k, _ in held) > 2 * most:
                 yield from told()
         yield from told()
 

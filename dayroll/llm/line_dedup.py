@@ -1,10 +1,11 @@
 """Line dedup by content-defined chunks of lines.
 
-Rolling hashes over the hashes of a text's lines choose where chunks end, so a passage is cut alike wherever it stands.
-Several such rules cut each text; what one rule joins to its surroundings another cuts off. Every two neighbouring lines are
-a chunk besides, so that a repeated passage of several lines is marked to its edges whatever stands around it. A chunk that occurs more than
-once in the corpus marks its lines everywhere but at its first occurrence, after its occurrences were compared byte by
-byte; runs of marked lines that are long enough are removed.
+Rolling hashes over the hashes of a text's lines choose where chunks end, so a passage is cut alike wherever it stands, but
+for its first lines, whose chunk began before it. Several such rules cut each text; what one rule joins to its surroundings
+another cuts off. A chunk that occurs more than once in the corpus is extended line by line, to the left and to the right, as
+far as its text and that of the chunk's first occurrence go on alike, so a repeated passage goes up to its edges. Chunks and
+the lines they were extended by are compared byte by byte. They mark their lines everywhere but at the first occurrence; runs
+of marked lines that are long enough are removed.
 """
 
 from __future__ import annotations
@@ -14,18 +15,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import BLANK, Block, blocks, mix, powers
-from .common import forget, free_names, release_shuffles, written
+from .common import forget, free_names, release_shuffles, written, written_by
 
-#: Lines in the rolling window of each rule.
-RULES = (1, 1, 1, 1, 1, 2, 2, 2, 2)
-#: A line of so many words is a chunk of its own under every rule.
-ALONE = 40
-#: Runs of marked lines go if they have SEVERAL lines and ENOUGH words, or LONG words.
+#: Lines in the rolling window of each rule. Under each a chunk ends with three in four lines (bits of the hash that must not all be 0).
+RULES, CUT = (1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 2, 2), 3
+#: Runs of marked lines go if they have SEVERAL lines and ENOUGH words, or LONG words. A line of LONG words is a chunk of its own under every rule.
 SEVERAL, ENOUGH, LONG = 2, 25, 50
+#: Lines by which a chunk is extended to each side at most. A passage's chunks reach to its last lines and to its second line
+#: already, but for one passage in thousands, whatever its length.
+REACH = 4
 #: An odd multiplier for hashes of runs of lines, and its inverse modulo 2**64.
 LINE = np.uint64(0xD1342543DE82EF95)
 LINE_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
@@ -43,54 +45,81 @@ def line_table(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return block.hashes(block.bytes, begins, ends), words[ends] - words[begins], text
 
 
-def chunks(hashes: np.ndarray, words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First line of each chunk, its lines and its hash, lines numbered through the block. What several rules cut alike is one chunk.
+class Runs:
+    """Hashes of runs of lines of a block: sums of powers, so that any run costs as much as one line."""
 
-    A line with words and the next one with words in its text, with the blank ones between, are a chunk whatever the rules cut."""
+    def __init__(self, hashes: np.ndarray):
+        n = len(hashes)
+        self.down = powers(n, LINE_INVERSE)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * powers(n, LINE)[:n])])
+
+    def of(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[first]) * self.down[first] + (end - first).astype(np.uint64))
+
+
+def chunks(hashes: np.ndarray, words: np.ndarray, text: np.ndarray, rules: tuple[int, ...] = RULES) -> tuple[np.ndarray, np.ndarray]:
+    """First line of each chunk and how many lines it has. Only lines with words are given here; what several rules cut alike is one chunk."""
     n = len(hashes)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    new = np.diff(text, prepend=-1) != 0
-    alone = words >= ALONE
-    forced = new | alone  # a chunk begins here whatever the rule
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    alone = words >= LONG
+    forced = (np.diff(text, prepend=-1) != 0) | alone  # a chunk begins here whatever the rule
     forced[1:] |= alone[:-1]
     cuts = []
-    for rule, window in enumerate(RULES):
+    for rule, window in enumerate(rules):
         rolling = hashes.copy()
         for k in range(1, window):
             rolling[k:] = rolling[k:] * np.uint64(0x100000001B3) + np.where(text[k:] == text[:-k], hashes[:-k], np.uint64(0))
-        cut = (mix(rolling + np.uint64(rule + 1)) & np.uint64(1)) == 0  # the chunk ends with this line
+        cut = (mix(rolling + np.uint64(rule + 1)) & np.uint64(CUT)) != 0  # the chunk ends with this line
         begin = forced.copy()
         begin[1:] |= cut[:-1]
         first = np.flatnonzero(begin)
         cuts.append(first << 32 | np.diff(first, append=n))
-    full = np.flatnonzero(words > 0)
-    here, following = full[:-1], full[1:]
-    pair = text[here] == text[following]
-    cuts.append(here[pair] << 32 | (following - here + 1)[pair])
+    if not rules:
+        first = np.flatnonzero(alone)
+        cuts.append(first << 32 | 1)
     all_cuts = np.unique(np.concatenate(cuts))
-    first, count = all_cuts >> 32, all_cuts & 0xFFFFFFFF
-    up = powers(n, LINE)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * up[:n])])
-    return first, count, mix((sums[first + count] - sums[first]) * powers(n, LINE_INVERSE)[first] + count.astype(np.uint64))
+    return all_cuts >> 32, all_cuts & 0xFFFFFFFF
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """(id, th, line, lines, words, h) of every chunk of docs (id, th, text); a null text has none."""
+    """For docs (id, th, text), counting lines with words alone: kind 0, s, n and h, the first line, lines and hash of every
+    chunk, blank lines within it being part of it. Kind 1, once a text: at, the place of each line among all lines; left and right,
+    for each line a hash of it and of the blank lines after it, and before it. A text without words has none."""
+
+    rules = RULES
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "id", "th", "s", "n", "h", "at", "left", "right"]
         for b in batches:
             for first_text, _, block in blocks(b.column(2)):
                 hashes, words, text = line_table(block)
-                start = np.searchsorted(text, np.arange(block.n))
-                sums = np.concatenate([[0], np.cumsum(words)])
-                first, count, h = chunks(hashes, words, text)
-                at = pa.array(text[first] + first_text)
-                cols = [b.column(0).take(at), b.column(1).take(at), pa.array((first - start[text[first]]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array((sums[first + count] - sums[first]).astype(np.int32)), pa.array(h.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "th", "line", "lines", "words", "h"])
+                full = np.flatnonzero(words)
+                runs, own = Runs(hashes), text[full]
+                first, count = chunks(hashes[full], words[full], own, rules)
+                start = np.searchsorted(own, np.arange(block.n))  # each text's first line with words
+                m, at = len(first), pa.array(own[first] + first_text)
+                kinds = lambda n, k: pa.array(np.full(n, k, np.int32))
+                none = lambda n, t: pa.nulls(n, t)
+                ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+                h = runs.of(full[first], full[first + count - 1] + 1) if m else np.zeros(0, np.uint64)
+                place = [pa.array((first - start[own[first]]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(h.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([kinds(m, 0), b.column(0).take(at), b.column(1).take(at), *place, none(m, ints), none(m, longs), none(m, longs)], names)
+                each = np.unique(own)
+                if not len(each):
+                    continue
+                offsets = pa.array(np.append(start[each], len(full)).astype(np.int32))
+                top = np.searchsorted(text, np.arange(block.n))
+                same = own[1:] == own[:-1]
+                after, before = full + 1, full.copy()  # where the blank lines after a line end, and those before it begin
+                after[:-1][same] = full[1:][same]
+                before[1:][same] = full[:-1][same] + 1
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((full - top[own]).astype(np.int32), runs.of(full, after).view(np.int64), runs.of(before, full + 1).view(np.int64))]
+                k, at = len(each), pa.array(each + first_text)
+                yield pa.RecordBatch.from_arrays([kinds(k, 1), b.column(0).take(at), b.column(1).take(at), none(k, pa.int32()), none(k, pa.int32()), none(k, pa.int64()), *lists], names)
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(cut, f"id {kind}, th long, line int, lines int, words int, h long").where("words > 0")
+    return docs.mapInArrow(cut, f"kind int, id {kind}, th long, s int, n int, h long, at array<int>, left array<long>, right array<long>")
 
 
 def without(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -120,44 +149,82 @@ def without(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "n_lines", "removed_lines"]).astype({"text": object})
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _key(id_column: Column) -> Column:
+    """A key of an id that is never null."""
+    return F.coalesce(F.concat(F.lit("="), id_column.cast("string")), F.lit(""))
+
+
+def _alike(a: str, b: str) -> Column:
+    """How many elements two arrays begin with alike."""
+    shorter = f"least(size({a}), size({b}))"
+    differs = f"array_position(zip_with(slice({a}, 1, {shorter}), slice({b}, 1, {shorter}), (x, y) -> x = y), false)"
+    return F.expr(f"CASE WHEN {differs} > 0 THEN CAST({differs} AS INT) - 1 ELSE {shorter} END")
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """(key, th, spans) of docs (id, th, text) for every text that has a chunk of which there are several. A span: h, first (is this the first occurrence?), and the
+    places of the lines that it was extended by and of the chunk's own edge line, on the left (ls) and on the right (rs); of a first one all REACH lines beyond it."""
+    found, lines = written_by(chunk_rows(docs), "kind", [0, 1], "chunks")
+    found = found.select("id", "th", "s", "n", "h")
+    lines = lines.select(_key(F.col("id")).alias("key"), "th", "at", "left", "right").dropDuplicates(["key", "th"])
+    repeated = found.groupBy("h").agg(F.min(F.struct("id", "th", "s", "n")).alias("f"), F.count(F.lit(1)).alias("of")).where("of > 1")
+    repeated = repeated.select("h", _key(F.col("f.id")).alias("key"), F.col("f.th").alias("th"), F.col("f.s").alias("s"), F.col("f.n").alias("n"))
+    beside = lambda: (F.expr(f"reverse(slice(left, greatest(1, s - {REACH - 1}), least({REACH}, s)))").alias("ls"), F.expr(f"slice(right, s + n + 1, {REACH})").alias("rs"))
+    repeated = repeated.join(lines, ["key", "th"]).select("h", F.col("key").alias("key0"), F.col("th").alias("th0"), F.col("s").alias("s0"), *[c.alias(n) for c, n in zip(beside(), ("ls0", "rs0"))])
+    repeated = written(repeated, "repeated")
+    marked = found.withColumn("key", _key(F.col("id"))).join(repeated, "h").select("key", "th", "h", "s", "n", "ls0", "rs0", F.expr("key = key0 AND th = th0 AND s = s0").alias("first"))
+    marked = marked.join(lines, ["key", "th"]).select("key", "th", "h", "s", "n", "first", "at", "ls0", "rs0", *beside())
+    marked = marked.withColumns({"l": F.when(F.col("first"), F.size("ls")).otherwise(_alike("ls", "ls0")), "r": F.when(F.col("first"), F.size("rs")).otherwise(_alike("rs", "rs0"))})
+    span = F.struct("h", "first", F.expr("slice(at, s - l + 1, l + 1)").alias("ls"), F.expr("slice(at, s + n, r + 1)").alias("rs"))
+    spans = written(marked.groupBy("key", "th").agg(F.collect_set(span).alias("spans")), "spans")
+    forget(found)
+    forget(lines)
+    forget(repeated)
+    return spans
+
+
+def _unequal(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """(h, j): chunks (j = 0), and lines beyond them to the left (j < 0) or right, that differ in bytes under one hash. docs: key, th, text."""
+    each = docs.join(spans, ["key", "th"]).select(F.split("text", "\n").alias("lines"), F.explode("spans").alias("s")).select("lines", "s.h", "s.ls", "s.rs")
+    # lines a to b - 1: the chunk itself, each line on the left with the blank ones after it, each on the right with those before it
+    parts = F.expr("""concat(array(struct(0 AS j, element_at(ls, -1) AS a, rs[0] + 1 AS b)),
+        transform(slice(ls, 1, size(ls) - 1), (x, i) -> struct(i + 1 - size(ls) AS j, x AS a, ls[i + 1] AS b)),
+        transform(slice(rs, 2, size(rs)), (x, i) -> struct(i + 1 AS j, rs[i] + 1 AS a, x + 1 AS b)))""")
+    texts = each.withColumn("p", F.explode(parts)).select("h", "p.j", F.expr("array_join(slice(lines, p.a + 1, p.b - p.a), '\n')").alias("t"))
+    return texts.groupBy("h", "j").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("h", "j")
+
+
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: str | None = None) -> DataFrame:
     """docs with text_col cleaned, and n_lines and removed_lines (columns of these names are replaced); other columns stay.
+    With whole, a column of that name keeps the text as it was.
 
     The first occurrence is that of the least id (nulls first), then of the least line. Rows alike in id and text count as
     one document, and all keep what is first there. A null text stays null, an empty one empty (one line); a text whose
-    lines all repeat becomes empty. Rows are never dropped. Other columns may have any names.
+    lines all repeat becomes empty. Rows are never dropped. Other columns may have any names. What is first of each line stays somewhere.
 
-    Counting occurrences shuffles hashes only and is pre-aggregated; texts are shuffled once, by document. A chunk that a
-    third of all rows share is one count on each side of the shuffle and a join key that adaptive execution can split.
+    A repeated passage is found if one of the rules cuts it twice: of two lines all but 3 in 10,000, of more lines nearly all; a line of LONG words always.
+    Counting occurrences shuffles hashes only and is pre-aggregated; texts are shuffled once to be compared and once to be cleaned,
+    by document. A chunk that a third of all rows share is one count on each side of the shuffle and a join key that adaptive execution can split.
     """
+    spark = docs.sparkSession
     docs = docs.drop("n_lines", "removed_lines")
-    i, t, own, done = free_names(docs, "id", "hash", "spans", "done")
     th = F.xxhash64(docs[text_col])
-    found = written(chunk_rows(docs.select(docs[id_col].alias("id"), th.alias("th"), docs[text_col].alias("text"))), "chunks")
-    repeated = found.groupBy("h").agg(F.min(F.struct("id", "th", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeated = written(repeated.select("h", F.col("first.id").alias("id0"), F.col("first.th").alias("th0"), F.col("first.line").alias("line0")), "repeated")
-    here = F.col("id").eqNullSafe(F.col("id0")) & (F.col("th") == F.col("th0")) & (F.col("line") == F.col("line0"))
-    marked = found.join(repeated, "h").select("id", "th", "h", (F.col("line").cast("long") * (1 << 32) + F.col("lines")).alias("span"), here.alias("first"))
-    spans = marked.groupBy("id", "th").agg(F.collect_set(F.struct("h", "span", "first")).alias(own)).withColumnsRenamed({"id": i, "th": t})
-    spans = written(spans, "spans")
-    forget(found)
-    forget(repeated)
-    release_shuffles(docs.sparkSession)
-    with_spans = lambda rows, spans: rows.join(spans, rows[id_col].eqNullSafe(F.col(i)) & (F.xxhash64(rows[text_col]) == F.col(t)), "left").drop(i, t)
-    joined = written(with_spans(docs, spans), "marked-documents")
-    forget(spans)
-    release_shuffles(docs.sparkSession)
-    # byte comparison: all texts of a hash are equal if the least and the greatest are
-    lines = F.split(F.col(text_col), "\n")
-    texts = joined.where(F.size(own) > 0).select(lines.alias("l"), F.explode(own).alias("s"))
-    texts = texts.select("s.h", F.array_join(F.slice("l", (F.shiftright("s.span", 32) + 1).cast("int"), F.col("s.span").bitwiseAND(0xFFFFFFFF).cast("int")), "\n").alias("t"))
-    unequal = texts.groupBy("h").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("h")
-    unequal = written(unequal, "unequal")
-    if not unequal.isEmpty():  # chunks that differ under one hash stay
-        each = joined.select(F.col(id_col).alias(i), F.xxhash64(text_col).alias(t), F.explode(own).alias("s")).withColumn("h", F.col("s.h"))
-        fine = each.join(unequal, "h", "left_anti").groupBy(i, t).agg(F.collect_set("s").alias(own))
-        joined = with_spans(joined.drop(own), fine)
-    good = F.transform(F.filter(own, lambda s: ~s["first"]), lambda s: s["span"])
-    cleaned = joined.withColumn(done, F.pandas_udf(without, "text string, n_lines long, removed_lines long")(F.col(text_col), good))
+    spans = repeated_spans(docs.select(docs[id_col].alias("id"), th.alias("th"), docs[text_col].alias("text")))
+    release_shuffles(spark)
+    unequal = written(_unequal(docs.select(_key(docs[id_col]).alias("key"), th.alias("th"), docs[text_col].alias("text")), spans), "unequal")
+    release_shuffles(spark)
+    if not unequal.isEmpty():  # chunks that differ under one hash stay; those whose neighbours do are not extended
+        wrong = unequal.groupBy("h").agg(F.min(F.abs("j")).alias("least"))
+        each = spans.select("key", "th", F.explode("spans").alias("s")).withColumn("h", F.col("s.h")).join(wrong, "h", "left").where("least IS NULL OR least > 0")
+        edge = F.struct("s.h", "s.first", F.when(F.col("least").isNull(), F.col("s.ls")).otherwise(F.slice("s.ls", -1, 1)).alias("ls"), F.when(F.col("least").isNull(), F.col("s.rs")).otherwise(F.slice("s.rs", 1, 1)).alias("rs"))
+        kept = written(each.groupBy("key", "th").agg(F.collect_set(edge).alias("spans")), "spans")
+        forget(spans)
+        spans = kept
+    forget(unequal)
+    key, hashed, own, done = free_names(docs, "key", "hash", "spans", "done")
+    marks = F.expr("transform(filter(spans, s -> NOT s.first), s -> shiftleft(CAST(s.ls[0] AS BIGINT), 32) + element_at(s.rs, -1) + 1 - s.ls[0])")
+    joined = docs.join(spans.select(F.col("key").alias(key), F.col("th").alias(hashed), marks.alias(own)), (_key(docs[id_col]) == F.col(key)) & (th == F.col(hashed)), "left")
+    cleaned = joined.withColumn(done, F.pandas_udf(without, "text string, n_lines long, removed_lines long")(F.col(text_col), F.col(own)))
     part = lambda c: F.col(f"{done}.{c}")
-    return cleaned.select(*[part("text").alias(c) if c == text_col else F.col(c) for c in docs.columns], part("n_lines").alias("n_lines"), part("removed_lines").alias("removed_lines"))
+    before = [F.col(text_col).alias(whole)] if whole else []
+    return cleaned.select(*[part("text").alias(c) if c == text_col else F.col(c) for c in docs.columns], *before, part("n_lines").alias("n_lines"), part("removed_lines").alias("removed_lines"))

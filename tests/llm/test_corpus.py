@@ -155,6 +155,42 @@ def test_repeated_passages_go_whole_whatever_stands_around_them(spark):
     assert [i for i in range(3, 300) if got[i] != "\n".join(own[i])] == []
 
 
+def test_the_rules_cut_what_is_found(spark, monkeypatch):
+    """Two neighbouring lines of 20 and 15 words are found by the rules' chunks and their extension; without either they stay."""
+    r = random.Random(16)
+    line = lambda n: " ".join(words(r, n))
+    passages = [[line(20), line(15)] for _ in range(40)]
+    docs = [(40 * k + i, "\n".join([line(9), *p, line(9)])) for k in range(2) for i, p in enumerate(passages)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    gone = lambda: sum(x.removed_lines == 2 for x in line_dedup.remove_repeated_lines(df).collect())
+    assert gone() == 40
+    monkeypatch.setattr(line_dedup, "RULES", line_dedup.RULES[:1])
+    one_rule = gone()
+    monkeypatch.setattr(line_dedup, "_alike", lambda a, b: F.lit(0))  # chunks as they are, without their extension
+    assert gone() < one_rule < 35
+    monkeypatch.setattr(line_dedup, "RULES", ())
+    assert gone() == 0
+
+
+def test_what_is_first_of_each_line_stays(spark):
+    r = random.Random(31)
+    pool = [" ".join(words(r, r.choice([3, 12, 20, 30, 55]))) for _ in range(30)]
+    run = lambda k: pool[k : k + r.randrange(1, 7)]
+    docs = [(i, "\n".join(x for _ in range(r.randrange(1, 4)) for x in run(r.randrange(30)))) for i in range(200)]
+    got = line_dedup.remove_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), whole="before").collect()
+    assert {x.before for x in got} == {t for _, t in docs} and sum(x.removed_lines for x in got) > 500
+    assert {x for d in got for x in d.text.split("\n")} >= {x for _, t in docs for x in t.split("\n")}
+
+
+def test_lines_beside_a_chunk_are_compared_too(spark, monkeypatch):
+    r = random.Random(8)
+    long_line, near = " ".join(words(r, 60)), [" ".join(words(r, 12)) for _ in range(6)]
+    docs = spark.createDataFrame([(i, f"{near[i]}\n{long_line}") for i in range(6)], "doc_id long, text string")
+    real = line_dedup.chunk_rows
+    monkeypatch.setattr(line_dedup, "chunk_rows", lambda d: real(d).withColumn("left", F.expr("transform(left, x -> 1L)")))  # all lines look alike from the right
+    assert sorted(x.text for x in line_dedup.remove_repeated_lines(docs).collect()) == sorted([f"{near[0]}\n{long_line}", *near[1:]])
+
+
 def removed(lines, marks):
     """Numbers of the lines that go if these are marked."""
     out, i = set(), 0
