@@ -510,7 +510,8 @@ def test_pipeline(spark, tables):
     seen = {}
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, tables)
-        assert name == "pieces" or docs.columns == columns
+        more = ["_whole_text"] if name == "line dedup" else []
+        assert name == "pieces" or docs.columns == columns + more
         docs = corpus_pipeline.written(docs, "t")
         seen[name] = {r[0] for r in docs.collect()}
     clean = {i for i in range(120) if i % 5}
@@ -520,6 +521,38 @@ def test_pipeline(spark, tables):
     assert {r[0] for r in corpus_pipeline.run(spark, tables).collect()} == seen["pieces"]
 
 
+def test_copies_go_by_their_whole_texts(spark):
+    """Line dedup and near duplicates on sf0.01: of each group of similar raw texts one stays, by brute force, and nothing that line dedup emptied."""
+    sf = "/root/testdata/sf0.01"
+    docs = queries.table(spark, sf, "documents")
+    raw = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(raw)
+    sets = [sets_of(raw[i]) for i in ids]
+    index = collections.defaultdict(list)
+    for k, s in enumerate(sets):
+        for g in s:
+            index[g].append(k)
+    shared = collections.Counter(p for members in index.values() for p in itertools.combinations(members, 2))
+    of = groups(len(ids), [(a, b) for (a, b), n in shared.items() if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n)])
+    gone = {ids[k] for k, root in enumerate(of) if root != k}
+    stages = dict(corpus_pipeline.STAGES)
+    lines = corpus_pipeline.written(stages["line dedup"](spark, docs, sf), "lines")
+    emptied = {r.doc_id for r in lines.collect() if sets_of(raw[r.doc_id]) and not sets_of(r.text)}
+    kept = {r.doc_id: r.text for r in stages["near duplicates"](spark, lines, sf).collect()}
+    assert len(gone) > 60 and set(kept) == set(ids) - gone - emptied
+    assert all(sets_of(t) or not sets_of(raw[i]) for i, t in kept.items()) and len(emptied - gone) < 5
+
+
+def test_near_duplicates_alone_decides_on_the_text(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, text), (2, text), (3, ""), (4, None)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 3, 4]
+    clash = spark.createDataFrame([(1, text, "x"), (2, text, "y"), (3, "", "z")], "doc_id long, text string, _WHOLE_text string")
+    lines = corpus_pipeline.line_dedup(spark, clash, "")
+    assert lines.columns == [*clash.columns, "__whole_text"]
+    assert sorted(corpus_pipeline.near_duplicates(spark, lines, "").select(clash.columns).collect()) == [(1, text, "x"), (3, "", "z")]
+
+
 def test_pipeline_of_empty_tables(spark, tables, tmp_path):
     for n in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{tables}/{n}.parquet").limit(0).write.parquet(f"{tmp_path}/{n}.parquet")
