@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab as V
@@ -13,8 +15,10 @@ from ..operators.classify import routed_records
 from ..operators.intervals import degenerate, nights
 from ..operators.rollup import admitted, by_policy, first_dates, multi_source_ratio, value_span
 from ..operators.state import one_row_per_name, prior, replace_range, stale, stamped, swept, upsert
-from ..sources.store import Store
+from ..sources.store import ConflictError, Store
 from ..sources.xml_export import is_closed, read_records, record_json
+from ..sources.xml_scan import scan_export
+from .push import ATTEMPTS
 
 
 @dataclass
@@ -58,12 +62,30 @@ def parse_export(spark: SparkSession, path: str) -> Parsed:
     return parse(read_records(spark, path), is_closed(spark, path))
 
 
+def import_export(store: Store, path: str, folder: str, now: str, replace: bool = False, on_progress: Callable[[int], None] | None = None) -> dict[str, DataFrame | bool | int]:
+    """Read an export once, into folder (a new one that all executors share), and merge it into the store. Raises MalformedExport
+    with the byte at fault, and then leaves the store as it was; on_progress gets the records read so far while the export is read."""
+    read = scan_export(store.spark, path, folder, on_progress)
+    return persist(store, parse(read.records, read.closed), now, replace) | {"records": read.n_records}
+
+
 def persist(store: Store, parsed: Parsed, now: str, replace: bool = False) -> dict[str, DataFrame | bool | int]:
-    """Merge an export as one new version of the store. The sleep check reads state before the write, staleness compares with
-    what was written; stale rows go only if asked for and the document was whole."""
-    at = F.lit(now).cast("timestamp")
+    """Merge an export as one new version of the store, which writes the months that it touches. The sleep check reads state before the write, staleness compares with
+    what was written; stale rows go only if asked for and the document was whole. State is read in the months of the export's days alone,
+    a day more on either side. If another writer was faster, the export is merged into what that one left."""
+    first, last = parsed.rows.agg(F.min("day"), F.max("day")).first()
+    for attempt in range(ATTEMPTS):
+        try:
+            return _persist(store, parsed, F.lit(now).cast("timestamp"), replace, first, last)
+        except ConflictError:
+            if attempt + 1 == ATTEMPTS:
+                raise
+
+
+def _persist(store: Store, parsed: Parsed, at: Column, replace: bool, first: date | None, last: date | None) -> dict[str, DataFrame | bool | int]:
     before = store.version()
-    state, quarantine = store.read("daily_metric", before), store.read("quarantine", before)
+    near = [] if first is None else store.parts_between("daily_metric", first - timedelta(1), last + timedelta(1))
+    state, quarantine = store.read("daily_metric", before, near), store.read("quarantine", before)
     rows = parsed.rows
     shift = D.day_shift_verdict(D.day_shift(rows.where("kind = 'sleep-total'").select("day", "value"), state.where("kind = 'sleep-total'").select("day", "value")))
     old = prior(state, rows, ("kind", "day"))
@@ -73,5 +95,9 @@ def persist(store: Store, parsed: Parsed, now: str, replace: bool = False) -> di
     left, promoted = swept(quarantine)
     kinds = F.when(F.col("kind").isNotNull(), F.array("kind")).otherwise(F.array().cast("array<string>"))
     new = parsed.frames["quarantine"].select("name", "day", stamped(F.col("point"), F.col("outcome"), F.col("unit"), kinds).alias("point"), at.alias("created_at"))
-    store.commit({"daily_metric": merged, "quarantine": one_row_per_name(left, new)}, before)
+    days = rows.select("day").unionByName(gone.select("day")) if replace and parsed.closed else rows.select("day")
+    replaced = quarantine.join(new.select("name").distinct(), "name", "left_semi")
+    touched = {"daily_metric": store.parts_of(days), "quarantine": store.parts_of(new.select("day").unionByName(promoted.select("day")).unionByName(replaced.select("day")))}
+    tables = {"daily_metric": merged, "quarantine": one_row_per_name(left, new)}
+    store.commit({t: df.where(store.part(t).isin(touched[t])) for t, df in tables.items()}, before, touched)
     return parsed.frames | {"overlap": D.overlap(old), "stale": first_dates(gone), "shift": shift, "promoted": promoted, "replace_refused": refused, "span": D.survey(rows), "version_before": before, "closed": parsed.closed}

@@ -41,12 +41,16 @@ def night_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_s", F.explode(stages(F.col("v")))).select("*", "_s.*").drop("_s")
 
 
-def measured(rows: DataFrame) -> DataFrame:
+def measured(rows: DataFrame, others: bool = False) -> DataFrame:
     """One row for each value of a point: stage_pos, kind, value, min, max. A night (class sleep) has one for each of its
-    stages, without bounds, any other point one if it has a value."""
+    stages, without bounds, any other point one if it has a value. With others, undated points, those of no known kind and
+    those without a value have a row too, without value, and first marks one row of each point."""
     q = shaped(rows)
     whole = F.struct(F.lit(0).alias("stage_pos"), "kind", "value", "min", "max")
     none = F.lit(None).cast("double")
     night = F.transform(stages(F.col("v")), lambda s: F.struct(s["stage_pos"].alias("stage_pos"), s["kind"].alias("kind"), s["value"].alias("value"), none.alias("min"), none.alias("max")))
     own = F.when(F.col("class") == "sleep", night).when(F.col("value").isNotNull(), F.array(whole))
+    if others:
+        own = F.when(F.col("day").isNotNull() & F.col("class").isin("curated", "sleep"), own)
+        return q.withColumn("has_value", F.col("value").isNotNull()).select("*", F.posexplode_outer(own).alias("_i", "_s")).drop("kind", "value", "min", "max").select("*", "_s.*", (F.coalesce("_i", F.lit(0)) == 0).alias("first")).drop("_s", "_i")
     return q.withColumn("_s", F.explode(own)).drop("kind", "value", "min", "max").select("*", "_s.*").drop("_s")
