@@ -161,26 +161,57 @@ def _alike(a: str, b: str) -> Column:
     return F.expr(f"CASE WHEN {differs} > 0 THEN CAST({differs} AS INT) - 1 ELSE {shorter} END")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(key, th, spans) of docs (id, th, text) for every text that has a chunk of which there are several. A span: h, first (is this the first occurrence?), and the
-    places of the lines that it was extended by and of the chunk's own edge line, on the left (ls) and on the right (rs); of a first one all REACH lines beyond it."""
+def cover(spans: pd.Series) -> pd.Series:
+    """For arrays of spans (first line * 2**32 + line after the last) which of them, fewest first to last, cover the same lines."""
+    out = []
+    for own in spans:
+        at = np.asarray(own, np.int64)
+        begin, end = at >> 32, at & 0xFFFFFFFF
+        kept, best, reach = [], -1, -1  # best: the farthest of those that begin within what is covered
+        for i in np.lexsort((-end, begin)).tolist():
+            if begin[i] > reach:
+                if best >= 0 and end[best] > reach:
+                    kept.append(best)
+                    reach = end[best]
+                if begin[i] > reach:
+                    kept.append(i)
+                    reach, best = end[i], -1
+                    continue
+            if best < 0 or end[i] > end[best]:
+                best = i
+        if best >= 0 and end[best] > reach:
+            kept.append(best)
+        out.append(kept)
+    return pd.Series(out)
+
+
+def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For docs (id, th, text) two tables (key, th, spans). In the first, for every text that repeats what came before it, spans that cover all that it repeats:
+    h, and the places of the lines that a chunk was extended by and of its own edge line, on the left (ls) and on the right (rs). The second has,
+    for every text in which such a chunk is first, spans with its lines as far as others were extended by them."""
     found, lines = written_by(chunk_rows(docs), "kind", [0, 1], "chunks")
     found = found.select("id", "th", "s", "n", "h")
     lines = lines.select(_key(F.col("id")).alias("key"), "th", "at", "left", "right").dropDuplicates(["key", "th"])
     repeated = found.groupBy("h").agg(F.min(F.struct("id", "th", "s", "n")).alias("f"), F.count(F.lit(1)).alias("of")).where("of > 1")
     repeated = repeated.select("h", _key(F.col("f.id")).alias("key"), F.col("f.th").alias("th"), F.col("f.s").alias("s"), F.col("f.n").alias("n"))
     beside = lambda: (F.expr(f"reverse(slice(left, greatest(1, s - {REACH - 1}), least({REACH}, s)))").alias("ls"), F.expr(f"slice(right, s + n + 1, {REACH})").alias("rs"))
-    repeated = repeated.join(lines, ["key", "th"]).select("h", F.col("key").alias("key0"), F.col("th").alias("th0"), F.col("s").alias("s0"), *[c.alias(n) for c, n in zip(beside(), ("ls0", "rs0"))])
-    repeated = written(repeated, "repeated")
-    marked = found.withColumn("key", _key(F.col("id"))).join(repeated, "h").select("key", "th", "h", "s", "n", "ls0", "rs0", F.expr("key = key0 AND th = th0 AND s = s0").alias("first"))
-    marked = marked.join(lines, ["key", "th"]).select("key", "th", "h", "s", "n", "first", "at", "ls0", "rs0", *beside())
-    marked = marked.withColumns({"l": F.when(F.col("first"), F.size("ls")).otherwise(_alike("ls", "ls0")), "r": F.when(F.col("first"), F.size("rs")).otherwise(_alike("rs", "rs0"))})
-    span = F.struct("h", "first", F.expr("slice(at, s - l + 1, l + 1)").alias("ls"), F.expr("slice(at, s + n, r + 1)").alias("rs"))
-    spans = written(marked.groupBy("key", "th").agg(F.collect_set(span).alias("spans")), "spans")
+    edges = lambda left, right: F.struct("h", F.expr(f"slice(at, s - {left} + 1, {left} + 1)").alias("ls"), F.expr(f"slice(at, s + n, {right} + 1)").alias("rs"))
+    repeated = repeated.join(lines, ["key", "th"])
+    repeated = written(repeated.withColumns(dict(zip(("ls", "rs"), beside()))).select("h", F.col("key").alias("key0"), F.col("th").alias("th0"), F.col("s").alias("s0"), edges("size(ls)", "size(rs)").alias("span"), F.col("ls").alias("ls0"), F.col("rs").alias("rs0")), "repeated")
+    marked = found.withColumn("key", _key(F.col("id"))).join(repeated.drop("span"), "h").where("NOT (key = key0 AND th = th0 AND s = s0)").select("key", "th", "h", "s", "n", "ls0", "rs0")
+    marked = marked.join(lines, ["key", "th"]).select("key", "th", "h", "s", "n", "at", "ls0", "rs0", *beside())
+    marked = marked.withColumns({"l": _alike("ls", "ls0"), "r": _alike("rs", "rs0")})
+    spans = marked.groupBy("key", "th").agg(F.collect_set(edges("l", "r")).alias("spans"))
+    kept = F.pandas_udf(cover, "array<int>")(F.expr("transform(spans, s -> shiftleft(CAST(s.ls[0] AS BIGINT), 32) + element_at(s.rs, -1) + 1)"))
+    spans = written(spans.withColumn("kept", kept).select("key", "th", F.expr("transform(kept, i -> spans[i])").alias("spans")), "spans")
     forget(found)
     forget(lines)
+    needed = spans.select(F.explode("spans").alias("s")).groupBy("s.h").agg(F.max(F.size("s.ls")).alias("l"), F.max(F.size("s.rs")).alias("r"))
+    first = F.struct("span.h", F.expr("slice(span.ls, greatest(1, size(span.ls) - l + 1), l)").alias("ls"), F.expr("slice(span.rs, 1, r)").alias("rs"))
+    firsts = repeated.join(needed, "h").select(F.col("key0").alias("key"), F.col("th0").alias("th"), first.alias("s"))
+    firsts = written(firsts.groupBy("key", "th").agg(F.collect_list("s").alias("spans")), "first-spans")
     forget(repeated)
-    return spans
+    return spans, firsts
 
 
 def _unequal(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -191,7 +222,7 @@ def _unequal(docs: DataFrame, spans: DataFrame) -> DataFrame:
         transform(slice(ls, 1, size(ls) - 1), (x, i) -> struct(i + 1 - size(ls) AS j, x AS a, ls[i + 1] AS b)),
         transform(slice(rs, 2, size(rs)), (x, i) -> struct(i + 1 AS j, rs[i] + 1 AS a, x + 1 AS b)))""")
     texts = each.withColumn("p", F.explode(parts)).select("h", "p.j", F.expr("array_join(slice(lines, p.a + 1, p.b - p.a), '\n')").alias("t"))
-    return texts.groupBy("h", "j").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("h", "j")
+    return texts.groupBy("h", "j", "t").agg(F.lit(1).alias("one")).groupBy("h", "j").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "j")
 
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: str | None = None) -> DataFrame:
@@ -209,20 +240,22 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "removed_lines")
     th = F.xxhash64(docs[text_col])
-    spans = repeated_spans(docs.select(docs[id_col].alias("id"), th.alias("th"), docs[text_col].alias("text")))
+    spans, firsts = repeated_spans(docs.select(docs[id_col].alias("id"), th.alias("th"), docs[text_col].alias("text")))
     release_shuffles(spark)
-    unequal = written(_unequal(docs.select(_key(docs[id_col]).alias("key"), th.alias("th"), docs[text_col].alias("text")), spans), "unequal")
+    both = spans.unionByName(firsts).groupBy("key", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    unequal = written(_unequal(docs.select(_key(docs[id_col]).alias("key"), th.alias("th"), docs[text_col].alias("text")), both), "unequal")
+    forget(firsts)
     release_shuffles(spark)
     if not unequal.isEmpty():  # chunks that differ under one hash stay; those whose neighbours do are not extended
         wrong = unequal.groupBy("h").agg(F.min(F.abs("j")).alias("least"))
         each = spans.select("key", "th", F.explode("spans").alias("s")).withColumn("h", F.col("s.h")).join(wrong, "h", "left").where("least IS NULL OR least > 0")
-        edge = F.struct("s.h", "s.first", F.when(F.col("least").isNull(), F.col("s.ls")).otherwise(F.slice("s.ls", -1, 1)).alias("ls"), F.when(F.col("least").isNull(), F.col("s.rs")).otherwise(F.slice("s.rs", 1, 1)).alias("rs"))
-        kept = written(each.groupBy("key", "th").agg(F.collect_set(edge).alias("spans")), "spans")
+        edge = F.struct("s.h", F.when(F.col("least").isNull(), F.col("s.ls")).otherwise(F.slice("s.ls", -1, 1)).alias("ls"), F.when(F.col("least").isNull(), F.col("s.rs")).otherwise(F.slice("s.rs", 1, 1)).alias("rs"))
+        kept = written(each.groupBy("key", "th").agg(F.collect_list(edge).alias("spans")), "spans")
         forget(spans)
         spans = kept
     forget(unequal)
     key, hashed, own, done = free_names(docs, "key", "hash", "spans", "done")
-    marks = F.expr("transform(filter(spans, s -> NOT s.first), s -> shiftleft(CAST(s.ls[0] AS BIGINT), 32) + element_at(s.rs, -1) + 1 - s.ls[0])")
+    marks = F.expr("transform(spans, s -> shiftleft(CAST(s.ls[0] AS BIGINT), 32) + element_at(s.rs, -1) + 1 - s.ls[0])")
     joined = docs.join(spans.select(F.col("key").alias(key), F.col("th").alias(hashed), marks.alias(own)), (_key(docs[id_col]) == F.col(key)) & (th == F.col(hashed)), "left")
     cleaned = joined.withColumn(done, F.pandas_udf(without, "text string, n_lines long, removed_lines long")(F.col(text_col), F.col(own)))
     part = lambda c: F.col(f"{done}.{c}")

@@ -10,6 +10,7 @@ import time
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -191,6 +192,16 @@ def test_lines_beside_a_chunk_are_compared_too(spark, monkeypatch):
     assert sorted(x.text for x in line_dedup.remove_repeated_lines(docs).collect()) == sorted([f"{near[0]}\n{long_line}", *near[1:]])
 
 
+def test_spans_that_cover_the_same_lines():
+    r = random.Random(1)
+    lines = lambda spans: {i for a, b in spans for i in range(a, b)}
+    for _ in range(2000):
+        spans = [(a, a + r.randrange(1, 6)) for a in (r.randrange(20) for _ in range(r.randrange(9)))]
+        kept = line_dedup.cover(pd.Series([[a << 32 | b for a, b in spans]]))[0]
+        assert lines(spans) == lines([spans[i] for i in kept]) and len(kept) == len(set(kept))
+    assert line_dedup.cover(pd.Series([[i << 32 | i + 9 for i in range(40)]]))[0] == [0, 9, 18, 27, 36, 39]
+
+
 def removed(lines, marks):
     """Numbers of the lines that go if these are marked."""
     out, i = set(), 0
