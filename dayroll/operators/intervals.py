@@ -28,6 +28,36 @@ def _merged(r: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return r.groupBy(*keys, "_island").agg(F.min("from_s").alias("from_s"), F.max("to_s").alias("to_s")).drop("_island")
 
 
+def pieces(rows: DataFrame, keys: tuple[str, ...], from_s: str = "from_s", to_s: str = "to_s") -> DataFrame:
+    """keys, begins, ends: the merged intervals of each key as two arrays in order, to be kept and extended()."""
+    p = islands(rows, keys, from_s, to_s).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("from_s", "to_s"))).alias("_p"))
+    return p.select(*keys, F.col("_p.from_s").alias("begins"), F.col("_p.to_s").alias("ends"))
+
+
+def extended(kept: DataFrame, rows: DataFrame, keys: tuple[str, ...], from_s: str = "from_s", to_s: str = "to_s") -> DataFrame:
+    """kept (what pieces() gave) with further intervals: whatever is split into whatever parts, in any order, gives the same pieces.
+    Keys that rows do not name are as they were."""
+    new = pieces(rows, keys, from_s, to_s).withColumnsRenamed({"begins": "_begins", "ends": "_ends"})
+    both = kept.join(new, list(keys), "full_outer")
+    none = "CAST(array() AS array<bigint>)"
+    pair = lambda b, e: f"arrays_zip(coalesce({b}, {none}), coalesce({e}, {none}))"
+    # both are in order and disjoint in themselves: one walk over all of them, in order, joins each to the last or leaves it apart
+    walked = F.expr(f"""aggregate(transform(array_sort(concat(transform({pair("begins", "ends")}, x -> struct(x['0'] AS f, x['1'] AS t)), transform({pair("_begins", "_ends")}, x -> struct(x['0'] AS f, x['1'] AS t)))), x -> x),
+        CAST(array() AS array<struct<f: bigint, t: bigint>>),
+        (done, x) -> CASE WHEN size(done) > 0 AND x.f <= element_at(done, -1).t
+            THEN concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).f AS f, greatest(element_at(done, -1).t, x.t) AS t)))
+            ELSE concat(done, array(x)) END)""")
+    same = F.col("_begins").isNull()
+    out = both.withColumn("_w", F.when(~same, walked))
+    return out.select(*keys, F.when(same, F.col("begins")).otherwise(F.col("_w.f")).alias("begins"), F.when(same, F.col("ends")).otherwise(F.col("_w.t")).alias("ends"))
+
+
+def hours_of(kept: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, hours, pieces of what pieces() or extended() gave."""
+    seconds = F.expr("aggregate(zip_with(begins, ends, (b, e) -> e - b), 0L, (s, x) -> s + x)")
+    return kept.select(*keys, (seconds / 3600.0).alias("hours"), F.size("begins").cast("long").alias("pieces"))
+
+
 def union_hours(rows: DataFrame, keys: tuple[str, ...], from_s: str = "from_s", to_s: str = "to_s") -> DataFrame:
     """keys, hours, pieces."""
     return islands(rows, keys, from_s, to_s).groupBy(*keys).agg((F.sum(F.col("to_s") - F.col("from_s")) / 3600.0).alias("hours"), F.count(F.lit(1)).alias("pieces"))

@@ -5,8 +5,7 @@ A verb takes frames and returns frames: what to write, and what was rejected wit
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import vocab as V
@@ -31,6 +30,10 @@ SCHEMAS = {
 SCHEMAS = {n: s + STAMPS for n, s in SCHEMAS.items()}
 
 
+#: Ranges of its order that a batch is numbered in.
+RANGES = 64
+
+
 def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], SCHEMAS[name])
 
@@ -49,21 +52,38 @@ def judged(rows: DataFrame, **rules: Column) -> tuple[DataFrame, DataFrame]:
 
 
 def appended(table: DataFrame, rows: DataFrame, now: str, order: str | None = None) -> DataFrame:
-    """table and rows with the next ids, in the order given. The batch is sorted in parts, and a part's ids start after the
-    rows of those before it: its count alone comes to the driver."""
-    top = table.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    at = F.lit(now).cast("timestamp")
-    # kept as sorted, since the same rows have to be counted and numbered
-    parts = rows.orderBy(order or rows.columns[0]).withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
-    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    counts = dict(parts.groupBy(part.alias("p")).count().collect())
-    starts = {p: sum(n for q, n in counts.items() if q < p) for p in counts}
-    before = F.lit(0).cast("long") if not starts else F.create_map(*[F.lit(x) for s in starts.items() for x in s])[part]
-    new = parts.withColumn("id", (F.lit(top) + before + place + 1).cast("int")).withColumns({"created_at": at, "updated_at": at})
+    """table and rows with the next ids, in the order given, which must tell all rows apart for ids to be the same every time.
+
+    Rows are dealt to ranges of the order; a range's ids start after the rows of the ranges before it, whose counts alone meet."""
+    at, by = F.lit(now).cast("timestamp"), order or rows.columns[0]
+    top = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    number = _numbered(rows, by)
+    cuts = rows.select(number.alias("_k")).stat.approxQuantile("_k", [i / RANGES for i in range(1, RANGES)], 0.01)
+    span = sum((F.when(number > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
+    placed = rows.withColumn("_p", span).withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(by)))
+    counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")  # RANGES rows
+    new = placed.join(F.broadcast(before), "_p").crossJoin(top)  # one row
+    new = new.withColumn("id", (F.col("_top") + F.col("_before") + F.col("_n")).cast("int")).withColumns({"created_at": at, "updated_at": at})
     cols = [F.col(c) if c in new.columns else F.lit(None).cast(table.schema[c].dataType).alias(c) for c in table.columns]
     return table.unionByName(new.select(*cols))
 
 
+def _numbered(rows: DataFrame, by: str) -> Column:
+    """A number that grows with the values of by: of texts the seven bytes after those that all of them begin with."""
+    kind = rows.schema[by].dataType.typeName()
+    if kind == "date":
+        return F.unix_date(by).cast("double")
+    if kind in ("timestamp", "timestamp_ntz"):
+        return F.unix_micros(F.col(by).cast("timestamp")).cast("double")
+    if kind != "string":
+        return F.col(by).cast("double")
+    least, most = rows.agg(F.min(by), F.max(by)).first()
+    a, b = (least or "").encode(), (most or "").encode()
+    same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(by), "UTF-8"), same + 1, 7)), 14, "0"), 16, 10).cast("double")
+
+
 def new_concerns(rows: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
     """rows (name, narrative, opened_on, tags) with defaults; tags first come, first kept, each once."""
     ok, bad = judged(rows, name_is_blank=blank("name"))

@@ -12,6 +12,7 @@ from dayroll.functions.scalars import appended_note, cadence_note, folded_unit,
 from dayroll.operators import diagnostics, intervals, rollup, state
 from dayroll.operators.classify import bounded, converted, refusal
 from dayroll.plans import importer, report
+from dayroll.plans.nights import extend_nights, night_hours
 from dayroll.sources.store import Store
 from dayroll.sources.xml_export import is_closed, malformed_records
 
@@ -109,6 +110,34 @@ def test_interval_unions_against_a_set_of_seconds(spark):
         assert float(got[k][0]) * 3600 == pytest.approx(len(s)) and got[k][1] == sum(1 for x in s if x - 1 not in s)
 
 
+def test_pieces_are_the_same_however_segments_come(spark):
+    r = random.Random(5)
+    for _ in range(3):
+        data = [(r.choice("ab"), DAY(2026, r.randrange(1, 3), 1), a, a + r.choice([-3, 0, 1, 5, 20, 60])) for a in (r.randrange(600) for _ in range(120))]
+        df = lambda rows: spark.createDataFrame(rows, "kind string, day date, from_s long, to_s long")
+        kept, rest = intervals.pieces(df([]), ("kind", "day")), list(data)
+        r.shuffle(rest)
+        while rest:
+            n = r.randrange(1, 60)
+            kept = spark.createDataFrame(intervals.extended(kept, df(rest[:n]), ("kind", "day")).collect(), "kind string, day date, begins array<bigint>, ends array<bigint>")
+            rest = rest[n:]
+        want = intervals.union_hours(df(data), ("kind", "day")).select("kind", "day", F.col("hours").cast("double"), "pieces")
+        got = intervals.hours_of(kept, ("kind", "day")).select("kind", "day", F.col("hours").cast("double"), "pieces")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert sorted(map(str, kept.collect())) == sorted(map(str, intervals.pieces(df(data), ("kind", "day")).collect()))
+
+
+def test_later_segments_extend_a_stored_night(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/store")
+    seg = lambda *rows: spark.createDataFrame([("sleep-core", True, DAY(2026, m, 1), a, b) for m, a, b in rows], "stage_kind string, asleep boolean, day date, from_s long, to_s long")
+    extend_nights(store, seg((1, 0, 3600), (2, 0, 1800)))
+    before = store.manifest()["night_pieces"]
+    assert extend_nights(store, seg((1, 7200, 9000), (1, 3600, 5400), (1, 5, 5))) == 2
+    got = {(x.kind, x.day.month): (float(x.hours), x.pieces) for x in night_hours(store).collect()}
+    assert got == {(k, m): v for k in ("sleep-core", "sleep-total") for m, v in ((1, (2.0, 2)), (2, (0.5, 1)))}
+    assert store.manifest()["night_pieces"]["2026-02"] == before["2026-02"]
+
+
 def test_nights_begin_at_six(spark):
     cases = {"2026-01-01 17:59:59": DAY(2026, 1, 1), "2026-01-01 18:00:00": DAY(2026, 1, 2), "2025-12-31 23:00:00": DAY(2026, 1, 1), "2026-01-01 00:00:00": DAY(2026, 1, 1)}
     df = spark.createDataFrame([(f"{k} -0700", v) for k, v in cases.items()], "s string, d date")

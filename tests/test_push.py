@@ -207,6 +207,15 @@ def test_ids_follow_the_order_over_many_partitions(spark):
     assert G.appended(old, rows.limit(0), "2026-08-01 00:00:00", "k").count() == 1
 
 
+def test_ids_follow_texts_and_days_too(spark):
+    r = spark.range(300).select((F.col("id") * 7919 % 300).alias("k"))
+    rows = r.select("k", F.format_string("Customer#%09d", "k").alias("name"), F.expr("date_add(DATE '2026-01-01', CAST(k AS INT))").alias("d"), F.expr("timestamp_seconds(k)").alias("t")).unionByName(spark.createDataFrame([(-1, None, None, None)], "k long, name string, d date, t timestamp"))
+    schema = "id int, k long, name string, d date, t timestamp, created_at timestamp, updated_at timestamp"
+    for by in ("name", "d", "t"):
+        got = G.appended(spark.createDataFrame([], schema), rows.repartition(5), "2026-08-01 00:00:00", by).collect()
+        assert sorted((x.id, x.k) for x in got) == [(k + 2, k) for k in range(-1, 300)]
+
+
 def test_briefing_rows_are_the_document_s_sections(spark):
     t = {n: G.empty(spark, n) for n in G.SCHEMAS}
     assert briefing_rows(t, "2026-08-20").count() == 0
