@@ -30,7 +30,7 @@ def _merged(r: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def pieces(rows: DataFrame, keys: tuple[str, ...], from_s: str = "from_s", to_s: str = "to_s") -> DataFrame:
     """keys, begins, ends: the merged intervals of each key as two arrays in order, to be kept and extended()."""
-    p = islands(rows, keys, from_s, to_s).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("from_s", "to_s"))).alias("_p"))
+    p = islands(rows, keys, from_s, to_s).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("from_s").cast("long").alias("from_s"), F.col("to_s").cast("long").alias("to_s")))).alias("_p"))
     return p.select(*keys, F.col("_p.from_s").alias("begins"), F.col("_p.to_s").alias("ends"))
 
 

@@ -188,9 +188,9 @@ def value_span_by_kind(spark: SparkSession, sf: str) -> DataFrame:
     return R.value_span(_rolled(spark, sf).where("refused is null")).withColumn("maybe_fraction", looks_like_fraction("kind", "max_value", ("click",)))
 
 
-@query(f"WITH {_POLICY} SELECT kind, day, source FROM s WHERE kind <> 'error'")
+@query(f"WITH {_POLICY} SELECT kind, day, source FROM s")
 def latest_source_credit(spark: SparkSession, sf: str) -> DataFrame:
-    return R.latest_source(readings(spark, sf).where("kind <> 'error'"))
+    return R.latest_source(readings(spark, sf))
 
 
 @query(f"""WITH {_TOTALS}, d AS (SELECT kind, day, sum(total)::DOUBLE AS a, max(total)::DOUBLE AS b, count(*) AS n FROM t GROUP BY kind, day)
@@ -320,18 +320,17 @@ def array_explode_positions(spark: SparkSession, sf: str) -> DataFrame:
 # --- state -------------------------------------------------------------------------------------------------------------
 
 CUT = "2024-01-16"
-_HALVES = f"""{READ}, lw AS (SELECT kind, source, (day - INTERVAL 14 DAY)::DATE AS day, value, event_id FROM r WHERE day >= DATE '{CUT}'
-  AND source IS NOT NULL),
-old AS (SELECT kind, day, max(value)::DOUBLE AS value, max(source) AS source FROM r WHERE day < DATE '{CUT}' AND kind <> 'error' GROUP BY kind, day),
-new AS (SELECT kind, day, value::DOUBLE AS value, source FROM lw WHERE kind <> 'view' QUALIFY row_number() OVER (PARTITION BY kind, day
+_HALVES = f"""{READ}, lw AS (SELECT kind, source, (day - INTERVAL 14 DAY)::DATE AS day, value, event_id FROM r WHERE day >= DATE '{CUT}'),
+old AS (SELECT kind, day, max(value)::DOUBLE AS value, max(source) AS source FROM r WHERE day < DATE '{CUT}' GROUP BY kind, day),
+new AS (SELECT kind, day, value::DOUBLE AS value, source FROM lw QUALIFY row_number() OVER (PARTITION BY kind, day
   ORDER BY event_id DESC) = 1)"""
 
 
 def _halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """State of the first half of the month, and the second half's last readings, moved onto it."""
     r = readings(spark, sf)
-    old = r.where((F.col("day") < CUT) & (F.col("kind") != "error")).groupBy("kind", "day").agg(F.max("value").cast("double").alias("value"), F.max("source").alias("source"))
-    new = r.where((F.col("day") >= CUT) & F.col("source").isNotNull() & (F.col("kind") != "view")).select("kind", F.date_sub("day", 14).alias("day"), F.col("value").cast("double").alias("value"), "source", "event_id")
+    old = r.where(F.col("day") < CUT).groupBy("kind", "day").agg(F.max("value").cast("double").alias("value"), F.max("source").alias("source"))
+    new = r.where(F.col("day") >= CUT).select("kind", F.date_sub("day", 14).alias("day"), F.col("value").cast("double").alias("value"), "source", "event_id")
     return old, S.last_write(new, ("kind", "day"), "event_id").drop("event_id")
 
 
