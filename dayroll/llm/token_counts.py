@@ -68,26 +68,32 @@ class PrefixCounter:
         self.merger = Merger(ranks, lambda b: [b[i : i + 1] for i in range(len(b))])
         self.pieces = [p for p in sorted(pieces) if self.merger.merge(p) == [p]]  # those that merging can give
         self.vocab = {p: i for i, p in enumerate(self.pieces)}
+        #: Every ending of a piece, and the piece that it is (-1: none).
+        self.endings = {p[i:]: -1 for p in self.pieces for i in range(1, len(p))} | self.vocab
         self._apart: dict[int, bool] = {}
-        self.longest = max(map(len, self.vocab))
         self.words = regex.compile(PATTERN)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.added = added
-        self._counts: dict[str, int] = dict.fromkeys(added, 1)
-        self._prefixes: dict[str, array] = {}
+        self._known: dict[str, bytes | array] = {}
+        self._held = 0
+        self.trim(0)
 
     def prefixes(self, words: Iterable[bytes]) -> Iterator[list[int]]:
         """For each word the counts of word[:0], word[:1], ... word[:len]. In sorted order a word takes over what the one before it has stored for their common prefix."""
-        get, known, longest = self.vocab.get, self._apart, self.longest
+        get, known = self.endings.get, self._apart
         before, counts, last = b"", [0], [-1]
         for word in words:
             same = next((i for i, (x, y) in enumerate(zip(before, word)) if x != y), min(len(before), len(word)))
             del counts[same + 1 :], last[same + 1 :]
             for end in range(same + 1, len(word) + 1):
-                for start in range(end - longest if end > longest else 0, end):
+                found = []  # the pieces that end here: longer ones only where what follows their start ends a piece
+                for start in range(end - 1, -1, -1):
                     piece = get(word[start:end])
                     if piece is None:
-                        continue
+                        break
+                    if piece >= 0:
+                        found.append((start, piece))
+                for start, piece in reversed(found):
                     if start:
                         pair = last[start] << 20 | piece
                         ok = known.get(pair)
@@ -120,34 +126,33 @@ class PrefixCounter:
     def counts(self, pretokens: list[str]) -> list[int]:
         """The number of tokens of each pre-token."""
         self.learn(pretokens)
-        known = self._counts
-        return [known[w] for w in pretokens]
+        known = self._known
+        return [known[w][-1] for w in pretokens]
 
     def learn(self, pretokens: Iterable[str]) -> None:
-        """Have the counts of these pre-tokens at hand."""
-        known = self._counts
+        """Have the counts of all prefixes of these pre-tokens at hand: those that are not known yet are encoded, once."""
+        known = self._known
         new = {w for w in pretokens if w not in known}
         if not new:
             return
         coded = sorted((w.encode(), w) for w in new)
-        for (_, w), counts in zip(coded, self.prefixes(x for x, _ in coded)):
-            known[w] = counts[-1]
+        for (raw, w), counts in zip(coded, self.prefixes(x for x, _ in coded)):
+            own = counts if len(raw) == len(w) else [counts[i] for i in accumulate((len(c.encode()) for c in w), initial=0)]
+            known[w] = bytes(own) if own[-1] < 256 else array("I", own)
+            self._held += len(own)
 
-    def prefix_counts(self, pretoken: str) -> array:
+    def prefix_counts(self, pretoken: str) -> bytes | array:
         """Tokens of pretoken[:0], pretoken[:1], ... and the whole pre-token, each as a pre-token of its own."""
-        found = self._prefixes.get(pretoken)
-        if found is None:
-            counts = next(self.prefixes([pretoken.encode()]))
-            found = self._prefixes[pretoken] = array("I", [counts[i] for i in accumulate((len(c.encode()) for c in pretoken), initial=0)])
-        return found
-
-    def trim(self) -> None:
-        """Empty memo tables that have grown beyond their limit. What is within it serves a worker's next task too."""
-        if len(self._counts) > MEMO_LIMIT:
-            self._counts.clear()
-            self._counts.update(dict.fromkeys(self.added, 1))
-        if sum(map(len, self._prefixes.values())) > MEMO_LIMIT:
-            self._prefixes.clear()
+        if pretoken not in self._known:
+            self.learn([pretoken])
+        return self._known[pretoken]
+
+    def trim(self, most: int = 8 * MEMO_LIMIT) -> None:
+        """Forget all pre-tokens if more counts than that are kept. What is within the bound serves a worker's next task too."""
+        if self._held >= most or len(self._known) > MEMO_LIMIT:
+            self._known.clear()
+            self._known.update(dict.fromkeys(self.added, b"\x01"))
+            self._held = 0
 
     def count(self, text: str) -> int:
         return sum(self.counts(self.pretokens(text)))

@@ -53,6 +53,43 @@ def test_kept_prefixes_and_truncation(spark):
     assert [x.text for x in cut] == ["one two", None] and len(lib.encode(cut[0].text).ids) == 2
 
 
+def test_nothing_is_encoded_twice(monkeypatch):
+    """Budgets that end inside long pre-tokens are answered from the counts that were kept when the text was counted."""
+    c = token_counts.PrefixCounter(BYTES)
+    encoded = []
+    real = token_counts.PrefixCounter.prefixes
+
+    def counting(self, words):
+        words = list(words)
+        encoded.extend(words)
+        return real(self, words)
+
+    monkeypatch.setattr(token_counts.PrefixCounter, "prefixes", counting)
+    r = random.Random(4)
+    text = "Hello " + "".join(r.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(3000)) + " world 日本語日本語"
+    x = c.index(text)
+    before = sorted(encoded)
+    assert before == sorted({w.encode() for w in c.pretokens(text)})
+    lib = Tokenizer.from_file(BYTES)
+    for budget in (0, 1, 2, 17, 512, 900):
+        k = x.fit(budget)
+        assert len(lib.encode(text[:k]).ids) <= budget < len(lib.encode(text[: k + 1]).ids)
+    assert sorted(encoded) == before
+    c.trim(0)
+    assert set(c._known) == c.added and c._held == 0
+
+
+def test_long_runs_cost_linear_time():
+    c, r = token_counts.PrefixCounter(BYTES), random.Random(5)
+    took = []
+    for n in (20_000, 160_000):
+        text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        began = time.time()
+        c.count(text)
+        took.append(time.time() - began)
+    assert took[1] < 16 * took[0] + 0.5 and took[1] < 8
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="aeth 's\n1é🙂<|endoftext|>!", max_size=24))
 def test_every_prefix_has_its_exact_count(text):
