@@ -42,8 +42,7 @@ def spread(readings: DataFrame, value: Column | str = "value") -> DataFrame:
 def by_policy(readings: DataFrame, policies: DataFrame, value: Column | str = "value") -> DataFrame:
     """kind, day, value, min, max, source, by each kind's policy; policies: kind, policy.
 
-    All policies come from two aggregations of the same partial rows, by (kind, day, source, instant) no finer than a source's
-    day: totals and extremes by source, then the pick by day.
+    All policies come from two aggregations: totals, extremes and the latest instant of each source's day, then the pick by day.
     """
     v = F.col(value) if isinstance(value, str) else value
     r = readings.join(policies.select("kind", "policy"), "kind")
