@@ -369,6 +369,19 @@ def test_shards_are_even_and_gapless(spark):
     assert len(few) == 5 and few.shard.between(0, 23).all()
 
 
+def test_shards_against_all_possible_boundaries(spark):
+    """Rows lie in the order of all keys, sorted on one machine, and each boundary is as near to its place as promised, or as the nearest key there is."""
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    size = (F.octet_length(F.coalesce("text", F.lit(""))) + 8).alias("size")
+    keys = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), size).toPandas().sort_values(["h", "doc_id"], ignore_index=True)
+    got = sharding.shard_documents(docs, 24).toPandas().sort_values(["shard", "slot"], ignore_index=True)
+    assert got.doc_id.tolist() == keys.doc_id.tolist() and got["size"].tolist() == keys["size"].tolist()
+    below, part = np.concatenate([[0], np.cumsum(keys["size"])]), keys["size"].sum() / 24
+    for k in range(1, 24):
+        off = abs(below[(got.shard < k).sum()] - k * part)
+        assert off <= max(0.004 * part, np.abs(below - k * part).min()), k
+
+
 def test_write_shards(spark, tmp_path):
     df = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
     sharding.write_shards(df, str(tmp_path / "s"), 4)
