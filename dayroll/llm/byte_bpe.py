@@ -27,7 +27,9 @@ from .bpe import Merger
 from .common import forget, release_shuffles, written, written_by
 
 #: Bytes of the texts of a block (a longer text is a block alone), and distinct pre-tokens of all blocks that meet in a bucket (the mean).
-BLOCK_BYTES, MEET = 12_000_000, 400_000
+BLOCK_BYTES, MEET = 14_000_000, 400_000
+#: Ids that are put together or decoded at once.
+TOGETHER = 500_000
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -53,17 +55,23 @@ class ByteEncoder:
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Numbers below 2**32, byte by byte of all of them, compressed."""
+    """Numbers below 2**32, byte by byte of all of them, compressed: how many, the sizes of the four parts, the parts."""
+    if not len(x):
+        return b""
     planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True) if len(x) else b""
+    parts = [pa.Codec("zstd", compression_level=1 if k else 3).compress(p.tobytes(), asbytes=True) for k, p in enumerate(planes)]  # the low bytes have least in common
+    return np.array([len(x), *map(len, parts)], "<u8").tobytes() + b"".join(parts)
 
 
 def unpack(data: bytes) -> np.ndarray:
     if not data:
-        return np.zeros(0, np.int64)
-    n = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+        return np.zeros(0, np.uint32)
+    n, *sizes = np.frombuffer(data, "<u8", 5).tolist()
+    ends = np.cumsum([40, *sizes]).tolist()
+    planes = np.empty((n, 4), np.uint8)
+    for k in range(4):
+        planes[:, k] = np.frombuffer(pa.decompress(data[ends[k] : ends[k + 1]], n, "zstd"), np.uint8)
+    return planes.view("<u4").ravel()
 
 
 def pack_words(words: pa.Array) -> tuple[bytes, bytes]:
@@ -73,7 +81,7 @@ def pack_words(words: pa.Array) -> tuple[bytes, bytes]:
 
 
 def unpack_words(lengths: bytes, data: bytes) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum(unpack(lengths))])
+    ends = np.concatenate([[0], np.cumsum(unpack(lengths), dtype=np.int64)])
     raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd")
     return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), raw])
 
@@ -96,27 +104,27 @@ class _Block:
         self.size += len(text.encode())
 
     def rows(self, block: int, buckets: int) -> Iterator[list]:
-        """kind 0: the block, its documents' ids, pre-tokens of each, the numbers of all these and the bucket of each number; kind 1: the block's distinct pre-tokens of a bucket. Frequent ones have the low numbers."""
+        """kind 0: the block, its documents' ids, pre-tokens of each, and the numbers of all these; kind 1: the block's distinct
+        pre-tokens of a bucket, in the order of their numbers. A number is that of its bucket modulo their number; frequent ones have low ones."""
         coded = pa.chunked_array(self.words, pa.large_string()).combine_chunks().dictionary_encode() if self.words else pa.array([], pa.large_string()).dictionary_encode()
         at, distinct = coded.indices.to_numpy(), coded.dictionary.cast(pa.large_binary())
-        order = np.argsort(-np.bincount(at, minlength=len(distinct)), kind="stable")
-        number = np.empty(len(order), np.int64)
-        number[order] = np.arange(len(order))
-        distinct = distinct.take(pa.array(order))
         bucket = np.array([zlib.crc32(w) for w in distinct.to_pylist()], np.int64) % buckets
-        yield [0, block, 0, pa.concat_arrays(self.keys), pack(np.array(self.counts, np.int64)), pack(number[at]), pack(bucket)]
-        by = np.argsort(bucket, kind="stable")
+        by = np.lexsort((-np.bincount(at, minlength=len(distinct)), bucket))
+        first = np.searchsorted(bucket[by], bucket[by])
+        number = np.empty(len(by), np.int64)
+        number[by] = (np.arange(len(by)) - first) * buckets + bucket[by]
+        yield [0, block, 0, pa.concat_arrays(self.keys), pack(np.array(self.counts, np.int64)), pack(number[at])]
         for some in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
             if len(some):
-                yield [1, block, int(bucket[some[0]]), None, *pack_words(distinct.take(pa.array(some))), None]
+                yield [1, block, int(bucket[some[0]]), None, *pack_words(distinct.take(pa.array(some)))]
 
 
 def _blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
     """docs (id, text) as blocks: see _Block.rows."""
-    kind = docs.schema["id"].dataType.simpleString()
+    kind, most = docs.schema["id"].dataType.simpleString(), BLOCK_BYTES
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled, names = regex.compile(pattern), ["kind", "block", "bucket", "ids", "a", "b", "c"]
+        compiled, names = regex.compile(pattern), ["kind", "block", "bucket", "ids", "a", "b"]
         first, done, id_type = TaskContext.get().partitionId() << 32, 0, None
         block = _Block(compiled)
 
@@ -129,14 +137,17 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
             id_type = batch.column(0).type
             for i, text in enumerate(batch.column(1)):
                 text = text.as_py() or ""
-                if block.counts and block.size + len(text) > BLOCK_BYTES:
+                if block.counts and block.size + len(text) > most:
                     yield from told()
                     done, block = done + 1, _Block(compiled)
+                    pa.default_memory_pool().release_unused()
                 block.add(batch.column(0).slice(i, 1), text)
         if block.counts:
             yield from told()
+        del block
+        pa.default_memory_pool().release_unused()  # a worker stays for later tasks
 
-    return docs.mapInArrow(cut, f"kind int, block long, bucket int, ids array<{kind}>, a binary, b binary, c binary")
+    return docs.mapInArrow(cut, f"kind int, block long, bucket int, ids array<{kind}>, a binary, b binary")
 
 
 _encoders: dict[str, ByteEncoder] = {}
@@ -191,29 +202,28 @@ def encode_bytes(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
         """Ids of the documents of one block, by position."""
-        counts, numbers, bucket = (unpack(left[c][0].as_py()) for c in "abc")
-        by = np.argsort(bucket, kind="stable")
-        firsts = np.searchsorted(bucket[by], np.arange(int(bucket.max(initial=-1)) + 2))
-        n, rows = np.zeros(len(bucket), np.int64), []
-        order = np.argsort(right["bucket"].to_numpy())
-        for k in order:
-            b = right["bucket"][int(k)].as_py()
-            own = by[firsts[b] : firsts[b + 1]]
-            n[own] = unpack(right["n"][int(k)].as_py())
-            rows.append((own, unpack(right["ids"][int(k)].as_py())))
-        starts = np.concatenate([[0], np.cumsum(n[by])])
-        flat = np.concatenate([x for _, x in rows]) if rows else np.zeros(0, np.int64)
-        of = np.empty(len(bucket), np.int64)
-        of[by] = starts[:-1]
-        # position by position: where the ids of the pre-token there begin, and how many they are
-        per = n[numbers]
-        total = np.concatenate([[0], np.cumsum(per)])
-        values = flat[np.repeat(of[numbers] - total[:-1], per) + np.arange(total[-1])].astype(np.int32)
-        ends = total[np.concatenate([[0], np.cumsum(counts)])]
-        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
+        counts, numbers = (unpack(left[c][0].as_py()) for c in "ab")
+        most = int(numbers.max()) + 1 if len(numbers) else 0
+        n, begin, rows, total = np.zeros(most, np.int64), np.zeros(most, np.int64), [], 0
+        for b, k, ids in zip(right["bucket"].to_pylist(), right["n"].to_pylist(), right["ids"].to_pylist()):
+            k = unpack(k).astype(np.int64)
+            n[b::buckets][: len(k)] = k
+            begin[b::buckets][: len(k)] = total + np.cumsum(k) - k  # where the ids of each pre-token begin in flat
+            rows.append(unpack(ids).astype(np.int32))
+            total += len(rows[-1])
+        flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        # position by position, some at a time
+        values = []
+        for k in range(0, len(numbers), TOGETHER):
+            here = numbers[k : k + TOGETHER]
+            per = n[here]
+            values.append(flat[np.repeat(begin[here] - np.cumsum(per) + per, per) + np.arange(per.sum())])
+        ends = np.concatenate([[0], np.cumsum(n.astype(np.int32)[numbers], dtype=np.int32)])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)))
+        pa.default_memory_pool().release_unused()
         return pa.table([left["ids"].combine_chunks().flatten(), lists], ["id", "ids"])
 
-    grouped = blocks.select("block", "ids", "a", "b", "c").groupBy("block").cogroup(answers.groupBy("block"))
+    grouped = blocks.select("block", "ids", "a", "b").groupBy("block").cogroup(answers.groupBy("block"))
     out = grouped.applyInArrow(together, f"id {kind}, ids array<int>")
     return out.select(F.col("id").alias(id_col), "ids")
 
@@ -229,18 +239,21 @@ def decode_bytes(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", into
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_id = {i: t for t, i in encoder(vocabulary).rank.items()}
         table = pa.array([by_id.get(i) for i in range(max(by_id) + 1)], pa.large_binary())
-        for b in batches:
-            lists = b.column(b.schema.get_field_index(ids_col))
-            values = lists.flatten()
-            wrong = pc.fill_null(pc.or_(pc.less(values, 0), pc.greater_equal(values, len(table))), True)
-            tokens = table.take(values) if not pc.any(wrong).as_py() else None
-            if tokens is None or tokens.null_count:
-                raise ValueError("an id is in no row of the token-byte table")
-            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-            joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), tokens), pa.scalar(b"", pa.large_binary()))
-            joined = pc.if_else(lists.is_valid(), joined, pa.scalar(None, pa.large_binary())).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, joined], [*b.schema.names, into])
+        for batch in batches:
+            lengths = pc.fill_null(pc.list_value_length(batch.column(batch.schema.get_field_index(ids_col))), 0).to_numpy()
+            part = np.cumsum(lengths) // TOGETHER
+            for rows in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1):
+                b = batch.slice(rows[0] if len(rows) else 0, len(rows))
+                lists = b.column(b.schema.get_field_index(ids_col))
+                values = lists.flatten()
+                wrong = pc.fill_null(pc.or_(pc.less(values, 0), pc.greater_equal(values, len(table))), True)
+                tokens = table.take(values) if not pc.any(wrong).as_py() else None
+                if tokens is None or tokens.null_count:
+                    raise ValueError("an id is in no row of the token-byte table")
+                ends = np.concatenate([[0], np.cumsum(lengths[rows])]).astype(np.int64)
+                joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), tokens), pa.scalar(b"", pa.large_binary()))
+                joined = pc.if_else(lists.is_valid(), joined, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*b.columns, joined], [*b.schema.names, into])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(decode, f"{kinds}, `{into}` binary")

@@ -99,6 +99,9 @@ def forget(df: DataFrame) -> None:
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished, unreferenced stages now rather than at the next JVM collection."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first collection lets go of in Python is free in the JVM a little later
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
