@@ -27,7 +27,7 @@ from .bpe import Merger
 from .common import forget, release_shuffles, written, written_by
 
 #: Bytes of the texts of a block (a longer text is a block alone), and distinct pre-tokens of all blocks that meet in a bucket (the mean).
-BLOCK_BYTES, MEET = 14_000_000, 400_000
+BLOCK_BYTES, MEET = 20_000_000, 400_000
 #: Ids that are put together or decoded at once.
 TOGETHER = 500_000
 
@@ -59,7 +59,7 @@ def pack(x: np.ndarray) -> bytes:
     if not len(x):
         return b""
     planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    parts = [pa.Codec("zstd", compression_level=1 if k else 3).compress(p.tobytes(), asbytes=True) for k, p in enumerate(planes)]  # the low bytes have least in common
+    parts = [pa.Codec("zstd", compression_level=1 if k == 1 else 9).compress(p.tobytes(), asbytes=True) for k, p in enumerate(planes)]  # second bytes gain nothing from more work
     return np.array([len(x), *map(len, parts)], "<u8").tobytes() + b"".join(parts)
 
 
