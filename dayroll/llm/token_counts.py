@@ -74,7 +74,7 @@ class PrefixCounter:
         self.words = regex.compile(PATTERN)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.added = added
-        self._known: dict[str, bytes | array] = {}
+        self._counts: dict[str, bytes | array] = {}
         self._held = 0
         self.trim(0)
 
@@ -126,12 +126,12 @@ class PrefixCounter:
     def counts(self, pretokens: list[str]) -> list[int]:
         """The number of tokens of each pre-token."""
         self.learn(pretokens)
-        known = self._known
+        known = self._counts
         return [known[w][-1] for w in pretokens]
 
     def learn(self, pretokens: Iterable[str]) -> None:
         """Have the counts of all prefixes of these pre-tokens at hand: those that are not known yet are encoded, once."""
-        known = self._known
+        known = self._counts
         new = {w for w in pretokens if w not in known}
         if not new:
             return
@@ -143,15 +143,15 @@ class PrefixCounter:
 
     def prefix_counts(self, pretoken: str) -> bytes | array:
         """Tokens of pretoken[:0], pretoken[:1], ... and the whole pre-token, each as a pre-token of its own."""
-        if pretoken not in self._known:
+        if pretoken not in self._counts:
             self.learn([pretoken])
-        return self._known[pretoken]
+        return self._counts[pretoken]
 
     def trim(self, most: int = 8 * MEMO_LIMIT) -> None:
         """Forget all pre-tokens if more counts than that are kept. What is within the bound serves a worker's next task too."""
-        if self._held >= most or len(self._known) > MEMO_LIMIT:
-            self._known.clear()
-            self._known.update(dict.fromkeys(self.added, b"\x01"))
+        if self._held >= most or len(self._counts) > MEMO_LIMIT:
+            self._counts.clear()
+            self._counts.update(dict.fromkeys(self.added, b"\x01"))
             self._held = 0
 
     def count(self, text: str) -> int:

@@ -76,7 +76,7 @@ def test_nothing_is_encoded_twice(monkeypatch):
         assert len(lib.encode(text[:k]).ids) <= budget < len(lib.encode(text[: k + 1]).ids)
     assert sorted(encoded) == before
     c.trim(0)
-    assert set(c._known) == c.added and c._held == 0
+    assert set(c._counts) == c.added and c._held == 0
 
 
 def test_long_runs_cost_linear_time():
