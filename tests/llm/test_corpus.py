@@ -505,7 +505,21 @@ def test_every_pattern_of_a_leak_hits_a_mask():
                 assert any(not any(s + k in off for k in ones) for *ones, size in masks for s in range(m - size + 1)), (n, m, off)
 
 
-def test_leaks_against_all_alignments(spark):
+def test_every_pattern_of_a_leak_has_equal_tokens_about_a_mask():
+    for n in range(decontaminate.FEWEST, decontaminate.WINDOW + 1):
+        for mask, about in zip(decontaminate.MASKS, decontaminate.ABOUT):
+            if len(mask) > n or (mask in decontaminate.LONG) != (n >= decontaminate.WINDOW):
+                continue
+            ones = {k for k, c in enumerate(mask) if c == "1"}
+            for s in range(n - len(mask) + 1):
+                for off in itertools.combinations([p for p in range(n) if p - s not in ones], n - math.ceil(n * decontaminate.SHARE)):
+                    equal = {p - s for p in range(n) if p not in off}
+                    assert any(equal.issuperset(places) for places in about), (mask, n, s, off)
+
+
+@pytest.mark.parametrize("hot", [32, 2, 0])
+def test_leaks_against_all_alignments(spark, monkeypatch, hot):
+    monkeypatch.setattr(decontaminate, "HOT", hot)
     r = random.Random(13)
     items = [(i, words(r, n)) for i, n in enumerate([7, 8, 9, 10, 11, 12, 13, 13, 14, 16, 20, 25, 59] * 2)]
     docs = []
@@ -514,6 +528,9 @@ def test_leaks_against_all_alignments(spark):
             a = r.choice([0, 0, r.randrange(max(1, len(w) // 3))])
             x = [y if r.random() > 0.22 else "sub" for y in w[a:]]
             docs.append((len(docs), r.choice([words(r, 20), []]) + x + r.choice([words(r, 9), []])))
+    common = words(r, 9)  # a phrase of many items, some of which go on in the same way
+    items += [(len(items) + k, words(r, r.choice([0, 4])) + common + words(r, 2) + (["sub"] if k % 5 == 0 else []) + words(r, 6)) for k in range(40)]
+    docs += [(len(docs) + k, words(r, 8) + common[k % 3 :] + ["sub"] * (k % 4) + words(r, 8)) for k in range(12)]
     w = items[6][1]
     docs.append((len(docs), words(r, 9) + [y if k not in (3, 6, 10) else "sub" for k, y in enumerate(w)] + words(r, 9)))
     want = {}
@@ -533,7 +550,24 @@ def test_leaks_against_all_alignments(spark):
     assert {(x.doc_id, x.item_id): (x.best, x.matched, -x.doc_offset) for x in got} == want
 
 
-def test_large_benchmarks_go_in_parts(spark, monkeypatch):
+def test_a_common_phrase_alone_makes_no_hits(spark, monkeypatch):
+    number = itertools.count()
+    own = lambda n: [f"w{next(number)}" for _ in range(n)]
+    phrase = own(9)
+    items = [(k, phrase + own(15)) for k in range(200)]
+    docs = [(k, own(10) + phrase + (items[k][1][9:] if k < 5 else own(10))) for k in range(100)]
+    frame = lambda rows, c: spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{c} long, text string")
+    d, b = frame(docs, "doc_id"), frame(items, "item_id")
+    seen, hits = [], decontaminate._hits
+    monkeypatch.setattr(decontaminate, "_hits", lambda *a: seen.append(hits(*a)) or seen[-1])
+    got = {hot: (monkeypatch.setattr(decontaminate, "HOT", hot), sorted(map(str, decontaminate.leaks(d, b).collect())), seen[-1].count())[1:] for hot in (10**9, 32)}
+    assert got[32][0] == got[10**9][0] and {f"Row(doc_id={k}, item_id={k}" for k in range(5)} <= {",".join(x.split(",")[:2]) for x in got[32][0]}
+    assert got[10**9][1] >= 100 * 200 and 5 <= got[32][1] <= 100
+
+
+@pytest.mark.parametrize("hot", [32, 1])
+def test_large_benchmarks_go_in_parts(spark, monkeypatch, hot):
+    monkeypatch.setattr(decontaminate, "HOT", hot)
     docs, items = leak_docs()
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = sorted(map(str, decontaminate.leaks(d, b).collect()))
@@ -541,7 +575,9 @@ def test_large_benchmarks_go_in_parts(spark, monkeypatch):
     assert sorted(map(str, decontaminate.leaks(d, b).collect())) == want
 
 
-def test_native_plan_has_no_python(spark):
+@pytest.mark.parametrize("hot", [32, 0])
+def test_native_plan_has_no_python(spark, monkeypatch, hot):
+    monkeypatch.setattr(decontaminate, "HOT", hot)
     docs, items = leak_docs()
     plan = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|ArrowEval|MapIn", plan)
