@@ -562,7 +562,7 @@ def test_a_common_phrase_alone_makes_no_hits(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "_hits", lambda *a: seen.append(hits(*a)) or seen[-1])
     got = {hot: (monkeypatch.setattr(decontaminate, "HOT", hot), sorted(map(str, decontaminate.leaks(d, b).collect())), seen[-1].count())[1:] for hot in (10**9, 32)}
     assert got[32][0] == got[10**9][0] and {f"Row(doc_id={k}, item_id={k}" for k in range(5)} <= {",".join(x.split(",")[:2]) for x in got[32][0]}
-    assert got[10**9][1] >= 100 * 200 and 5 <= got[32][1] <= 100
+    assert got[10**9][1] >= 100 * 200 and 5 <= got[32][1] <= 5 * sum(map(len, decontaminate.ABOUT))  # only alignments that are leaks, a run for each set of places
 
 
 @pytest.mark.parametrize("hot", [32, 1])
