@@ -7,9 +7,17 @@ character more than a fixed number of times, whatever a page leaves unclosed. Di
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 import re
+import uuid
+import zlib
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -199,6 +207,49 @@ def read_responses(spark: SparkSession, path: str, id_col: str = "page_id") -> D
     )
 
 
+def _members(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Records (record, warc_date) of a partition as gzip members without their last byte, a warcinfo record first."""
+
+    def member(record: bytes) -> bytes:
+        z = zlib.compressobj(6, zlib.DEFLATED, 31)
+        whole = z.compress(record) + z.flush()
+        return (whole + gzip.compress(b"", mtime=0) if whole[-1] else whole)[:-1]
+
+    def info(date: str | None) -> bytes:
+        rid = uuid.UUID(hashlib.md5(f"warcinfo\n{path}\n{TaskContext.get().partitionId()}".encode()).hexdigest())
+        block = f"software: dayroll{CRLF}format: WARC File Format 1.1{CRLF}"
+        head = {"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{rid}>", "WARC-Date": date or "1970-01-01T00:00:00Z", "Content-Type": "application/warc-fields", "Content-Length": len(block)}
+        return CRLF.join(["WARC/1.1", *(f"{k}: {v}" for k, v in head.items()), "", block + CRLF + CRLF]).encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for b in batches:
+            if not b.num_rows:
+                continue
+            records = (x.as_py() for x in b.column(0))
+            if first:
+                records, first = chain([info(b.column(1)[0].as_py())], records), False
+            for x in records:
+                yield pa.RecordBatch.from_arrays([pa.array([member(x)], pa.binary())], ["member"])
+
+    return run
+
+
 def write_warc(records: DataFrame, path: str) -> None:
-    """Write records (headers, block) as WARC files, one for each partition, each gzipped as a whole."""
-    records.select(F.concat("headers", F.lit(CRLF), "block")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+    """Write records (headers, block, warc_date) as WARC files named *.warc.gz, one for each partition that has records: a warcinfo
+    record and then the partition's, each a gzip member of its own, so that a reader can begin at any of them.
+
+    Spark's text writer puts a line separator after each value. A member ends with its record's length, of which the last byte is
+    zero below 16 MB: that byte is the separator. Longer records are followed by an empty member, which ends with zero. The files are
+    written and committed as text and then named by the driver, which reads none of them. Null headers or blocks raise."""
+    spark = records.sparkSession
+    whole = F.concat(F.col("headers").cast("binary"), F.lit(CRLF).cast("binary"), F.col("block").cast("binary"), F.lit(CRLF + CRLF).cast("binary"))
+    rows = records.select(F.coalesce(whole, F.raise_error("a record without headers or block").cast("binary")).alias("record"), "warc_date")
+    rows.mapInArrow(_members(path), "member binary").select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").text(path)
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = jvm.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in fs.listStatus(folder):
+        name = f.getPath().getName()
+        if name.endswith(".txt") and not fs.rename(f.getPath(), jvm.Path(folder, name.removesuffix(".txt") + ".warc.gz")):
+            raise OSError(f"{name} could not be renamed")

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+import zlib
 
 import duckdb
 import numpy as np
@@ -402,10 +403,43 @@ def test_warc_records(spark, tmp_path):
     assert "WARC-Target-URI" not in got[2, "metadata"].headers and got[2, "conversion"].block == ""
     warc.write_warc(out.where("page_id = 1").coalesce(1), str(tmp_path / "w"))
     text = "".join(r.value for r in spark.read.text(str(tmp_path / "w"), wholetext=True).collect())
-    assert text.count("WARC/1.1\r\n") == 4 and text.endswith("\r\n\r\n")
+    assert text.count("WARC/1.1\r\n") == 5 and text.endswith("\r\n\r\n")
     assert warc.derivatives(warc.responses(pages.limit(0), "d")).count() == 0
 
 
+def members(data):
+    out = []
+    while data:
+        z = zlib.decompressobj(31)
+        out.append(z.decompress(data))
+        assert z.eof
+        data = z.unused_data
+    return out
+
+
+def test_every_record_is_a_member_of_its_own(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://a/{k}", f"<title>{k}</title><p>é {k} \0 \n WARC/1.1") for k in range(20)] + [(20, "u", "<p>" + "ab c" * 4_400_000)], "page_id long, url string, html string")
+    out = warc.derivatives(warc.responses(pages, "2024-01-01T00:00:00Z"))
+    warc.write_warc(out.repartition(3, "page_id"), str(tmp_path / "w"))
+    want = {r.record_id: f"{r.headers}\r\n{r.block}\r\n\r\n".encode() for r in out.collect()}
+    files = sorted((tmp_path / "w").glob("part-*"))
+    assert len(files) == 3 and all(f.name.endswith(".warc.gz") for f in files)
+    got, infos, empty = {}, set(), 0
+    for f in files:
+        first, *rest = members(f.read_bytes())
+        head, block = first.split(b"\r\n\r\n", 1)
+        assert b"WARC-Type: warcinfo\r\n" in head and int(re.search(rb"Content-Length: (\d+)", head)[1]) == len(block) - 4
+        infos.add(re.search(rb"WARC-Record-ID: (\S+)", head)[1])
+        empty += rest.count(b"")
+        got |= {re.search(rb"WARC-Record-ID: (\S+)", x)[1].decode(): x for x in rest if x}
+    assert got == want and len(infos) == 3 and empty == 1
+    assert spark.read.text(str(tmp_path / "w"), wholetext=True).count() == 3
+    warc.write_warc(out.limit(0), str(tmp_path / "none"))
+    assert not any(f.stat().st_size for f in (tmp_path / "none").glob("part-*"))
+    with pytest.raises(Exception, match="without headers"):
+        warc.write_warc(out.withColumn("block", F.lit(None).cast("string")), str(tmp_path / "null"))
+
+
 def test_warc_headers_and_identifiers(spark):
     rows = [(None, "http://a/\r\nEvil: 1", "<p>one"), (None, "http://a/\r\nEvil: 1", "<p>two"), (None, "http://a/\r\nEvil: 1", "<p>two")]
     out = warc.derivatives(warc.responses(spark.createDataFrame([(*x, "h", "b", "l", "t") for x in rows], "page_id long, url string, html string, headers string, block string, length string, text string"), "d")).collect()
