@@ -2,7 +2,8 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read
 again as the next one's docs. All but the last return the columns of documents (and any others that came with them). Line
-dedup returns one more, the text as it was: near duplicates decides on it, as copies have little text left, and drops it.
+dedup returns one more, the text as it was: near duplicates decides on it first, as copies have little text left, and drops it;
+then it decides on what line dedup has left, so texts that are alike but for repeated passages are found too.
 A document is known by its id and its text, so null and repeated ids decide nothing about other texts.
 """
 
@@ -12,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayroll.llm.common import forget, free_names, table, written
+from dayroll.llm.common import forget, free_names, release_shuffles, table, written
 from dayroll.llm.decontaminate import decontaminate
 from dayroll.llm.line_dedup import remove_repeated_lines
 from dayroll.llm.pieces import encode_pieces
@@ -37,13 +38,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar texts stays (1): that of the least id. Texts as they were before line dedup decide,
-    where it came before. Of those without words all stay; those that line dedup has left without words go."""
+    """One document of each group of similar texts stays (1): that of the least id. Where line dedup came before, texts as they were
+    before it decide, and among what stays the texts that it has left. Of those without words all stay; those that line dedup has left without words go."""
     whole = whole_column(docs)
     if whole is None:
         return one_of_each(docs)
     has_words = lambda c: F.coalesce(F.col(c), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return one_of_each(docs, text_col=whole).where(has_words("text") | ~has_words(whole)).drop(whole)
+    by_whole = written(one_of_each(docs, text_col=whole).where(has_words("text") | ~has_words(whole)).drop(whole), "by-whole-texts")
+    release_shuffles(spark)
+    return one_of_each(by_whole)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -685,6 +685,24 @@ def test_near_duplicates_alone_decides_on_the_text(spark):
     assert sorted(corpus_pipeline.near_duplicates(spark, lines, "").select(clash.columns).collect()) == [(1, text, "x"), (3, "", "z")]
 
 
+def test_what_line_dedup_leaves_decides_on_near_duplicates(spark):
+    """Two texts that are alike but for a repeated passage in one of them: raw they are not similar, and line dedup alone leaves both."""
+    r = random.Random(5)
+    licence = "\n".join(" ".join(words(r, 12)) for _ in range(20))
+    lines = [words(r, 60) for _ in range(4)]
+    near = [[*x[:-1], "changed"] for x in lines]  # every line differs, so none repeats
+    body, other = ("\n".join(" ".join(x) for x in y) for y in (lines, near))
+    docs = spark.createDataFrame([(1, licence, "a"), (2, f"{body}\n{licence}", "b"), (3, other, "c"), (4, " ".join(words(r, 70)), "d")], "doc_id long, text string, source string")
+    raw = {x.doc_id: sets_of(x.text) for x in docs.collect()}
+    assert 100 * len(raw[2] & raw[3]) < 80 * len(raw[2] | raw[3])
+    lines = corpus_pipeline.written(corpus_pipeline.line_dedup(spark, docs, ""), "lines")
+    left = {x.doc_id: x.text for x in lines.collect()}
+    assert left[2] == body and left[3] == other
+    assert sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 2, 3, 4]
+    got = corpus_pipeline.near_duplicates(spark, lines, "")
+    assert got.columns == docs.columns and sorted(x.doc_id for x in got.collect()) == [1, 2, 4]
+
+
 def test_pipeline_of_empty_tables(spark, tables, tmp_path):
     for n in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{tables}/{n}.parquet").limit(0).write.parquet(f"{tmp_path}/{n}.parquet")
