@@ -43,9 +43,10 @@ def by_policy(readings: DataFrame, policies: DataFrame, value: Column | str = "v
     """kind, day, value, min, max, source, by each kind's policy; policies: kind, policy.
 
     All policies come from two aggregations: totals, extremes and the latest instant of each source's day, then the pick by day.
+    Policies are few and go to every task: readings are not dealt by kind, of which there are only some.
     """
     v = F.col(value) if isinstance(value, str) else value
-    r = readings.join(policies.select("kind", "policy"), "kind")
+    r = readings.join(F.broadcast(policies.select("kind", "policy")), "kind")
     # the latest reading of a source; of those at one instant any, the name is the same
     per = r.groupBy("kind", "policy", "day", "source").agg(F.sum(v).alias("total"), F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.max("instant").alias("last"))
     name = F.coalesce("source", F.lit(UNATTRIBUTED))

@@ -255,3 +255,11 @@ def test_malformed_records_are_told_with_their_place(spark, tmp_path):
     (tmp_path / "m.xml").write_text(f"<HealthData>\n<Record type='{Q}StepCount' value='1'/>\n<Record type='a' unclosed=></Record>\n</HealthData>")
     got = malformed_records(spark, str(tmp_path / "m.xml")).collect()
     assert len(got) == 1 and got[0].file.endswith("m.xml") and got[0].block_start == 0 and "unclosed=" in got[0].record
+
+
+def test_readings_are_not_dealt_by_kind(spark):
+    """Policies are a few rows: a join that sorts readings by kind would have all of a kind in one task."""
+    df = spark.createDataFrame([("steps", "2026-05-01", "2026-05-01 08:00:00", 1.0, "a")], "kind string, day string, instant string, value double, source string").withColumns({"day": F.to_date("day"), "instant": F.to_timestamp("instant")})
+    policies = spark.createDataFrame([("steps", "sum")], "kind string, policy string")
+    plan = rollup.by_policy(df, policies)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
