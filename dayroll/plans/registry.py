@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions.scalars import appended_note, subject
-from ..operators.state import filtered, orphans, replace_rows, sparse_update
+from ..operators.state import filtered, orphans, sparse_update
 
 STAMPS = ", created_at timestamp, updated_at timestamp"
 SCHEMAS = {
@@ -32,6 +32,8 @@ SCHEMAS = {n: s + STAMPS for n, s in SCHEMAS.items()}
 
 #: Ranges of its order that a batch is numbered in.
 RANGES = 64
+#: Rows of a task in dealt().
+ROWS = 500_000
 
 
 def empty(spark: SparkSession, name: str) -> DataFrame:
@@ -51,6 +53,12 @@ def judged(rows: DataFrame, **rules: Column) -> tuple[DataFrame, DataFrame]:
     return r.where("reason is null").drop("reason"), r.where("reason is not null")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows in partitions by a hash of key, so many that a task has about ROWS of them. Partitions that adaptive execution joins
+    have as many bytes as are written for them: of keys alone, which pack well, these are a great many rows to be sorted."""
+    return rows.repartition(rows.count() // ROWS + 1, key)
+
+
 def appended(table: DataFrame, rows: DataFrame, now: str, order: str | None = None) -> DataFrame:
     """table and rows with the next ids, in the order given, which must tell all rows apart for ids to be the same every time.
 
@@ -60,7 +68,7 @@ def appended(table: DataFrame, rows: DataFrame, now: str, order: str | None = No
     number = _numbered(rows, by)
     cuts = rows.select(number.alias("_k")).stat.approxQuantile("_k", [i / RANGES for i in range(1, RANGES)], 0.01)
     span = sum((F.when(number > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
-    placed = rows.withColumn("_p", span).withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(by)))
+    placed = rows.withColumn("_p", span).repartition(RANGES, "_p").withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(by)))
     counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")  # RANGES rows
     new = placed.join(F.broadcast(before), "_p").crossJoin(top)  # one row
@@ -186,9 +194,9 @@ def commit_plan(plans: DataFrame, items: DataFrame, checkins: DataFrame, today:
 
 
 def record_outcomes(outcomes: DataFrame, new: DataFrame, items: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
-    """One outcome for each item: a new one takes the old one's place."""
+    """One outcome for each item: a new one takes the old one's place. Tables that are dealt() by item are not dealt again."""
     found, lost = orphans(new, items, "plan_item_id", "id")
-    kept = replace_rows(outcomes, found.select("plan_item_id").limit(0), ("plan_item_id",)).join(found.select("plan_item_id").distinct(), "plan_item_id", "left_anti").select(*outcomes.columns)
+    kept = outcomes.join(found.select("plan_item_id").distinct(), "plan_item_id", "left_anti").select(*outcomes.columns)
     return appended(kept, found.withColumn("recorded_at", F.lit(now).cast("timestamp")), now, "plan_item_id"), lost
 
 

@@ -135,7 +135,8 @@ def checkin_started_or_taken_up(spark: SparkSession, sf: str) -> DataFrame:
 SELECT item, CASE WHEN f = 'R' THEN 'skipped' ELSE 'done' END AS status, f <> 'A' AND f <> 'R' AS kept FROM i WHERE f <> 'A' UNION ALL SELECT item, 'skipped', FALSE FROM i WHERE f = 'A'""")
 def plan_outcomes_recorded(spark: SparkSession, sf: str) -> DataFrame:
     """Every item has an outcome but those flagged A; those flagged A or R get one, which takes the place of what there was."""
-    i = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("int").alias("plan_item_id"), "l_returnflag").groupBy("plan_item_id").agg(F.min("l_returnflag").alias("f"))
+    rows = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("int").alias("plan_item_id"), "l_returnflag")
+    i = G.dealt(rows, "plan_item_id").groupBy("plan_item_id").agg(F.min("l_returnflag").alias("f"))  # all joins by item keep this dealing
     old = i.where("f <> 'A'").select(F.col("plan_item_id").alias("id"), "plan_item_id", F.lit("done").alias("status"), none("string").alias("note"), none("timestamp").alias("recorded_at"), none("timestamp").alias("created_at"), none("timestamp").alias("updated_at"))
     new = i.where("f IN ('A', 'R')").select("plan_item_id", F.lit("skipped").alias("status"))
     got, _ = G.record_outcomes(old, new, i.select(F.col("plan_item_id").alias("id")), NOON)

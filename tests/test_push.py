@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -227,3 +228,18 @@ def test_briefing_rows_are_the_document_s_sections(spark):
     order = lambda name: [r.id for r in sorted((r for r in rows if r.section == name), key=lambda r: r.place)]
     assert order("unknowns") == [c.id for c in doc.unknowns] == [3, 2, 1] and order("goals") == [g.id for g in doc.goals] == [9]
     assert json.loads(next(r.record for r in rows if r.section == "goals"))["title"] == "g"
+
+
+def test_outcomes_are_dealt_by_rows_and_once(spark, monkeypatch):
+    """Partitions follow the rows, not the bytes that a shuffle packs them into; joins by item do not deal them again."""
+    monkeypatch.setattr(G, "ROWS", 100)
+    rows = spark.range(1000).select(F.col("id").cast("int").alias("plan_item_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("f"))
+    i = G.dealt(rows, "plan_item_id").groupBy("plan_item_id").agg(F.min("f").alias("f"))
+    none = lambda k, c: F.lit(None).cast(k).alias(c)
+    old = i.where("plan_item_id < 500").select(F.col("plan_item_id").alias("id"), "plan_item_id", F.lit("done").alias("status"), none("string", "note"), *[none("timestamp", c) for c in ("recorded_at", "created_at", "updated_at")])
+    new = i.where("f = 'a'").select("plan_item_id", F.lit("skipped").alias("status"))
+    got, lost = G.record_outcomes(old, new, i.select(F.col("plan_item_id").alias("id")), "2026-08-01 00:00:00")
+    assert i.rdd.getNumPartitions() == 11 and lost.isEmpty()
+    assert {r.plan_item_id: r.status for r in got.collect()} == {k: "skipped" if k % 3 == 0 else "done" for k in range(1000) if k % 3 == 0 or k < 500}
+    dealt = re.findall(r"Exchange hashpartitioning\(plan_item_id#\d+, (\d+)\)", got._jdf.queryExecution().executedPlan().toString())
+    assert set(dealt) <= {"11"}
