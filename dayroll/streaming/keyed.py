@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -48,21 +49,42 @@ class LastRow(StatefulProcessor):
         pass
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, block, value) with line in place of block: a number that grows with a line's place in its file. A line of a split
+    begins after at least as many bytes as its split does and lines are before it there, so splits' numbers do not meet."""
+    at, n = None, 0
+    for b in batches:
+        lines = []
+        for own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            at, n = own, n + 1 if own == at else 0
+            lines.append(own[1] + (own[1] > 0) + n)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lines, pa.int64()), b.column(2)], ["file", "line", "value"])
+
+
 def placed_points(spark: SparkSession, source: str, **options: str) -> DataFrame:
     """The stored points of payload files (one payload a line) as a stream: kind, day, value, min, max, source, and their place.
 
-    A line's number is its place in the file as far as one task reads it: files of pushes are read whole."""
-    lines = spark.readStream.format("text").option("wholetext", "true").options(**options).load(source).select("value", F.col("_metadata.file_path").alias("file"))
-    payloads = lines.select("file", F.posexplode(F.split("value", "\\n")).alias("line", "value")).select("value", F.struct("file", F.col("line").cast("long").alias("line")).alias("at"))
+    A file is read in splits, by many tasks."""
+    lines = spark.readStream.format("text").options(**options).option("lineSep", "\n").load(source).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    payloads = lines.mapInArrow(_numbered, "file string, line long, value string").select("value", F.struct("file", "line").alias("at"))
     stored = route(payloads, "value", "at").stored
     at = "pos.pos._batch.{0}"
     place = [F.col(at.format("file")).alias("file"), F.col(at.format("line")).alias("line"), F.col("pos.pos._m").alias("metric"), F.col("pos.pos._p").alias("point"), F.col("pos.stage_pos").alias("stage")]
     return stored.select("kind", "day", "value", "min", "max", "source", *place)
 
 
+def _last_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch the last row of each key."""
+    for b in batches:
+        rows = b.select(["kind", "day", "file", "line", "metric", "point", "stage"]).to_pandas()
+        kept = rows.sort_values(["file", "line", "metric", "point", "stage"]).drop_duplicates(["kind", "day"], keep="last").index
+        yield b.take(pa.array(kept.to_numpy()))
+
+
 def changed_rows(points: DataFrame) -> DataFrame:
-    """The stream of rows that become a key's last: kind, day, value, min, max, source."""
-    return points.groupBy("kind", "day").transformWithState(LastRow(), f"kind string, day date, {VALUE}", "Update", "None")
+    """The stream of rows that become a key's last: kind, day, value, min, max, source. A hot key's rows are fewer before they are shuffled."""
+    last = points.mapInArrow(_last_of_each, points.schema)
+    return last.groupBy("kind", "day").transformWithState(LastRow(), f"kind string, day date, {VALUE}", "Update", "None")
 
 
 def stream_changes(spark: SparkSession, source: str, store: Store, checkpoint: str, now: str, on_changes=None, **options: str) -> StreamingQuery:  # noqa: ANN001

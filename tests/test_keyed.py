@@ -6,7 +6,7 @@ import random
 from dayroll.operators.state import last_write
 from dayroll.plans.push import route
 from dayroll.sources.store import Store
-from dayroll.streaming.keyed import LastRow, stream_changes
+from dayroll.streaming.keyed import LastRow, placed_points, stream_changes
 
 
 def line(r):
@@ -66,3 +66,16 @@ def test_a_row_counts_if_its_place_is_later():
     tell = lambda *rows: [r.value for r in p.handleInputRows(("steps", None), iter(rows), None)]
     assert tell(row("b", 1, 1.0), row("b", 0, 9.0)) == [1.0] and tell(row("a", 5, 2.0)) == [] and tell(row("b", 1, 3.0)) == []
     assert tell(row("b", 2, 1.0)) == [] and p.last.get()[1] == 2 and tell(row("c", 0, 1.5), row("b", 9, 8.0)) == [1.5]
+
+
+def test_a_file_is_read_in_splits_and_its_lines_keep_their_order(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    metric = lambda i: {"name": "step_count", "units": "count", "data": [{"date": "2026-05-01 08:00:00 -0700", "qty": i}]}
+    (tmp_path / "in" / "a.json").write_text("\n".join([*[""] * 50, *[json.dumps({"data": {"metrics": [metric(i)]}}) for i in range(400)]]))
+    own, seen = spark.newSession(), []
+    own.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    points = placed_points(own, f"{tmp_path}/in")
+    points.writeStream.foreachBatch(lambda b, n: seen.append((b.rdd.getNumPartitions(), b.select("line", "value").collect()))).option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    (tasks, rows), *_ = seen
+    assert tasks > 4 and len({r.line for r in rows}) == 400
+    assert [r.value for r in sorted(rows)] == [float(i) for i in range(400)]
